@@ -2,9 +2,9 @@
 
 Where no piece of a model holds a whitespace marker after another character, merges never cross from one marked
 word to the next, so a text's ids are the ids of its marked words put side by side. Each task keeps a table of the
-distinct words that it has met, segments every new one once with the library and joins ids and decoded strings
-back by position. No shuffle; the table is emptied when it reaches ``table_size`` words, so memory is bounded and
-results stay exact. A model with crossing pieces is encoded text by text instead.
+distinct words that it has met, segments every new one once with the library and joins ids back by position; the
+library then decodes each text's ids. No shuffle; the table is emptied when it passes ``table_size`` words, so memory
+is bounded and results stay exact. A model with crossing pieces is encoded text by text instead.
 
 Null texts count as empty; an empty text has no ids and decodes to the empty string. Repeated rows give repeated
 results, an empty table an empty one, and other columns are passed by or kept as ``keep`` says. A literal U+2581
@@ -13,8 +13,10 @@ is a marker to the model and decodes to a space, as in the library.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,6 @@ from eigenflux.llm import common
 
 MARK = "▁"
 _CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
-#: Longer words are segmented where they stand and not kept.
-LONGEST_KEPT = 64
 
 
 def crossing_pieces(processor) -> bool:
@@ -44,70 +44,84 @@ def marked_words(text: str) -> list[str]:
     return [c[1:] for c in _CHUNK.findall(" " + text)]
 
 
+class _Numbers(dict):
+    """Word to number; an unknown word gets the next one and waits in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class ChunkTable:
-    """Ids and decoded text of distinct marked words, as flat arrays indexed by word number."""
+    """Ids of distinct marked words, as flat arrays indexed by word number."""
 
     def __init__(self, processor, size: int):
         self.sp, self.size = processor, size
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.decoded: list[str] = []
+        self.number = _Numbers()
         self.ids, self.starts, self.used = np.empty(1 << 16, np.int32), np.zeros(1 << 15, np.int64), 0
 
     def lone_marker(self) -> list[int]:
         piece = self.sp.piece_to_id(MARK)
         return [piece] if piece != self.sp.unk_id() else [self.sp.piece_to_id(f"<0x{b:02X}>") for b in MARK.encode()]
 
-    def add(self, words: list[str]) -> None:
+    def segment_new(self) -> None:
+        words, self.number.new = self.number.new, []
+        n = len(self.number) - len(words)
         found = self.sp.encode(words, num_threads=1)
-        texts = self.sp.decode(found, num_threads=1)
-        n = len(self.decoded)
         if "" in words:  # a marker at the end of a text; the library adds none to an empty text
             found[words.index("")] = self.lone_marker()
-        flat = np.fromiter((i for ids in found for i in ids), np.int32)
-        ends = self.used + np.cumsum([len(ids) for ids in found])
+        flat = np.fromiter(chain.from_iterable(found), np.int32)
         while self.used + len(flat) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
         while n + len(words) + 1 > len(self.starts):
-            self.starts = np.resize(self.starts, 2 * len(self.starts))
+            self.starts = np.concatenate((self.starts, np.empty_like(self.starts)))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[n + 1 : n + 1 + len(words)] = ends
+        self.starts[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
         self.used += len(flat)
-        self.number.update(zip(words, range(n, n + len(words))))
-        self.decoded += [" " + t for t in texts]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Offsets and ids of all texts, and their decoded forms."""
-        parts = [marked_words(t) for t in texts]
-        new = set().union(*parts) - self.number.keys()
-        if len(self.number) + len(new) > self.size:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets of the texts, and all ids."""
+        if len(self.number) > self.size:
             self.clear()
-            new = set().union(*parts)
-        if new:
-            self.add(list(new))
+        parts = [marked_words(t) for t in texts]
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        get = self.number.__getitem__
-        word = np.fromiter((n for p in parts for n in map(get, p)), np.int64, int(counts.sum()))
+        word = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
+        if self.number.new:
+            self.segment_new()
         starts = self.starts[word]
         lengths = self.starts[word + 1] - starts
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
-        offsets = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
-        say = self.decoded
-        decoded = ["".join([say[n] for n in map(get, p)])[1:] for p in parts]
-        if len(self.number) > self.size:
-            self.clear()
-        return offsets, ids, decoded
+        return np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))], ids
 
 
-def _encode_whole(sp, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+#: Tables of this Python worker, kept from task to task: (digest of the model, size) -> table.
+_tables: dict[tuple[bytes, int], ChunkTable] = {}
+
+
+def _table(model: bytes, size: int) -> ChunkTable:
+    import sentencepiece
+
+    key = (hashlib.sha256(model).digest(), size)
+    if key not in _tables:
+        _tables.clear()
+        _tables[key] = ChunkTable(sentencepiece.SentencePieceProcessor(model_proto=model), size)
+    return _tables[key]
+
+
+def _encode_whole(sp, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     found = sp.encode(texts, num_threads=1)
     offsets = np.concatenate(([0], np.cumsum([len(i) for i in found]))).astype(np.int64)
-    ids = np.fromiter((i for f in found for i in f), np.int32, int(offsets[-1]))
-    return offsets, ids, sp.decode(found, num_threads=1)
+    return offsets, np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1]))
 
 
 def encode(
@@ -116,7 +130,7 @@ def encode(
     *,
     text_col: str = "text",
     keep: tuple[str, ...] = ("doc_id",),
-    table_size: int = 300_000,
+    table_size: int = 1_000_000,
     piece_chars: int = 1 << 20,
 ) -> DataFrame:
     """Columns ``keep``, then ``ids array<int>`` and ``decoded string``, a row for each row of ``docs``."""
@@ -132,10 +146,7 @@ def encode(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        table = ChunkTable(sp, table_size)
+        table = _table(model, table_size)
         for batch in batches:
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
             first = 0
@@ -145,7 +156,9 @@ def encode(
                     chars += len(texts[last])
                     last += 1
                 part = texts[first:last]
-                offsets, ids, decoded = _encode_whole(sp, part) if whole else table.encode(part)
+                offsets, ids = _encode_whole(table.sp, part) if whole else table.encode(part)
+                listed, cuts = ids.tolist(), offsets.tolist()
+                decoded = table.sp.decode([listed[a:b] for a, b in zip(cuts, cuts[1:])], num_threads=1)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 columns = [c.slice(first, last - first) for c in batch.columns[: len(keep)]]
                 yield pa.RecordBatch.from_arrays(
