@@ -8,8 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenflux.llm import spm
-from eigenflux.llm.common import table
+from eigenflux.llm import langid, quality, spm
+from eigenflux.llm.common import crc_mod, table
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a third of the ids is held out of training."""
+    docs = table(spark, sf_dir, "documents")
+    third = crc_mod(F.col("doc_id"), 3)
+    model = langid.train(docs, where=third != 1)
+    return langid.predict(docs, model).select("doc_id", (third == 1).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; a fifth of the ids is held out of training."""
+    docs, fifth = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), where=fifth != 0)
+    return quality.predict(docs, model).select(
+        "doc_id", (fifth == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +42,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_language_id": op4_language_id,
+        "op6_quality": op6_quality,
         "op8_sentencepiece": op8_sentencepiece,
     }
 
