@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenflux.llm import langid, quality, spm
+from eigenflux.llm import contamination, langid, quality, spm
 from eigenflux.llm.common import crc_mod, table
 
 
@@ -40,11 +40,25 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside any 10-word window of a benchmark item."""
+    found = contamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        contamination.n_hit().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_language_id": op4_language_id,
         "op6_quality": op6_quality,
         "op8_sentencepiece": op8_sentencepiece,
+        "op9_contamination": op9_contamination,
     }
 
 
