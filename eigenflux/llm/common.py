@@ -62,7 +62,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, for choosing numbers of buckets."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def crc_mod(col: Column, n: int) -> Column:

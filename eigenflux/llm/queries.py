@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenflux.llm import contamination, langid, quality, spm
-from eigenflux.llm.common import crc_mod, table
+from eigenflux.llm import contamination, fingerprint, langid, quality, spm
+from eigenflux.llm.common import crc_mod, materialize, table
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,32 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (third == 1).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and its verified class of equal canonical texts."""
+    docs = table(spark, sf_dir, "documents")
+
+    def each(text: str, after: str) -> tuple:
+        half = len(text) // 2
+        put = after[:half]
+        edited = text[: len(text) - half] + put
+        own, changed, beside = (fingerprint.canonical(t) for t in (text, edited, after))
+        return (
+            len(text),
+            hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
+            fingerprint.digest(own),
+            fingerprint.digest(changed),
+            float(own == changed),
+            float(own == beside),
+        )
+
+    kind = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    rows = materialize(fingerprint.with_next(docs, each, kind), "op5")
+    members = fingerprint.classes(docs, rows.select("doc_id", "fingerprint"))
+    return rows.join(members, ["doc_id", "fingerprint"], "left").select(
+        *rows.columns, F.coalesce("class_id", "doc_id").alias("class_id")
+    )
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; a fifth of the ids is held out of training."""
     docs, fifth = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5)
@@ -56,6 +83,7 @@ def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_language_id": op4_language_id,
+        "op5_fingerprint": op5_fingerprint,
         "op6_quality": op6_quality,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_contamination": op9_contamination,
