@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,9 @@ def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches small enough for very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
@@ -67,3 +69,33 @@ def input_bytes(df: DataFrame) -> int:
 
 def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % n
+
+
+def _spread(ids: np.ndarray) -> np.ndarray:
+    x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return x >> np.uint64(20)
+
+
+def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Marks of a long column's values in ``bits`` bits, a power of two: no false negatives, size fixed."""
+
+    def mark(batches):
+        out = np.zeros(bits // 64, np.uint64)
+        for b in batches:
+            at = _spread(b.column(0).drop_null().to_numpy(zero_copy_only=False)) % np.uint64(bits)
+            np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        w = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(w, pa.int32()), pa.array(out[w].view(np.int64), pa.int64())], names=["w", "bits"])
+
+    words = df.select(F.col(column).cast("long")).mapInArrow(mark, "w int, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits"))
+    got = words.toPandas()  # at most bits / 64 rows
+    out = np.zeros(bits // 64, np.int64)
+    out[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def in_bitmap(marks: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Whether each value may be marked; nulls are not."""
+    at = _spread(column.fill_null(0).to_numpy(zero_copy_only=False)) % np.uint64(64 * len(marks))
+    hit = (marks[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+    return (hit == 1) & column.is_valid().to_numpy(zero_copy_only=False)

@@ -9,10 +9,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenflux.llm import contamination, fingerprint, langid, quality, spm
+from eigenflux.llm import contamination, fingerprint, jaccard, langid, quality, spm
 from eigenflux.llm.common import crc_mod, materialize, table
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    return jaccard.join(table(spark, sf_dir, "documents"), percent=90, width=3)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; a third of the ids is held out of training."""
     docs = table(spark, sf_dir, "documents")
@@ -82,6 +87,7 @@ def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_language_id": op4_language_id,
         "op5_fingerprint": op5_fingerprint,
         "op6_quality": op6_quality,
