@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenflux.llm import contamination, fingerprint, jaccard, langid, quality, spm
-from eigenflux.llm.common import crc_mod, materialize, table
+from eigenflux.llm import contamination, fingerprint, jaccard, langid, quality, sharding, spm
+from eigenflux.llm.common import crc_mod, materialize, new_path, table
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +85,18 @@ def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents appended in six arrivals, compacted, and read back by the last manifest."""
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.ShardedDataset(spark, new_path(spark, "shards"))
+    store.append(docs, F.pmod(F.xxhash64("doc_id"), F.lit(6)).cast("int"))
+    store.compact()
+    rows = store.read(schema=docs.schema)
+    return rows.select(
+        "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.lit(store.version()).cast("long").alias("version"), "shard", "shard_bytes"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_jaccard_join": op3_jaccard_join,
@@ -93,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": op6_quality,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_contamination": op9_contamination,
+        "op10_sharding": op10_sharding,
     }
 
 
