@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenflux.llm import contamination, fingerprint, jaccard, langid, quality, sharding, spm
+from eigenflux.llm import contamination, fingerprint, jaccard, langid, quality, repeats, sharding, spm
 from eigenflux.llm.common import crc_mod, materialize, new_path, table
 
 
@@ -61,6 +61,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 100-byte strings that start earlier in the corpus."""
+    out = repeats.remove(table(spark, sf_dir, "documents"), length=100)
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     out = spm.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -103,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_fingerprint": op5_fingerprint,
         "op6_quality": op6_quality,
+        "op7_repeats": op7_repeats,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_contamination": op9_contamination,
         "op10_sharding": op10_sharding,
