@@ -9,10 +9,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenflux.llm import contamination, fingerprint, jaccard, langid, quality, repeats, sharding, spm
+from eigenflux.llm import contamination, fingerprint, jaccard, langid, lines, quality, repeats, sharding, spm
 from eigenflux.llm.common import crc_mod, materialize, new_path, table
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that go because an earlier line is alike (Jaccard 0.8 or more, through any chain)."""
+    return lines.removed(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     return jaccard.join(table(spark, sf_dir, "documents"), percent=90, width=3)
@@ -111,6 +116,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_line_dedup": op2_line_dedup,
         "op3_jaccard_join": op3_jaccard_join,
         "op4_language_id": op4_language_id,
         "op5_fingerprint": op5_fingerprint,
