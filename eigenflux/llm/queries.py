@@ -9,10 +9,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenflux.llm import contamination, fingerprint, jaccard, langid, lines, quality, repeats, sharding, spm
+from eigenflux.llm import contamination, fingerprint, jaccard, langid, lines, quality, repeats, secret_scan, sharding, spm
 from eigenflux.llm.common import crc_mod, materialize, new_path, table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of every document with the forest's score; the value itself only as a digest."""
+    forest = secret_scan.train(secret_scan.default_findings(spark))
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), forest)
+    return found.select(
+        "doc_id", "start", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret"
+    )
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that go because an earlier line is alike (Jaccard 0.8 or more, through any chain)."""
     return lines.removed(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
@@ -116,6 +125,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op2_line_dedup": op2_line_dedup,
         "op3_jaccard_join": op3_jaccard_join,
         "op4_language_id": op4_language_id,
