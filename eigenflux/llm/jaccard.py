@@ -9,9 +9,9 @@ One spare segment lets entries of empty subsets, which nearly all sets share, be
 
 Equal sets are one class from the start: only its least document is indexed. Then, for all entries that several sets share:
 the most widely shared set of an entry is compared with each other set there (a star, not all pairs); verified links merge
-components; only sets of one entry in different components are paired after that, and of those only pairs whose exact
-distances to the star's centre differ by no more than a link's greatest distance (Jaccard distance is a metric). Each pair is
-verified exactly on whole sets. Components come from distributed stars.
+components; only sets of one entry in different components are paired after that, and of those only pairs that exact bounds
+admit: their sizes, their distances to the star's centre (Jaccard distance is a metric) and their profiles, counts of shingles
+by hash that differ by no more than the sets do. Each pair is verified exactly on whole sets. Components come from distributed stars.
 
 Null or empty texts and texts without words have an empty set, link with nothing and are their own component; so is a row
 with a null id. Rows that repeat an id are one node, and texts of one node count as linked. Other columns are not read.
@@ -132,6 +132,67 @@ def _linked(inside: int, a: int, b: int, percent: int) -> bool:
     return 100 * inside >= percent * (a + b - inside)
 
 
+#: Counters of a profile.
+PROFILE = 512
+
+
+def profile(tokens: np.ndarray) -> np.ndarray:
+    """Counts of shingles by hash, at most 255 each; profiles differ in sum by no more than their sets differ."""
+    return np.minimum(np.bincount((mix(tokens ^ _K2) % _U(PROFILE)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8)
+
+
+def _possible(percent: int, block: int = 512):
+    """Pairs of an entry's rows in different components that no exact bound rules out, block by block."""
+    reach = (100 - percent) / 100 + 1e-9
+
+    def of_entry(doc, n, component, near, far, counts, seen):
+        for at in range(0, len(doc), block):
+            i = slice(at, at + block)
+            go = component[i, None] != component[None, :]
+            go &= doc[i, None] < doc[None, :]
+            go &= (100 * n[i, None] >= percent * n[None, :]) & (100 * n[None, :] >= percent * n[i, None])
+            go &= (near[i, None] - far[None, :] <= reach) & (near[None, :] - far[i, None] <= reach)
+            x, y = np.nonzero(go)
+            x += at
+            for k in range(0, len(x), 4096):
+                u, v = x[k : k + 4096], y[k : k + 4096]
+                apart = np.abs(counts[u] - counts[v]).sum(1, dtype=np.int64)
+                fits = (100 + percent) * apart <= (100 - percent) * (n[u] + n[v])
+                for pair in zip(doc[u[fits]].tolist(), doc[v[fits]].tolist()):
+                    if pair not in seen:
+                        if len(seen) >= 1_000_000:
+                            seen.clear()
+                        seen.add(pair)
+                        yield pair
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        held: list[list[np.ndarray]] = []
+        entry = None
+
+        def flush():
+            if sum(len(h[0]) for h in held) < 2:
+                return
+            pairs = list(of_entry(*(np.concatenate(c) for c in zip(*held)), seen))
+            for at in range(0, len(pairs), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs[at : at + 50_000])], names=["a", "b"])
+
+        for batch in batches:
+            key = np.asarray(batch.column(0))
+            columns = [np.asarray(batch.column(k)) for k in range(1, 6)]
+            columns.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int16))
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                if entry is not None and key[x] != entry:
+                    yield from flush()
+                    held = []
+                entry = key[x]
+                held.append([c[x:y] for c in columns])
+        yield from flush()
+
+    return run
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b, distance, linked`` of each pair, by whole sets."""
     spark = pairs.sparkSession
@@ -203,11 +264,13 @@ def join(docs: DataFrame, *, percent: int = 90, width: int = 3, text_col: str =
             out = []
             for i, hit, text in zip(batch.column(0).to_pylist(), common.in_bitmap(sent.value, batch.column(0)), batch.column(1).to_pylist()):
                 if hit:
-                    out.append((i, shingle_set(text, width).tobytes()))
+                    s = shingle_set(text, width)
+                    out.append((i, s.tobytes(), profile(s).tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary()))], names=["doc_id", "tokens"])
+                kinds = (pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "tokens", "profile"])
 
-    sets = own.mapInArrow(sets_of, "doc_id long, tokens binary").join(wanted, "doc_id", "left_semi")
+    sets = own.mapInArrow(sets_of, "doc_id long, tokens binary, profile binary").join(wanted, "doc_id", "left_semi")
     sets = common.materialize(sets, "jaccard-sets")
 
     checked = _verify(star.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), sets, percent)
@@ -224,16 +287,8 @@ def join(docs: DataFrame, *, percent: int = 90, width: int = 3, text_col: str =
     )
     split = at.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("entry")
     at = common.materialize(at.join(split, "entry", "left_semi").where("doc_id <> centre").select("entry", "doc_id", "n", "component", "near", "far"), "jaccard-open")
-    l, r = at.alias("l"), at.alias("r")
-    reach = (100 - percent) / 100 + 1e-9
-    rest = (
-        l.join(r, F.col("l.entry") == F.col("r.entry"))
-        .where("l.doc_id < r.doc_id and l.component <> r.component")
-        .where(f"100 * l.n >= {percent} * r.n and 100 * r.n >= {percent} * l.n")
-        .where(f"l.near - r.far <= {reach} and r.near - l.far <= {reach}")
-        .select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"))
-        .distinct()
-    )
+    rest = at.join(sets.select("doc_id", "profile"), "doc_id").select("entry", "doc_id", "n", "component", "near", "far", "profile")
+    rest = rest.repartition("entry").sortWithinPartitions("entry", "doc_id").mapInArrow(_possible(percent), "a long, b long").distinct()
     more = _verify(rest, sets, percent).where("linked").select("a", "b")
     all_links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     final = graph.components(all_links).withColumnRenamed("node", "rep")
