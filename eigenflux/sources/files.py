@@ -10,6 +10,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,10 @@ def load_npz(spark: SparkSession, path: str, *, field: str | None = None, times_
     ``path`` is a file, a glob or a folder; unless ``single``, a file stands for itself alone too. Values are read on executors.
     """
     pattern = path if single or path.endswith(".npz") or "*" in path else f"{path.rstrip('/')}/*.npz"
-    raw = spark.read.format("binaryFile").load(pattern).select("path", "content")
+    try:
+        raw = spark.read.format("binaryFile").load(pattern).select("path", "content")
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no array file at {path}") from e
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
