@@ -3,9 +3,10 @@
 Lines (parts between line feeds) are lower-cased and their white space is folded; blank lines take no part. A line's set
 holds its distinct character shingles: the ``width`` characters from the start of each word on (fewer at the line's end).
 Distinct lines get ``bands * rows`` MinHash values in one aggregation; equal values in all rows of a band make candidates.
-In each band bucket the least line is compared with the others (a star); exact Jaccard similarity on whole sets decides.
-Lines of a bucket that are then still in different components are paired, unless their set sizes, their exact distances to
-the star's centre (a metric) or fewer than ``agree`` equal MinHash values rule a link out. Components come from distributed
+In each band bucket the most widely shared line is compared with the others (a star); exact Jaccard similarity on whole sets
+decides. Lines of a bucket that are then still in different components are joined where they link: the join's condition asks
+for like set sizes, like exact distances to the star's centre (a metric), ``agree`` equal MinHash values and, last, the exact
+similarity, so only links leave the join. Components come from distributed
 stars; the line of least (id, line number) of each component stays and the others go.
 
 With 8 bands of 3 rows a pair at 0.8 is a candidate with probability 0.997, at 0.9 with 0.99999; ``agree`` of 24 values is
@@ -17,7 +18,7 @@ dealt with whole. An empty table gives an empty one; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eigenflux.llm import common, graph
@@ -41,10 +42,9 @@ def _minima(values: int) -> list[Column]:
 
 
 def _signatures(distinct: DataFrame, width: int, values: int) -> DataFrame:
-    """``k, n, sig`` of distinct lines; the grouping is on the columns that the lines are already dealt by."""
-    s = distinct.select("k", "norm", F.explode(shingles(F.col("norm"), width)).alias("s"))
-    s = s.select("k", "norm", F.xxhash64("s").alias("h"))
-    grouped = s.groupBy("k", "norm").agg(F.count("*").cast("int").alias("n"), *_minima(values))
+    """``k, n, sig`` of distinct lines; the grouping is on the column that the lines are already dealt by."""
+    s = distinct.select("k", F.explode(shingles(F.col("norm"), width)).alias("s")).select("k", F.xxhash64("s").alias("h"))
+    grouped = s.groupBy("k").agg(F.count("*").cast("int").alias("n"), *_minima(values))
     return grouped.select("k", "n", F.array(*[f"m{i}" for i in range(values)]).alias("sig"))
 
 
@@ -67,12 +67,15 @@ def classes(
 ) -> DataFrame:
     """``k`` and ``component`` (least ``k``) of lines that are linked with another distinct line."""
     values = bands * rows
-    distinct = lines_of(docs, text_col).select("k", "norm").distinct()
+    distinct = lines_of(docs, text_col).groupBy("k").agg(F.first("norm").alias("norm"))
     signed = _signatures(distinct, width, values)
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.element_at("sig", b * rows + r + 1) for r in range(rows)]) for b in range(bands)])
     banded = signed.select("k", "n", F.explode(keys).alias("band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("m"), F.min("k").alias("centre")).where("m > 1")
-    star = common.materialize(banded.join(buckets.select("band", "centre"), "band"), "lines-stars")
+    shared = banded.withColumn("m", F.count("*").over(Window.partitionBy("band"))).where("m > 1")  # one shuffle, spilled sort
+    entry = common.materialize(shared, "lines-entries")
+    popular = entry.groupBy("k").agg(F.sum("m").alias("pop"))
+    centre = entry.join(popular, "k").groupBy("band").agg(F.min(F.struct(-F.col("pop"), "k")).alias("c")).select("band", F.col("c.k").alias("centre"))
+    star = common.materialize(entry.join(centre, "band").select("band", "k", "n", "centre"), "lines-stars")
 
     wanted = star.select("k").distinct()
     mark = F.xxhash64("k").bitwiseAND((1 << sieve_bits) - 1)
@@ -97,20 +100,22 @@ def classes(
     again = open_lines.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
     open_lines = common.materialize(open_lines.join(again, "band", "left_semi"), "lines-open")
     need = open_lines.select("k").distinct()
-    minhash = sets.join(need, "k", "left_semi").select("k", F.explode("hashes").alias("h")).groupBy("k").agg(*_minima(values))
+    open_sets = sets.join(need, "k", "left_semi")
+    minhash = open_sets.select("k", F.explode("hashes").alias("h")).groupBy("k").agg(*_minima(values))
     minhash = minhash.select("k", F.array(*[f"m{i}" for i in range(values)]).alias("sig"))
-    open_lines = common.materialize(open_lines.join(minhash, "k"), "lines-signed")
+    open_lines = common.materialize(open_lines.join(minhash, "k").join(open_sets, "k"), "lines-signed")
     l, r = open_lines.alias("l"), open_lines.alias("r")
     reach = 1 - threshold + 1e-9
-    rest = (
+    inside = F.size(F.array_intersect("l.hashes", "r.hashes"))
+    more = (
         l.join(r, F.col("l.band") == F.col("r.band"))
         .where("l.k < r.k and l.component <> r.component")
-        .where(f"l.n >= {threshold} * r.n and r.n >= {threshold} * l.n and abs(l.distance - r.distance) <= {reach}")
+        .where(f"l.n >= {threshold}D * r.n and r.n >= {threshold}D * l.n and abs(l.distance - r.distance) <= {reach}D")
         .where(_agreeing(F.col("l.sig"), F.col("r.sig")) >= agree)
+        .where(inside >= F.lit(threshold) * (F.size("l.hashes") + F.size("r.hashes") - inside) - 1e-9)
         .select(F.col("l.k").alias("a"), F.col("r.k").alias("b"))
         .distinct()
     )
-    more = _verify(rest, sets, threshold).where("linked").select("a", "b")
     return graph.components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)).withColumnRenamed("node", "k")
 
 
