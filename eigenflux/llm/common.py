@@ -62,9 +62,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, for choosing numbers of buckets."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, text_col: str = "text") -> int:
+    """Size for choosing numbers of shards: Catalyst's estimate where the input is files, else half the text's bytes."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate < 1 << 50:
+        return estimate
+    return int(df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0) // 2  # no estimate for rows that are not files
 
 
 def crc_mod(col: Column, n: int) -> Column:

@@ -65,9 +65,9 @@ def _ids(column: pa.Array) -> np.ndarray:
     return np.array([_LEAST if i is None else i for i in column.to_pylist()], np.int64)
 
 
-def _parts(docs: DataFrame, mb: int) -> int:
+def _parts(docs: DataFrame, mb: int, text_col: str = "text") -> int:
     spark = docs.sparkSession
-    return int(min(20_000, max(2 * spark.sparkContext.defaultParallelism, common.input_bytes(docs) // (mb << 20))))
+    return int(min(20_000, max(2 * spark.sparkContext.defaultParallelism, common.input_bytes(docs, text_col) // (mb << 20))))
 
 
 def with_next(
@@ -77,7 +77,7 @@ def with_next(
     spark = docs.sparkSession
     common.bound_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    parts = _parts(docs, range_mb)
+    parts = _parts(docs, range_mb, text_col)
     cuts = own.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first()["q"]
     bounds = np.unique(np.array([c for c in cuts or [] if c is not None], np.int64))
 
@@ -194,7 +194,7 @@ def classes(docs: DataFrame, marked: DataFrame, *, text_col: str = "text", bitma
 
     kind = "fingerprint string, salt int, doc_id long, class_id long, text binary"
     sent = own.mapInArrow(members, "fingerprint string, salt int, doc_id long, text binary")
-    first = sent.repartition(_parts(docs, 16), "fingerprint", "salt").sortWithinPartitions("fingerprint", "salt", "doc_id").mapInArrow(compare, kind)
+    first = sent.repartition(_parts(docs, 16, text_col), "fingerprint", "salt").sortWithinPartitions("fingerprint", "salt", "doc_id").mapInArrow(compare, kind)
     if not hot:
         return first.select("doc_id", "fingerprint", "class_id").distinct()
     first = common.materialize(first.withColumn("text", F.when(F.col("fingerprint").isin(list(hot)), F.col("text"))), "fingerprint-classes")

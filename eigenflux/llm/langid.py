@@ -59,7 +59,7 @@ class ContextTrees:
             if k > 1:  # strings that start before the array stay at the root of it
                 for g in self.langs:
                     own[g][: k - 1] = -1
-            keys = np.unique(np.concatenate(list(own.values())))
+            keys = np.unique(np.concatenate([np.zeros(0, np.int64), *own.values()]))
             keys = keys[keys >= 0]
             m = len(keys) + 1
             count = np.zeros((m, n))

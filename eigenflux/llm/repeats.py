@@ -237,7 +237,7 @@ def marks(docs: DataFrame, *, length: int = 100, gram: int = 24, text_col: str =
     spark = docs.sparkSession
     common.bound_batches(spark)
     keyed = _keyed(docs, text_col)
-    shards = int(min(50_000, max(2 * spark.sparkContext.defaultParallelism, common.input_bytes(docs) // (shard_mb << 20))))
+    shards = int(min(50_000, max(2 * spark.sparkContext.defaultParallelism, common.input_bytes(docs, text_col) // (shard_mb << 20))))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
