@@ -5,7 +5,7 @@ then they differ in at most ``H = floor((|x| + |y|) * (100 - p) / (100 + p))`` s
 universe of shingles is cut by hash into segments; a segment of allowance 0 is indexed by the hash of its subset, one of
 allowance 1 also by its one-deletion neighbourhood. With allowances d and ``sum(d + 1) > H`` any linked pair meets in an
 index entry. A cost model of entries written and of chance meetings picks how many segments get allowance 1 (``allocate``).
-One spare segment lets entries of empty subsets, which nearly all sets share, be left out unless a set has more of them.
+Spare segments let entries of empty subsets, which many sets share, be left out unless a set has more of them than spares.
 
 Equal sets are one class from the start: only its least document is indexed. Then, for all entries that several sets share:
 the most widely shared set of an entry is compared with each other set there (a star, not all pairs); verified links merge
@@ -55,40 +55,61 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def bands(largest: int, percent: int) -> list[int]:
+def bands(largest: int) -> list[int]:
     """Lower bounds of size bands; a set can link only within its band and to the next ones."""
     out = [1]
     while out[-1] <= largest:
-        out.append(max(out[-1] + 1, math.ceil(out[-1] * (100 / percent) ** 2)))
+        out.append(max(out[-1] + 1, math.ceil(out[-1] * 1.235)))
     return out
 
 
-def allocate(size: int, differ: int, spare: int = 1, chance: float = 200.0) -> tuple[int, int]:
-    """(segments, how many have allowance 1) of least cost: entries written plus expected chance meetings."""
-    need, best = differ + 1 + spare, None
-    for ones in range(need // 2 + 1):
-        n = need - ones
-        each = size / n
-        cost = n + ones * each + chance * n * math.exp(-each)
-        if best is None or cost < best[0]:
-            best = (cost, n, ones)
-    return best[1], best[2]
+#: Spare segments that ``allocate`` weighs.
+SPARES = (0, 1, 2, 3, 5, 8, 12, 18, 27, 40, 60, 90)
+
+
+def _beyond(mean: float, n: int) -> float:
+    """Chance that a Poisson count passes ``n``."""
+    term, total = math.exp(-mean), 0.0
+    for i in range(n + 1):
+        total += term
+        term *= mean / (i + 1)
+    return max(0.0, 1 - total)
+
+
+def allocate(size: int, differ: int, chance: float = 10.0, crowd: float = 1e4) -> tuple[int, int, int]:
+    """(segments, how many have allowance 1, spare) of least cost for the least size of a band.
+
+    The cost is entries written, plus expected chance meetings, plus the chance of more empty segments than spare ones, as a
+    set that writes entries for its empty segments meets a crowd there.
+    """
+    best = None
+    for spare in SPARES:
+        need = differ + 1 + spare
+        for ones in range(0, need // 2 + 1, max(1, need // 40)):
+            n = need - ones
+            each = size / n
+            bare = math.exp(-each)
+            empty = (n - ones) * bare + 2 * ones * (1 + each) * bare
+            cost = n + ones * each + chance * n * bare + crowd * _beyond(empty, spare)
+            if best is None or cost < best[0]:
+                best = (cost, n, ones, spare)
+    return best[1], best[2], best[3]
 
 
 class Scheme:
     """Segments and allowances of every band."""
 
-    def __init__(self, percent: int, largest: int = 1 << 31, spare: int = 1):
-        self.percent, self.spare = percent, spare
-        self.low = np.array(bands(largest, percent), np.int64)
-        self.plan: dict[int, tuple[int, int, int]] = {}
+    def __init__(self, percent: int, largest: int = 1 << 31):
+        self.percent = percent
+        self.low = np.array(bands(largest), np.int64)
+        self.plan: dict[int, tuple[int, int, int, int]] = {}
 
-    def of(self, band: int) -> tuple[int, int, int]:
-        """(greatest difference, segments, segments of allowance 1)."""
+    def of(self, band: int) -> tuple[int, int, int, int]:
+        """(greatest difference, segments, segments of allowance 1, spare segments)."""
         if band not in self.plan:
             low, high = int(self.low[band]), int(self.low[band + 1]) - 1
             differ = 2 * high * (100 - self.percent) // (100 + self.percent)
-            self.plan[band] = (differ, *allocate(low, differ, self.spare)) if differ else (0, 0, 0)
+            self.plan[band] = (differ, *allocate(low * self.percent // 100, differ)) if differ else (0, 0, 0, 0)
         return self.plan[band]
 
     def bands_of(self, size: int) -> list[int]:
@@ -108,7 +129,7 @@ class Scheme:
         place, value = mix(tokens + _K2), mix(tokens + _K3)
         halves = (value & _U(0xFFFFFFFF)).astype(np.float64), (value >> _U(32)).astype(np.float64)
         for band in self.bands_of(len(tokens)):
-            differ, segments, ones = self.of(band)
+            differ, segments, ones, spare = self.of(band)
             if not differ:  # only equal sets link here
                 continue
             at = (place % _U(segments)).astype(np.int64)
@@ -118,7 +139,7 @@ class Scheme:
             tag = mix(np.arange(segments, dtype=_U) * _K1 + np.full(segments, band, _U) * _K2)
             empty = count == 0
             lone = (count <= 1) & (np.arange(segments) < ones)
-            keep_empty = int(empty[ones:].sum()) + 2 * int(lone.sum()) > self.spare
+            keep_empty = int(empty[ones:].sum()) + 2 * int(lone.sum()) > spare
             out.append(mix(total + tag)[~empty | keep_empty])
             if ones:
                 inside = np.flatnonzero(at < ones)
