@@ -76,7 +76,7 @@ def _beyond(mean: float, n: int) -> float:
     return max(0.0, 1 - total)
 
 
-def allocate(size: int, differ: int, chance: float = 10.0, crowd: float = 1e4) -> tuple[int, int, int]:
+def allocate(size: int, differ: int, chance: float = 3.0, crowd: float = 1e3) -> tuple[int, int, int]:
     """(segments, how many have allowance 1, spare) of least cost for the least size of a band.
 
     The cost is entries written, plus expected chance meetings, plus the chance of more empty segments than spare ones, as a
