@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 Lines (parts between line feeds) are lower-cased and their white space is folded; blank lines take no part. A line's set
-holds its distinct character shingles: the ``width`` characters from the start of each word on (fewer at the line's end).
+holds its distinct character shingles: the ``width`` characters from every character on (fewer at the line's end).
 Distinct lines get ``bands * rows`` MinHash values in one aggregation; equal values in all rows of a band make candidates.
 In each band bucket the most widely shared line is compared with the others (a star); exact Jaccard similarity on whole sets
 decides. Lines of a bucket that are then still in different components are joined where they link: the join's condition asks
@@ -33,7 +33,9 @@ def lines_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def shingles(norm: Column, width: int) -> Column:
-    return F.array_distinct(F.regexp_extract_all(norm, F.lit(f"(?<![^ ])(?=(.{{1,{width}}}))"), 1))
+    """Distinct 64-bit hashes of the shingles that start at every character."""
+    every = F.regexp_extract_all(norm, F.lit(f"(?s)(?=(.{{1,{width}}}))."), 1)
+    return F.array_distinct(F.transform(every, lambda s: F.xxhash64(s)))
 
 
 def _minima(values: int) -> list[Column]:
@@ -43,7 +45,7 @@ def _minima(values: int) -> list[Column]:
 
 def _signatures(distinct: DataFrame, width: int, values: int) -> DataFrame:
     """``k, n, sig`` of distinct lines; the grouping is on the column that the lines are already dealt by."""
-    s = distinct.select("k", F.explode(shingles(F.col("norm"), width)).alias("s")).select("k", F.xxhash64("s").alias("h"))
+    s = distinct.select("k", F.explode(shingles(F.col("norm"), width)).alias("h"))
     grouped = s.groupBy("k").agg(F.count("*").cast("int").alias("n"), *_minima(values))
     return grouped.select("k", "n", F.array(*[f"m{i}" for i in range(values)]).alias("sig"))
 
@@ -52,12 +54,12 @@ def _agreeing(x: Column, y: Column) -> Column:
     return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda e: e))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("hashes").alias("x")), "a").join(
-        sets.select(F.col("k").alias("b"), F.col("hashes").alias("y")), "b"
+def _verify(pairs: DataFrame, sets: DataFrame, threshold: float, width: int) -> DataFrame:
+    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("norm").alias("x"), F.col("n").alias("nx")), "a").join(
+        sets.select(F.col("k").alias("b"), F.col("norm").alias("y"), F.col("n").alias("ny")), "b"
     )
-    inside = F.size(F.array_intersect("x", "y"))
-    checked = both.select("a", "b", inside.alias("i"), (F.size("x") + F.size("y") - inside).alias("u"))
+    inside = F.size(F.array_intersect(shingles(F.col("x"), width), shingles(F.col("y"), width)))
+    checked = both.select("a", "b", "nx", "ny", inside.alias("i")).select("a", "b", "i", (F.col("nx") + F.col("ny") - F.col("i")).alias("u"))
     out = checked.select("a", "b", (1 - F.col("i") / F.col("u")).alias("distance"), (F.col("i") >= F.lit(threshold) * F.col("u") - 1e-9).alias("linked"))
     return common.materialize(out, "lines-verified")
 
@@ -77,14 +79,14 @@ def classes(
     centre = entry.join(popular, "k").groupBy("band").agg(F.min(F.struct(-F.col("pop"), "k")).alias("c")).select("band", F.col("c.k").alias("centre"))
     star = common.materialize(entry.join(centre, "band").select("band", "k", "n", "centre"), "lines-stars")
 
-    wanted = star.select("k").distinct()
+    wanted = star.select("k", "n").distinct()
     mark = F.xxhash64("k").bitwiseAND((1 << sieve_bits) - 1)
     sieve = wanted.select(mark.alias("mark")).distinct()  # at most 2 ** sieve_bits numbers
     texts = lines_of(docs, text_col).select("k", "norm").withColumn("mark", mark).join(F.broadcast(sieve), "mark", "left_semi")
-    texts = texts.select("k", "norm").distinct().join(wanted, "k", "left_semi")
-    sets = common.materialize(texts.select("k", F.transform(shingles(F.col("norm"), width), lambda s: F.xxhash64(s)).alias("hashes")), "lines-sets")
+    texts = texts.select("k", "norm").distinct().join(wanted, "k")
+    sets = common.materialize(texts.select("k", "n", "norm"), "lines-sets")  # a shingle's hash takes eight times its share of the text
 
-    checked = _verify(star.where("k <> centre").select(F.col("centre").alias("a"), F.col("k").alias("b")).distinct(), sets, threshold)
+    checked = _verify(star.where("k <> centre").select(F.col("centre").alias("a"), F.col("k").alias("b")).distinct(), sets, threshold, width)
     joined = common.materialize(graph.components(checked.where("linked").select("a", "b")), "lines-joined")
 
     # What remains: lines of one bucket in different components.
@@ -101,18 +103,18 @@ def classes(
     open_lines = common.materialize(open_lines.join(again, "band", "left_semi"), "lines-open")
     need = open_lines.select("k").distinct()
     open_sets = sets.join(need, "k", "left_semi")
-    minhash = open_sets.select("k", F.explode("hashes").alias("h")).groupBy("k").agg(*_minima(values))
+    minhash = open_sets.select("k", F.explode(shingles(F.col("norm"), width)).alias("h")).groupBy("k").agg(*_minima(values))
     minhash = minhash.select("k", F.array(*[f"m{i}" for i in range(values)]).alias("sig"))
-    open_lines = common.materialize(open_lines.join(minhash, "k").join(open_sets, "k"), "lines-signed")
+    open_lines = common.materialize(open_lines.join(minhash, "k").join(open_sets.select("k", "norm"), "k"), "lines-signed")
     l, r = open_lines.alias("l"), open_lines.alias("r")
     reach = 1 - threshold + 1e-9
-    inside = F.size(F.array_intersect("l.hashes", "r.hashes"))
+    inside = F.size(F.array_intersect(shingles(F.col("l.norm"), width), shingles(F.col("r.norm"), width)))
     more = (
         l.join(r, F.col("l.band") == F.col("r.band"))
         .where("l.k < r.k and l.component <> r.component")
         .where(f"l.n >= {threshold}D * r.n and r.n >= {threshold}D * l.n and abs(l.distance - r.distance) <= {reach}D")
         .where(_agreeing(F.col("l.sig"), F.col("r.sig")) >= agree)
-        .where(inside >= F.lit(threshold) * (F.size("l.hashes") + F.size("r.hashes") - inside) - 1e-9)
+        .where(inside * (1 + threshold) >= F.lit(threshold) * (F.col("l.n") + F.col("r.n")) - 1e-9)
         .select(F.col("l.k").alias("a"), F.col("r.k").alias("b"))
         .distinct()
     )

@@ -138,6 +138,34 @@ def test_lines(spark):
         assert text[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in got[i])
 
 
+def every_position(rows, threshold=0.8, width=12):
+    """Removed lines by brute force over the shingles of every character."""
+    occurs = [(i, k, fold(x)) for i, t in sorted(rows) for k, x in enumerate((t or "").split("\n")) if fold(x)]
+    sets = {n: frozenset(n[c : c + width] for c in range(len(n))) for _, _, n in occurs}
+    keys = sorted(sets)
+    pairs = [(a, b) for x, a in enumerate(keys) for b in keys[x + 1 :] if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9]
+    group, seen, gone = union_find(pairs, keys), set(), collections.defaultdict(list)
+    for i, k, n in occurs:
+        if group[n] in seen:
+            gone[i].append(k)
+        seen.add(group[n])
+    return {i: gone[i] for i, _ in rows}
+
+
+def test_lines_shingle_every_character(spark):
+    rng = random.Random(8)
+    glyphs = [chr(c) for c in range(0x4E00, 0x4F00)] + ["😀", "\u2028"]
+    long = ["".join(rng.choice(glyphs) for _ in range(150)) for _ in range(4)]
+    texts = ["https://www.example.org/a", "https://www.other.net/b/c", "data/2024-01/file_000001", "data/2024-01/file_999999"]
+    texts += ["漢字仮名交文章一二三四五六" + x for x in ("春夏秋冬東西南北上下左右", "犬猫鳥魚牛馬羊豚鼠虎兎竜")]
+    texts += [x[:at] + "文" + x[at + 1 :] for x in long for at in (3, 70, 149)] + long
+    texts += [" ".join(rng.choice(["alpha", "beta", "gamma"]) + str(rng.randrange(9)) for _ in range(25)) + end for end in ("", " x") for _ in range(3)]
+    texts.append("\n".join([texts[0], texts[-1].upper(), long[0][:-1]]))
+    got = {r["doc_id"]: r["removed"] for r in lines.removed(docs_of(spark, texts)).collect()}
+    assert got == every_position(list(enumerate(texts)))
+    assert not any(got[i] for i in range(6))
+
+
 # 3 jaccard
 
 
