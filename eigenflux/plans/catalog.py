@@ -72,6 +72,14 @@ def _pod2(spark, d):
     return modal.pod(two(spark, d))
 
 
+def _pod5(spark, d):
+    return modal.pod(hours(spark, d))
+
+
+def _ij(df: DataFrame, *values: Column) -> DataFrame:
+    return df.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), *values)
+
+
 def weighted_energy(spark, d):
     data = hours(spark, d)
     data = data.with_metric("prescribed", np.arange(1, data.n_space + 1))
@@ -110,11 +118,11 @@ def stpod_energy(spark, d):
     return spark.createDataFrame([(modal.stpod(hours(spark, d), delays=4).attrs["total_energy"],)], "e double").select(rounded("e", "energy"))
 
 
-def dmd_operator(spark, d):
-    x1, x2, _ = modal._pair_factors(two(spark, d), 1)
+def dmd_operator(data: Dataset) -> DataFrame:
+    x1, x2, _ = modal._pair_factors(data, 1)
     a = x2 @ np.linalg.pinv(x1)
-    rows = [(i, j, float(a[i, j])) for i in range(2) for j in range(2)]
-    return spark.createDataFrame(rows, "i long, j long, v double").select("i", "j", rounded("v", "a"))
+    rows = [(i, j, float(a[i, j])) for i in range(len(a)) for j in range(len(a))]
+    return data.spark.createDataFrame(rows, "i long, j long, v double").select("i", "j", rounded("v", "a"))
 
 
 def _eig(df: DataFrame) -> DataFrame:
@@ -150,26 +158,26 @@ def _bsmd(data: Dataset):
 
 
 def bispectrum(spark, d):
-    eig = _one_place_bispectrum(one(spark, d))
+    eig = _bispectrum(one(spark, d))
     return eig.select("p1", "p2", "p3", rounded("re", "re"), rounded("im", "im"))
 
 
-def _one_place_bispectrum(data: Dataset) -> DataFrame:
-    """Mean triple product of one place's blocks, as joins of its transform."""
+def _bispectrum(data: Dataset) -> DataFrame:
+    """Mean triple product of each place's blocks, as joins of its transform."""
     spark = data.spark
-    q = qhat(data, "hamming").select("f", "b", "re", "im")
+    q = qhat(data, "hamming").select("f", "s", "b", "re", "im")
     span = spark.range(-8, 9).withColumnRenamed("id", "p")
-    x = q.join(F.broadcast(span), q["f"] == F.abs("p")).select("p", "b", "re", F.when(F.col("p") < 0, -F.col("im")).otherwise(F.col("im")).alias("im"))
+    x = q.join(F.broadcast(span), q["f"] == F.abs("p")).select("p", "s", "b", "re", F.when(F.col("p") < 0, -F.col("im")).otherwise(F.col("im")).alias("im"))
     t = F.broadcast(triad_frame(spark, modal.triads()))
 
     def side(n: int) -> DataFrame:
-        return x.select(F.col("p").alias(f"p{n}"), "b", F.col("re").alias(f"r{n}"), F.col("im").alias(f"i{n}"))
+        return x.select(F.col("p").alias(f"p{n}"), "s", "b", F.col("re").alias(f"r{n}"), F.col("im").alias(f"i{n}"))
 
-    rows = side(1).join(t, "p1").join(side(2), ["p2", "b"]).join(side(3), ["p3", "b"])
+    rows = side(1).join(t, "p1").join(side(2), ["p2", "s", "b"]).join(side(3), ["p3", "s", "b"])
     re, im = F.expr("r1 * r2 - i1 * i2"), F.expr("r1 * i2 + i1 * r2")
-    rows = rows.select("p1", "p2", "p3", re.alias("re"), im.alias("im"), "r3", "i3")
+    rows = rows.select("p1", "p2", "p3", "s", re.alias("re"), im.alias("im"), "r3", "i3")
     mean = lambda e: F.avg(F.expr(e))
-    return rows.groupBy("p1", "p2", "p3").agg(mean("re * r3 + im * i3").alias("re"), mean("im * r3 - re * i3").alias("im"))
+    return rows.groupBy("p1", "p2", "p3", "s").agg(mean("re * r3 + im * i3").alias("re"), mean("im * r3 - re * i3").alias("im"))
 
 
 def nearest_index(spark, d):
@@ -212,7 +220,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stpod_gram_d2": stpod_gram,
     "stpod_eig_1dof_d2": lambda s, d: modal.stpod(one(s, d), delays=2).eig.select("mode", rounded("lambda_re", "lambda")),
     "shifted_pairs_H2": lambda s, d: lifts.pairs(two(s, d).long).select("t", "s", rounded("x1", "x1"), rounded("x2", "x2")),
-    "dmd_operator_H2": dmd_operator,
+    "dmd_operator_H2": lambda s, d: dmd_operator(two(s, d)),
     "dmd_eig_H2": lambda s, d: _eig(modal.dmd(two(s, d), rank=2).eig),
     "dmd_omega_H2": lambda s, d: modal.dmd(two(s, d), rank=2).eig.select("mode", rounded("growth", "growth"), rounded("freq", "freq")),
     "hodmd_eig_1dof_d2": lambda s, d: _eig(modal.hodmd(one(s, d), rank=2, delays=2).eig),
@@ -237,6 +245,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gen_double_gyre": lambda s, d: _long(generators.double_gyre(s, 20, 10, 30).long),
     "gen_taylor_green": lambda s, d: _long(generators.taylor_green(s, 16, 16, 20).long),
     "periodogram_H": lambda s, d: reports.periodogram(hours(s, d).long, 720, 1.0).select("s", "f", rounded("power", "power")),
+    # The two-place and one-place queries above are checks against closed forms in SQL; these are over all event types.
+    "pod_modes_H": lambda s, d: _pod5(s, d).modes.select(F.col("mode").cast("long").alias("mode"), "s", rounded("re", "phi")),
+    "pod_coeffs_H": lambda s, d: _pod5(s, d).coef.select(F.col("mode").cast("long").alias("mode"), "t", rounded("re", "a")),
+    "pod_cumulative_H": lambda s, d: reports.cumulative(_pod5(s, d)).select("mode", rounded("pct", "pct"), rounded("cum_pct", "cum_pct")),
+    "pod_recon_error_H": lambda s, d: reports.reconstruction(hours(s, d), _pod5(s, d), [1, 2, 3, 4]).select("k", rounded("error_pct", "error_pct")),
+    "pod_orthogonality_H": lambda s, d: _ij(reports.orthogonality(hours(s, d), _pod5(s, d)), rounded("inner", "inner_product")),
+    "mode_pair_corr_H": lambda s, d: _ij(reports.pair_correlation(_pod5(s, d)), rounded("r", "r")),
+    "stpod_eig_H_d2": lambda s, d: modal.stpod(hours(s, d), delays=2).eig.select("mode", rounded("lambda_re", "lambda")),
+    "shifted_pairs_H": lambda s, d: lifts.pairs(hours(s, d).long).select("t", "s", rounded("x1", "x1"), rounded("x2", "x2")),
+    "dmd_operator_H": lambda s, d: dmd_operator(hours(s, d)),
+    "dmd_eig_H": lambda s, d: _eig(modal.dmd(hours(s, d), rank=5).eig),
+    "dmd_omega_H": lambda s, d: modal.dmd(hours(s, d), rank=5).eig.select("mode", rounded("growth", "growth"), rounded("freq", "freq")),
+    "hodmd_eig_H_d2": lambda s, d: _eig(modal.hodmd(hours(s, d), rank=10, delays=2).eig),
+    "welch_qhat_H": lambda s, d: qhat(hours(s, d), "hamming").select("f", "s", "b", rounded("re", "re"), rounded("im", "im")),
+    "spod_eig_H": lambda s, d: modal.spod(hours(s, d), **WELCH).eig.where("mode < 5").select("f", "mode", rounded("lambda_re", "lambda")),
+    "spod_peak_H": lambda s, d: reports.peak(modal.spod(hours(s, d), **WELCH)).select("f", rounded("lambda", "lambda")),
+    "psdpod_trace_H": lambda s, d: modal.psd_pod(hours(s, d), **WELCH).eig.agg(rounded(F.sum("lambda_re"), "trace")),
+    "psdpod_eig_H": lambda s, d: modal.psd_pod(hours(s, d), **WELCH).eig.select("mode", rounded("lambda_re", "lambda")),
+    "mpod_eig_H": lambda s, d: modal.mpod(hours(s, d), [0.0, 0.05, 0.2, 0.5]).eig.select("mode", "band", rounded("lambda_re", "lambda")),
+    "bispectrum_H": lambda s, d: _bispectrum(hours(s, d)).select("p1", "p2", "p3", "s", rounded("re", "re"), rounded("im", "im")),
+    "bsmd_eig_H": lambda s, d: _bsmd(hours(s, d)).eig.select(*[F.col(p).cast("long").alias(p) for p in ("p1", "p2", "p3")], rounded("modulus", "modulus", 4)),
+    "bsmd_energy_map_H": lambda s, d: reports.energy_map(_bsmd(hours(s, d)), 8).select("p1", "p2", rounded(F.when(F.isnan("modulus"), -1.0).otherwise(F.col("modulus")), "modulus", 4)),
     "pod_eig_H": rows_only(lambda s, d: modal.pod(hours(s, d))),
     "pod_E": rows_only(lambda s, d: modal.pod(tables.vectors(s, d))),
     "pod_D": rows_only(lambda s, d: modal.pod(tables.daily_events(s, d))),

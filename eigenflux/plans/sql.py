@@ -111,6 +111,7 @@ o AS (SELECT CAST(row_number() OVER (ORDER BY round(re * re + im * im, 12) DESC,
     q["spod_peak_H2"] = f"WITH {her}, {both}, l AS (SELECT f, {plus} AS v FROM k) SELECT arg_max(f, v) AS f, {r('max(v)', 'lambda')} FROM l"
     size = BLOCKS * (N // 2 + 1)
     q["psdpod_trace_H2"] = f"WITH {H2}, {blocks('H', 'hamming')} SELECT {r(f'sum(re * re + im * im) / {size}', 'trace')} FROM Q"
+    q["psdpod_trace_H"] = f"WITH {H}, {blocks('H', 'hamming')} SELECT {r(f'sum(re * re + im * im) / {size}', 'trace')} FROM Q"
     pooled = f"k AS (SELECT {sums.format(c=f'1.0 / {size}')} FROM P)"
     q["psdpod_eig_H2"] = f"WITH {her}, {pooled} SELECT CAST(0 AS BIGINT) AS mode, {r(plus, 'lambda')} FROM k UNION ALL SELECT 1, {r(minus, 'lambda')} FROM k"
     dft = "F AS (SELECT k.range AS k, s, sum(q * cos({tau} * ((k.range * t) % 720) / 720)) AS re, -sum(q * sin({tau} * ((k.range * t) % 720) / 720)) AS im FROM {field}, range(361) k GROUP BY 1, 2), B AS (SELECT *, CASE WHEN k = 0 OR k = 360 THEN 1.0 ELSE 2.0 END AS c, CASE WHEN k / 720.0 < 0.05 THEN 0 WHEN k / 720.0 < 0.2 THEN 1 ELSE 2 END AS band FROM F)"

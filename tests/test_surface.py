@@ -190,3 +190,48 @@ def test_queries_match_sql(spark, name):
     order = [c for c in columns if want[c].dtype.kind == "i"] or columns
     got, want = (x[columns].sort_values(order).reset_index(drop=True) for x in (got, want))
     assert len(got) == len(want) and np.allclose(got.to_numpy(float), want.to_numpy(float), rtol=1e-9, atol=2e-4)
+
+
+def test_queries_over_all_event_types(spark):
+    got = {n: catalog.queries()[n](spark, DATA).toPandas() for n in (
+        "snapshot_long_H", "pod_cumulative_H", "pod_recon_error_H", "pod_orthogonality_H", "mode_pair_corr_H", "stpod_eig_H_d2", "shifted_pairs_H", "dmd_operator_H", "dmd_eig_H",
+        "hodmd_eig_H_d2", "welch_qhat_H", "spod_eig_H", "spod_peak_H", "psdpod_eig_H", "mpod_eig_H", "bispectrum_H", "bsmd_eig_H", "bsmd_energy_map_H",
+    )}
+    x = got["snapshot_long_H"].pivot(index="s", columns="t", values="q").to_numpy()
+    assert x.shape == (5, 720)
+    z = x - x.mean(1, keepdims=True)
+    value = np.linalg.eigvalsh(z @ z.T / 720)[::-1]
+    assert np.allclose(got["pod_cumulative_H"].sort_values("mode")["cum_pct"], 100 * np.cumsum(value) / value.sum(), atol=1e-5)
+    assert np.allclose(got["pod_recon_error_H"].sort_values("k")["error_pct"], 100 * np.sqrt(1 - np.cumsum(value)[:4] / value.sum()), atol=1e-4)
+    inner = got["pod_orthogonality_H"]
+    assert len(inner) == 15 and np.allclose(inner["inner_product"], inner["i"] == inner["j"], atol=1e-6)
+    assert len(got["mode_pair_corr_H"]) == 10 and np.allclose(got["mode_pair_corr_H"]["r"], 0, atol=1e-5)
+    late = np.concatenate((z[:, :-1], z[:, 1:]))
+    assert np.allclose(got["stpod_eig_H_d2"].sort_values("mode")["lambda"], np.linalg.eigvalsh(late @ late.T / 719)[::-1])
+    assert len(got["shifted_pairs_H"]) == 5 * 719
+    a = x[:, 1:] @ np.linalg.pinv(x[:, :-1])
+    assert np.allclose(got["dmd_operator_H"].pivot(index="i", columns="j", values="a"), a, atol=1e-5)
+    order = lambda v: sorted(v, key=lambda c: (round(c.real, 5), round(c.imag, 5)))
+    assert np.allclose(order(got["dmd_eig_H"]["lambda_re"] + 1j * got["dmd_eig_H"]["lambda_im"]), order(np.linalg.eigvals(a)), atol=1e-5)
+    x2 = np.concatenate((x[:, :-1], x[:, 1:]))
+    a2 = x2[:, 1:] @ np.linalg.pinv(x2[:, :-1])
+    assert np.allclose(order(got["hodmd_eig_H_d2"]["lambda_re"] + 1j * got["hodmd_eig_H_d2"]["lambda_im"]), order(np.linalg.eigvals(a2)), atol=1e-5)
+    window = 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(24) / 24)
+    blocks = np.stack([z[:, b * 12 : b * 12 + 24] for b in range(59)], 1) * window
+    q = np.fft.rfft(blocks)[..., :13] / 24 / np.sqrt((window**2).mean())  # s, b, f
+    mine = got["welch_qhat_H"].sort_values(["s", "b", "f"])
+    assert np.allclose((mine["re"] + 1j * mine["im"]).to_numpy().reshape(5, 59, 13), q, atol=1e-5)
+    spod = np.stack([np.linalg.eigvalsh(q[:, :, f] @ q[:, :, f].conj().T * 24 / 59)[::-1] for f in range(13)])
+    assert np.allclose(got["spod_eig_H"].pivot(index="f", columns="mode", values="lambda"), spod, rtol=1e-6, atol=1e-4)
+    peak = got["spod_peak_H"].iloc[0]
+    assert peak["f"] == spod[:, 0].argmax() and np.isclose(peak["lambda"], spod[:, 0].max())
+    flat = q.reshape(5, -1)
+    assert np.allclose(got["psdpod_eig_H"].sort_values("mode")["lambda"][:5], np.linalg.eigvalsh(flat @ flat.conj().T / flat.shape[1])[::-1], atol=1e-5)
+    assert got["mpod_eig_H"].groupby("band").size().tolist() == [5, 5, 5] and np.isclose(got["mpod_eig_H"]["lambda"].sum(), value.sum())
+    at = lambda p: q[:, :, p] if p >= 0 else q[:, :, -p].conj()
+    triple = got["bispectrum_H"]
+    want = [(at(p1) * at(p2) * at(p3).conj())[s].mean() for p1, p2, p3, s in triple[["p1", "p2", "p3", "s"]].itertuples(index=False)]
+    assert set(triple["s"]) == set(range(5)) and np.allclose(triple["re"] + 1j * triple["im"], want, rtol=1e-6, atol=1e-4)
+    assert len(triple) == 5 * len(got["bsmd_eig_H"])
+    seen = got["bsmd_energy_map_H"]
+    assert len(seen) == 17 * 17 and np.allclose(sorted(seen["modulus"][seen["modulus"] >= 0]), sorted(got["bsmd_eig_H"]["modulus"]))
