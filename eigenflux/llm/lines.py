@@ -7,13 +7,13 @@ In each band bucket the most widely shared line is compared with the others (a s
 decides. Lines of a bucket that are then still in different components are joined where they link: the join's condition asks
 for like set sizes, like exact distances to the star's centre (a metric), ``agree`` equal MinHash values and, last, the exact
 similarity, so only links leave the join. Components come from distributed
-stars; the line of least (id, line number) of each component stays and the others go.
+stars; the line of least (id, digest of the text, line number) of each component stays and the others go.
 
 With 8 bands of 3 rows a pair at 0.8 is a candidate with probability 0.997, at 0.9 with 0.99999; ``agree`` of 24 values is
 missed by a pair at 0.8 with probability below 1e-4.
 
-Null and empty texts have no lines. Lines of rows that share an id and line number are one line. Very long lines are
-dealt with whole. An empty table gives an empty one; other columns are not read.
+Null and empty texts have no lines. Rows that share an id (null ids among them) are told apart by a digest of the text; rows
+that share both are one document. Very long lines are dealt with whole. An empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,11 +24,15 @@ from pyspark.sql import functions as F
 from eigenflux.llm import common, graph
 
 
+def digest_of(text_col: str) -> Column:
+    return F.md5(F.col(f"`{text_col}`").cast("binary")).alias("digest")
+
+
 def lines_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``doc_id, line, norm, k`` of each line that is not blank; ``k`` is the 128-bit digest of ``norm``."""
-    parts = docs.select("doc_id", F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("line", "raw"))
+    """``doc_id, digest, line, norm, k`` of each line that is not blank; ``digest`` and ``k`` are MD5 of the text and of ``norm``."""
+    parts = docs.select("doc_id", digest_of(text_col), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("line", "raw"))
     norm = F.trim(F.regexp_replace(F.lower("raw"), r"\s+", " "))
-    parts = parts.select("doc_id", "line", norm.alias("norm")).where("norm <> ''")
+    parts = parts.select("doc_id", "digest", "line", norm.alias("norm")).where("norm <> ''")
     return parts.withColumn("k", F.unhex(F.md5("norm")))
 
 
@@ -122,28 +126,30 @@ def classes(
 
 
 def removed(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id``, ``n_lines`` (not blank), ``removed`` (line numbers that go, ascending) of every document id."""
+    """``doc_id``, ``digest``, ``n_lines`` (not blank), ``removed`` (line numbers that go, ascending) of every id and text."""
     text_col = options.get("text_col", "text")
     linked = common.materialize(classes(docs, **options), "lines-classes")
-    own = lines_of(docs, text_col).select("doc_id", "line", "k").join(linked, "k", "left")
-    own = own.select("doc_id", "line", F.coalesce("component", "k").alias("component"))
-    first = own.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    said = own.join(first, "component").select("doc_id", "line", (~F.struct("doc_id", "line").eqNullSafe(F.col("first"))).alias("goes"))
-    by_doc = said.groupBy("doc_id").agg(
+    own = lines_of(docs, text_col).select("doc_id", "digest", "line", "k").join(linked, "k", "left")
+    own = own.select("doc_id", "digest", "line", F.coalesce("component", "k").alias("component"))
+    at = F.struct("doc_id", "digest", "line")
+    first = own.groupBy("component").agg(F.min(at).alias("first"))
+    said = own.join(first, "component").select("doc_id", "digest", "line", (~at.eqNullSafe(F.col("first"))).alias("goes"))
+    by_doc = said.groupBy("doc_id", "digest").agg(
         F.countDistinct("line").alias("n_lines"), F.array_sort(F.collect_set(F.when(F.col("goes"), F.col("line")))).alias("removed")
     )
-    ids = docs.select("doc_id").distinct()
+    ids = docs.select("doc_id", digest_of(text_col)).distinct()
     none = F.array().cast("array<int>")
-    return ids.join(by_doc, ids["doc_id"].eqNullSafe(by_doc["doc_id"]), "left").select(
-        ids["doc_id"], F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("removed", none).alias("removed")
+    same = ids["doc_id"].eqNullSafe(by_doc["doc_id"]) & ids["digest"].eqNullSafe(by_doc["digest"])
+    return ids.join(by_doc, same, "left").select(
+        ids["doc_id"], ids["digest"], F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("removed", none).alias("removed")
     )
 
 
 def without(docs: DataFrame, gone: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with the lines of ``gone`` (of ``removed()``) taken out of the text, and ``__left`` (lines that stay)."""
-    g = gone.select(F.col("doc_id").alias("__id"), F.col("removed").alias("__removed"), "n_lines")
+    g = gone.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("removed").alias("__removed"), "n_lines")
     text = F.col(f"`{text_col}`")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    both = docs.join(g, docs["doc_id"].eqNullSafe(g["__id"]), "left")
+    both = docs.join(g, docs["doc_id"].eqNullSafe(g["__id"]) & digest_of(text_col).eqNullSafe(g["__digest"]), "left")
     out = both.withColumn(text_col, F.when(F.size("__removed") > 0, kept).otherwise(text))
     return out.withColumn("__left", F.col("n_lines") - F.size("__removed")).select(*docs.columns, "__left", F.size("__removed").alias("__gone"))

@@ -24,7 +24,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that go because an earlier line is alike (Jaccard 0.8 or more, through any chain)."""
-    return lines.removed(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+    gone = lines.removed(table(spark, sf_dir, "documents"))
+    return gone.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", F.col("digest").alias("text_md5"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

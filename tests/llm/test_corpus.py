@@ -166,6 +166,18 @@ def test_lines_shingle_every_character(spark):
     assert not any(got[i] for i in range(6))
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    line = "one line that is said more than once"
+    rows = [(1, line), (None, line + "\nand one of its own"), (None, "a clean document of one line"), (7, "first of two rows"), (7, line + "\nsecond of two rows"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = lines.without(docs, lines.removed(docs)).collect()
+    kept = collections.Counter("a clean document of one line,first of two rows,second of two rows".split(",") + ["and one of its own"])
+    assert len(out) == len(rows)
+    left = collections.Counter(x for r in out for x in (r["text"] or "").split("\n") if x)
+    assert left == kept + collections.Counter([line])
+    assert not [r for r in out if r["__gone"] and not r["__left"] and r["text"] != ""]
+
+
 # 3 jaccard
 
 
