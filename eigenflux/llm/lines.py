@@ -5,12 +5,12 @@ holds its distinct character shingles: the ``width`` characters from every chara
 Distinct lines get ``bands * rows`` MinHash values in one aggregation; equal values in all rows of a band make candidates.
 In each band bucket the most widely shared line is compared with the others (a star); exact Jaccard similarity on whole sets
 decides. Lines of a bucket that are then still in different components are joined where they link: the join's condition asks
-for like set sizes, like exact distances to the star's centre (a metric), ``agree`` equal MinHash values and, last, the exact
-similarity, so only links leave the join. Components come from distributed
+for like set sizes, like exact distances to the star's centre (a metric), like profiles (counts of shingles by hash, which
+differ in sum by no more than the sets do) and, last, the exact similarity, so only links leave the join and none is lost. Components come from distributed
 stars; the line of least (id, digest of the text, line number) of each component stays and the others go.
 
-With 8 bands of 3 rows a pair at 0.8 is a candidate with probability 0.997, at 0.9 with 0.99999; ``agree`` of 24 values is
-missed by a pair at 0.8 with probability below 1e-4.
+With 8 bands of 3 rows a pair at 0.8 is a candidate with probability 0.997, at 0.9 with 0.99999; nothing behind the
+bands is left to chance.
 
 Null and empty texts have no lines. Rows that share an id (null ids among them) are told apart by a digest of the text; rows
 that share both are one document. Very long lines are dealt with whole. An empty table gives an empty one; other columns are not read.
@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 
 from eigenflux.llm import common, graph
 
+#: Counters of a profile.
+COUNTERS = 128
+
 
 def digest_of(text_col: str) -> Column:
     return F.md5(F.col(f"`{text_col}`").cast("binary")).alias("digest")
@@ -54,8 +57,17 @@ def _signatures(distinct: DataFrame, width: int, values: int) -> DataFrame:
     return grouped.select("k", "n", F.array(*[f"m{i}" for i in range(values)]).alias("sig"))
 
 
-def _agreeing(x: Column, y: Column) -> Column:
-    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda e: e))
+def _profiles(sets: DataFrame, width: int) -> DataFrame:
+    """``k, profile``: a line's distinct shingles counted by hash in ``COUNTERS`` counters."""
+    h = sets.select("k", F.explode(shingles(F.col("norm"), width)).alias("h"))
+    counts = h.groupBy("k", F.col("h").bitwiseAND(COUNTERS - 1).cast("int").alias("at")).agg(F.count("*").cast("int").alias("n"))
+    by = counts.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("by"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(COUNTERS - 1)), lambda i: F.coalesce(F.try_element_at("by", i), F.lit(0)))
+    return by.select("k", every.alias("profile"))
+
+
+def _apart(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.abs(a - b)), F.lit(0), lambda s, e: s + e)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float, width: int) -> DataFrame:
@@ -69,7 +81,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float, width: int) ->
 
 
 def classes(
-    docs: DataFrame, *, text_col: str = "text", threshold: float = 0.8, width: int = 12, bands: int = 8, rows: int = 3, agree: int = 12, sieve_bits: int = 20
+    docs: DataFrame, *, text_col: str = "text", threshold: float = 0.8, width: int = 12, bands: int = 8, rows: int = 3, sieve_bits: int = 20
 ) -> DataFrame:
     """``k`` and ``component`` (least ``k``) of lines that are linked with another distinct line."""
     values = bands * rows
@@ -107,9 +119,7 @@ def classes(
     open_lines = common.materialize(open_lines.join(again, "band", "left_semi"), "lines-open")
     need = open_lines.select("k").distinct()
     open_sets = sets.join(need, "k", "left_semi")
-    minhash = open_sets.select("k", F.explode(shingles(F.col("norm"), width)).alias("h")).groupBy("k").agg(*_minima(values))
-    minhash = minhash.select("k", F.array(*[f"m{i}" for i in range(values)]).alias("sig"))
-    open_lines = common.materialize(open_lines.join(minhash, "k").join(open_sets.select("k", "norm"), "k"), "lines-signed")
+    open_lines = common.materialize(open_lines.join(_profiles(open_sets, width), "k").join(open_sets.select("k", "norm"), "k"), "lines-signed")
     l, r = open_lines.alias("l"), open_lines.alias("r")
     reach = 1 - threshold + 1e-9
     inside = F.size(F.array_intersect(shingles(F.col("l.norm"), width), shingles(F.col("r.norm"), width)))
@@ -117,7 +127,7 @@ def classes(
         l.join(r, F.col("l.band") == F.col("r.band"))
         .where("l.k < r.k and l.component <> r.component")
         .where(f"l.n >= {threshold}D * r.n and r.n >= {threshold}D * l.n and abs(l.distance - r.distance) <= {reach}D")
-        .where(_agreeing(F.col("l.sig"), F.col("r.sig")) >= agree)
+        .where(_apart(F.col("l.profile"), F.col("r.profile")) * (1 + threshold) <= (1 - threshold) * (F.col("l.n") + F.col("r.n")) + 1e-9)
         .where(inside * (1 + threshold) >= F.lit(threshold) * (F.col("l.n") + F.col("r.n")) - 1e-9)
         .select(F.col("l.k").alias("a"), F.col("r.k").alias("b"))
         .distinct()

@@ -166,6 +166,22 @@ def test_lines_shingle_every_character(spark):
     assert not any(got[i] for i in range(6))
 
 
+def test_lines_in_one_bucket_are_all_compared(spark):
+    rng = random.Random(21)
+    row = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = []
+    for _ in range(12):
+        base = row(110)
+        texts += [base + row(at) for at in (12, 14, 40, 42)] + [row(at) + base for at in (14, 24)]
+    got = {r["doc_id"]: r["removed"] for r in lines.removed(docs_of(spark, texts), bands=24, rows=1).collect()}
+    assert got == every_position(list(enumerate(texts)))
+    x, y = (row(60) for _ in range(2))
+    docs = docs_of(spark, [x + y, x + y[:50] + row(10)])
+    sets = lines.lines_of(docs).select("k", "norm")
+    (a, b), hashed = [r["profile"] for r in lines._profiles(sets, 12).collect()], [set(r[0]) for r in sets.select(lines.shingles(F.col("norm"), 12)).collect()]
+    assert sum(a) == sum(b) == 120 and 0 < sum(abs(p - q) for p, q in zip(a, b)) <= len(hashed[0] ^ hashed[1])
+
+
 def test_lines_of_rows_that_share_an_id(spark):
     line = "one line that is said more than once"
     rows = [(1, line), (None, line + "\nand one of its own"), (None, "a clean document of one line"), (7, "first of two rows"), (7, line + "\nsecond of two rows"), (7, None)]
