@@ -244,6 +244,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "robust_clim_H": lambda s, d: reports.limits(hours(s, d).long, "q").select(rounded("low", "low"), rounded("high", "high")),
     "gen_double_gyre": lambda s, d: _long(generators.double_gyre(s, 20, 10, 30).long),
     "gen_taylor_green": lambda s, d: _long(generators.taylor_green(s, 16, 16, 20).long),
+    "gen_double_gyre_full": lambda s, d: _long(generators.double_gyre(s).long),
+    "gen_taylor_green_full": lambda s, d: _long(generators.taylor_green(s).long),
+    "gen_cylinder_wake": lambda s, d: _long(generators.cylinder_wake(s).long),
     "periodogram_H": lambda s, d: reports.periodogram(hours(s, d).long, 720, 1.0).select("s", "f", rounded("power", "power")),
     # The two-place and one-place queries above are checks against closed forms in SQL; these are over all event types.
     "pod_modes_H": lambda s, d: _pod5(s, d).modes.select(F.col("mode").cast("long").alias("mode"), "s", rounded("re", "phi")),

@@ -136,5 +136,7 @@ L AS (SELECT p1, p2, p3, greatest(sqrt((hr + qr) ** 2 + (hi + qi) ** 2), sqrt((h
     q["robust_clim_H"] = f"WITH {H}, v AS (SELECT greatest(abs(quantile_cont(q, 0.02)), abs(quantile_cont(q, 0.98))) AS m FROM H) SELECT {r('-m', 'low')}, {r('m', 'high')} FROM v"
     q["gen_double_gyre"] = f"WITH g AS (SELECT t.range AS t, i.range * 10 + j.range AS s, i.range * 2.0 / 19 AS x, j.range * 1.0 / 9 AS y, 0.25 * sin({TAU / 10!r} * t.range * 20.0 / 29) AS w FROM range(30) t, range(20) i, range(10) j) SELECT t, s, {r(f'-{math.pi * 0.25!r} * sin({math.pi!r} * (w * x * x + (1 - 2 * w) * x)) * cos({math.pi!r} * y)', 'q')} FROM g"
     q["gen_taylor_green"] = f"SELECT t.range AS t, i.range * 16 + j.range AS s, {r(f'-cos(i.range * {TAU / 16!r}) * sin(j.range * {TAU / 16!r}) * exp(-0.02 * t.range * 150.0 / 19)', 'q')} FROM range(20) t, range(16) i, range(16) j"
+    q["gen_double_gyre_full"] = f"WITH g AS (SELECT t.range AS t, i.range * 40 + j.range AS s, i.range * 2.0 / 79 AS x, j.range * 1.0 / 39 AS y, 0.25 * sin({TAU / 10!r} * t.range * 20.0 / 199) AS w FROM range(200) t, range(80) i, range(40) j) SELECT t, s, {r(f'-{math.pi * 0.25!r} * sin({math.pi!r} * (w * x * x + (1 - 2 * w) * x)) * cos({math.pi!r} * y)', 'q')} FROM g"
+    q["gen_taylor_green_full"] = f"SELECT t.range AS t, i.range * 64 + j.range AS s, {r(f'-cos(i.range * {TAU / 64!r}) * sin(j.range * {TAU / 64!r}) * exp(-0.02 * t.range * 150.0 / 99)', 'q')} FROM range(100) t, range(64) i, range(64) j"
     q["periodogram_H"] = f"WITH {H}, c AS (SELECT t, s, q - avg(q) OVER (PARTITION BY s) AS q FROM H), F AS (SELECT k.range AS f, s, sum(q * cos({TAU!r} * ((k.range * t) % 720) / 720)) AS re, sum(q * sin({TAU!r} * ((k.range * t) % 720) / 720)) AS im FROM c, range(361) k GROUP BY 1, 2) SELECT s, f, {r('CASE WHEN f = 0 OR f = 360 THEN 1 ELSE 2 END * (re * re + im * im) / 720', 'power')} FROM F"
     return q

@@ -235,3 +235,8 @@ def test_queries_over_all_event_types(spark):
     assert len(triple) == 5 * len(got["bsmd_eig_H"])
     seen = got["bsmd_energy_map_H"]
     assert len(seen) == 17 * 17 and np.allclose(sorted(seen["modulus"][seen["modulus"] >= 0]), sorted(got["bsmd_eig_H"]["modulus"]))
+
+
+def test_generators_have_queries_of_default_size(spark):
+    for name, rows in {"gen_double_gyre_full": 80 * 40 * 200, "gen_taylor_green_full": 64 * 64 * 100, "gen_cylinder_wake": 100 * 50 * 500}.items():
+        assert catalog.queries()[name](spark, DATA).count() == rows
