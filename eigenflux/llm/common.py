@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import contextvars
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,10 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """Folder that all executors share: ``spark.checkpoint.dir``. Raises where it is unset, as a local folder would not be shared."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="eigenflux-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
@@ -39,18 +39,45 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Tables written inside the scopes that are open, innermost last.
+_scopes: contextvars.ContextVar[tuple[list[DataFrame], ...]] = contextvars.ContextVar("scopes", default=())
+
+
+class Scope:
+    """What ``scratch`` hands out."""
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written so that it outlives the scope (a scope further out still ends it)."""
+        return materialize(df, name, outer=1)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Scope]:
+    """Deletes at its end every table that ``materialize`` wrote inside it, but for ``result``'s."""
+    token = _scopes.set((*_scopes.get(), []))
+    try:
+        yield Scope()
+    finally:
+        for df in _scopes.get()[-1]:
+            discard(df)
+        _scopes.reset(token)
+
+
+def materialize(df: DataFrame, name: str, *, outer: int = 0) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._eigenflux_path = path  # noqa: SLF001  for discard()
+    scopes = _scopes.get()
+    if len(scopes) > outer:
+        scopes[-1 - outer].append(out)
     return out
 
 
 def discard(df: DataFrame) -> None:
-    """Delete what ``materialize`` wrote."""
+    """Delete what ``materialize`` wrote; nothing that still reads it may run afterwards."""
     path = getattr(df, "_eigenflux_path", None)
     if path:
         jvm = df.sparkSession._jvm

@@ -2,6 +2,8 @@
 
 Each step joins the links with every node's least neighbour; nothing is gathered by node, so a node with very many links
 is as good as any other (Spark splits its join). Steps are written to the shared folder and end when links stand still.
+
+Null ends and loops are left out, repeated links count once, no links give no rows; columns but ``a`` and ``b`` are not read.
 """
 
 from __future__ import annotations
@@ -17,27 +19,28 @@ def _state(links: DataFrame) -> tuple:
 
 
 def components(links: DataFrame, *, most_steps: int = 60) -> DataFrame:
-    """``node`` and ``component`` (least node reachable) of every node in ``links(a, b)``; nulls and loops are left out."""
-    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = common.materialize(links, "components")
-    state = _state(links)
-    for _ in range(most_steps):
-        if not state[0]:
-            break
-        both = links.union(links.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()  # b is the larger end
-        # every link of ``large`` goes from a larger node to a smaller one
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        stars = large.join(small_least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = common.materialize(stars.union(small_least.select("a", F.col("m").alias("b"))).distinct(), "components")
-        after = _state(new)
-        common.discard(links)
-        links = new
-        if after == state:
-            break
-        state = after
-    else:
-        raise RuntimeError("components did not settle")
-    roots = links.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+    """``node`` and ``component`` (least node reachable) of every node in ``links(a, b)``, written to the shared folder."""
+    with common.scratch() as scope:
+        links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        links = common.materialize(links, "components")
+        state = _state(links)
+        for _ in range(most_steps):
+            if not state[0]:
+                break
+            both = links.union(links.select("b", "a"))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"))
+            large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()  # b is the larger end
+            # every link of ``large`` goes from a larger node to a smaller one
+            small_least = large.groupBy("a").agg(F.min("b").alias("m"))
+            stars = large.join(small_least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            new = common.materialize(stars.union(small_least.select("a", F.col("m").alias("b"))).distinct(), "components")
+            after = _state(new)
+            common.discard(links)
+            links = new
+            if after == state:
+                break
+            state = after
+        else:
+            raise RuntimeError("components did not settle")
+        roots = links.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
+        return scope.result(links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots), "components")

@@ -1,165 +1,186 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 Lines (parts between line feeds) are lower-cased and their white space is folded; blank lines take no part. A line's set
-holds its distinct character shingles: the ``width`` characters from every character on (fewer at the line's end).
-Distinct lines get ``bands * rows`` MinHash values in one aggregation; equal values in all rows of a band make candidates.
-In each band bucket the most widely shared line is compared with the others (a star); exact Jaccard similarity on whole sets
-decides. Lines of a bucket that are then still in different components are joined where they link: the join's condition asks
-for like set sizes, like exact distances to the star's centre (a metric), like profiles (counts of shingles by hash, which
-differ in sum by no more than the sets do) and, last, the exact similarity, so only links leave the join and none is lost. Components come from distributed
-stars; the line of least (id, digest of the text, line number) of each component stays and the others go.
+holds its distinct character shingles: the ``width`` characters (code points) from every character on, fewer at the line's
+end. Equal lines are one line from the start (a 128-bit hash of the folded line); lines are numbered and written once.
 
-With 8 bands of 3 rows a pair at 0.8 is a candidate with probability 0.997, at 0.9 with 0.99999; nothing behind the
-bands is left to chance.
+Signatures are one-permutation MinHash: one hash a shingle names its bin and its value there, each bin keeps its least
+value, an empty bin borrows from the first filled one in an order fixed for that bin. ``rows`` bins make a band; equal bands
+make candidates. In each band bucket the line of least number is compared with the others (a star); exact Jaccard similarity
+on whole sets decides. Lines of a bucket that are then still in different components are paired in the first bucket they
+share, where exact bounds admit it: like set sizes and like distances to the star's centre (Jaccard distance is a metric).
+Those pairs are verified in the same way, so no link of a bucket is lost. Components come from distributed stars; the
+line of least (id, digest of the text, line number) of each component stays and the others go.
+
+With 10 bands of 3 rows a pair at 0.8 is a candidate with probability 0.999 (sets of a few shingles, which fill few bins,
+somewhat less); nothing behind the bands is left to chance.
 
 Null and empty texts have no lines. Rows that share an id (null ids among them) are told apart by a digest of the text; rows
-that share both are one document. Very long lines are dealt with whole. An empty table gives an empty one; other columns are not read.
+that share both are one document. Very long lines are dealt with whole. An empty table gives an empty one; other columns are
+not read, and ``without`` hands them on whatever their names are (but for its own ``__left`` and ``__gone``, which raise).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import random
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eigenflux.llm import common, graph
 
-#: Counters of a profile.
-COUNTERS = 128
+#: White space inside a line, in the order in which it is looked for.
+_BLANKS = ("\t", "\r", "\f", "\x0b", "  ")
 
 
 def digest_of(text_col: str) -> Column:
     return F.md5(F.col(f"`{text_col}`").cast("binary")).alias("digest")
 
 
+def _folded(text: Column) -> Column:
+    """Lower case, white space but line feeds folded to one blank; texts that have none to fold skip the pattern."""
+    odd = F.contains(text, F.lit(_BLANKS[0]))
+    for blank in _BLANKS[1:]:
+        odd = odd | F.contains(text, F.lit(blank))
+    return F.lower(F.when(odd, F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")).otherwise(text))
+
+
 def lines_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``doc_id, digest, line, norm, k`` of each line that is not blank; ``digest`` and ``k`` are MD5 of the text and of ``norm``."""
-    parts = docs.select("doc_id", digest_of(text_col), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("line", "raw"))
-    norm = F.trim(F.regexp_replace(F.lower("raw"), r"\s+", " "))
-    parts = parts.select("doc_id", "digest", "line", norm.alias("norm")).where("norm <> ''")
-    return parts.withColumn("k", F.unhex(F.md5("norm")))
+    """``doc_id, digest, line, norm`` of each line that is not blank; ``digest`` is the MD5 of the text."""
+    own = docs.select("doc_id", F.unhex(digest_of(text_col)).alias("digest"), _folded(F.col(f"`{text_col}`")).alias("text"))
+    parts = own.select("doc_id", "digest", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    return parts.select("doc_id", "digest", "line", F.trim("raw").alias("norm")).where("norm <> ''")
+
+
+def _units(norm: Column) -> tuple[Column, Column, Column]:
+    """A line's bytes at a fixed number of bytes a character, whether that is four (characters beyond 16 bits), the number."""
+    wide = F.octet_length(F.encode(norm, "UTF-16BE")) != 2 * F.char_length(norm)
+    return F.when(wide, F.encode(norm, "UTF-32")).otherwise(F.encode(norm, "UTF-16BE")), wide, F.when(wide, 4).otherwise(2)
+
+
+def _hash_at(units: Column, wide: Column, step: Column, at: Column, width: int) -> Column:
+    """Hash of the shingle from a byte on; the same for either number of bytes a character."""
+    part = F.substring(units, at, step * width)
+    return F.xxhash64(F.when(wide, F.encode(F.decode(part, "UTF-32"), "UTF-16BE")).otherwise(part))
 
 
 def shingles(norm: Column, width: int) -> Column:
-    """Distinct 64-bit hashes of the shingles that start at every character."""
-    every = F.regexp_extract_all(norm, F.lit(f"(?s)(?=(.{{1,{width}}}))."), 1)
-    return F.array_distinct(F.transform(every, lambda s: F.xxhash64(s)))
+    """64-bit hashes of the shingles that start at every character, repeats included."""
+    units, wide, _ = _units(norm)
 
+    def each(line: Column, step: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.octet_length(line), F.lit(step)), lambda i: _hash_at(line, F.lit(step == 4), F.lit(step), i, width))
 
-def _minima(values: int) -> list[Column]:
-    """MinHash values ``m0, m1, ...`` over a column ``h``, one seeded hash each."""
-    return [F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(values)]
+    # over an array of the one line: its bytes are then worked out once, not for every shingle
+    return F.element_at(F.transform(F.array(units), lambda u: F.when(wide, each(u, 4)).otherwise(each(u, 2))), 1)
 
 
-def _signatures(distinct: DataFrame, width: int, values: int) -> DataFrame:
-    """``k, n, sig`` of distinct lines; the grouping is on the column that the lines are already dealt by."""
-    s = distinct.select("k", F.explode(shingles(F.col("norm"), width)).alias("h"))
-    grouped = s.groupBy("k").agg(F.count("*").cast("int").alias("n"), *_minima(values))
-    return grouped.select("k", "n", F.array(*[f"m{i}" for i in range(values)]).alias("sig"))
+def _exploded(df: DataFrame, width: int, *keys: str) -> DataFrame:
+    """``keys`` and ``h``: a row for the shingle at each character, repeats within a line included."""
+    units, wide, step = _units(F.col("norm"))
+    x = df.select(*keys, units.alias("u"), wide.alias("w"), step.alias("s"))
+    x = x.select(*keys, "u", "w", "s", F.explode(F.sequence(F.lit(1), F.octet_length("u"), F.col("s"))).alias("i"))
+    return x.select(*keys, _hash_at(F.col("u"), F.col("w"), F.col("s"), F.col("i"), width).alias("h"))
 
 
-def _profiles(sets: DataFrame, width: int) -> DataFrame:
-    """``k, profile``: a line's distinct shingles counted by hash in ``COUNTERS`` counters."""
-    h = sets.select("k", F.explode(shingles(F.col("norm"), width)).alias("h"))
-    counts = h.groupBy("k", F.col("h").bitwiseAND(COUNTERS - 1).cast("int").alias("at")).agg(F.count("*").cast("int").alias("n"))
-    by = counts.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("by"))
-    every = F.transform(F.sequence(F.lit(0), F.lit(COUNTERS - 1)), lambda i: F.coalesce(F.try_element_at("by", i), F.lit(0)))
-    return by.select("k", every.alias("profile"))
+def _bands(distinct: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """``k1, k2, bands`` of distinct lines; every grouping is on columns that the lines are already dealt by."""
+    bits = (bands * rows - 1).bit_length()
+    bins = 1 << bits
+    h = _exploded(distinct, width, "k1", "k2")
+    h = h.select("k1", "k2", F.col("h").bitwiseAND(bins - 1).cast("int").alias("bin"), F.shiftright("h", bits).alias("v"))
+    least = h.groupBy("k1", "k2", "bin").agg(F.min("v").alias("v"))
+    wide = least.groupBy("k1", "k2").agg(*[F.min(F.when(F.col("bin") == j, F.col("v"))).alias(f"m{j}") for j in range(bins)])
 
+    def value(j: int) -> Column:
+        order = [q for q in range(bins) if q != j]
+        random.Random(j).shuffle(order)
+        return F.coalesce(*[F.col(f"m{q}") for q in (j, *order)])
 
-def _apart(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.abs(a - b)), F.lit(0), lambda s, e: s + e)
+    keys = [F.xxhash64(F.lit(b), *[value(b * rows + r) for r in range(rows)]) for b in range(bands)]
+    return wide.select("k1", "k2", F.array(*keys).alias("bands"))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, threshold: float, width: int) -> DataFrame:
-    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("norm").alias("x"), F.col("n").alias("nx")), "a").join(
-        sets.select(F.col("k").alias("b"), F.col("norm").alias("y"), F.col("n").alias("ny")), "b"
-    )
-    inside = F.size(F.array_intersect(shingles(F.col("x"), width), shingles(F.col("y"), width)))
-    checked = both.select("a", "b", "nx", "ny", inside.alias("i")).select("a", "b", "i", (F.col("nx") + F.col("ny") - F.col("i")).alias("u"))
-    out = checked.select("a", "b", (1 - F.col("i") / F.col("u")).alias("distance"), (F.col("i") >= F.lit(threshold) * F.col("u") - 1e-9).alias("linked"))
-    return common.materialize(out, "lines-verified")
-
-
-def classes(
-    docs: DataFrame, *, text_col: str = "text", threshold: float = 0.8, width: int = 12, bands: int = 8, rows: int = 3, sieve_bits: int = 20
-) -> DataFrame:
-    """``k`` and ``component`` (least ``k``) of lines that are linked with another distinct line."""
-    values = bands * rows
-    distinct = lines_of(docs, text_col).groupBy("k").agg(F.first("norm").alias("norm"))
-    signed = _signatures(distinct, width, values)
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.element_at("sig", b * rows + r + 1) for r in range(rows)]) for b in range(bands)])
-    banded = signed.select("k", "n", F.explode(keys).alias("band"))
-    shared = banded.withColumn("m", F.count("*").over(Window.partitionBy("band"))).where("m > 1")  # one shuffle, spilled sort
-    entry = common.materialize(shared, "lines-entries")
-    popular = entry.groupBy("k").agg(F.sum("m").alias("pop"))
-    centre = entry.join(popular, "k").groupBy("band").agg(F.min(F.struct(-F.col("pop"), "k")).alias("c")).select("band", F.col("c.k").alias("centre"))
-    star = common.materialize(entry.join(centre, "band").select("band", "k", "n", "centre"), "lines-stars")
-
-    wanted = star.select("k", "n").distinct()
-    mark = F.xxhash64("k").bitwiseAND((1 << sieve_bits) - 1)
-    sieve = wanted.select(mark.alias("mark")).distinct()  # at most 2 ** sieve_bits numbers
-    texts = lines_of(docs, text_col).select("k", "norm").withColumn("mark", mark).join(F.broadcast(sieve), "mark", "left_semi")
-    texts = texts.select("k", "norm").distinct().join(wanted, "k")
-    sets = common.materialize(texts.select("k", "n", "norm"), "lines-sets")  # a shingle's hash takes eight times its share of the text
-
-    checked = _verify(star.where("k <> centre").select(F.col("centre").alias("a"), F.col("k").alias("b")).distinct(), sets, threshold, width)
-    joined = common.materialize(graph.components(checked.where("linked").select("a", "b")), "lines-joined")
-
-    # What remains: lines of one bucket in different components.
-    far = checked.select(F.col("a").alias("centre"), F.col("b").alias("k"), "distance")
+def _verify(pairs: DataFrame, lines: DataFrame, threshold: float, width: int) -> DataFrame:
+    """``a, b, n`` (set size of ``b``), ``distance``, ``linked`` of distinct pairs, by whole sets."""
+    both = pairs.select("a", "b").join(lines.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a")
+    both = both.join(lines.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
+    sets = both.select("a", "b", shingles(F.col("x"), width).alias("x"), F.array_distinct(shingles(F.col("y"), width)).alias("y"))
+    sizes = sets.select("a", "b", F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("i"), F.size(F.array_union("x", "y")).alias("u"))
+    return sizes.select("a", "b", "n", (1 - F.col("i") / F.col("u")).alias("distance"), (F.col("i") >= F.lit(threshold) * F.col("u") - 1e-9).alias("linked"))
+
+
+def _rest(star: DataFrame, checked: DataFrame, joined: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a, b`` of one bucket that stars leave in different components and that no exact bound rules out."""
     at = (
-        star.join(joined.withColumnRenamed("node", "k"), "k", "left")
-        .withColumn("component", F.coalesce("component", "k"))
-        .join(far, ["centre", "k"], "left")
-        .fillna(0.0, ["distance"])
+        star.where("id <> centre")
+        .join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
+        .select("band", "centre", "id", F.coalesce("component", "id").alias("component"))
     )
     split = at.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    open_lines = at.where("k <> centre").join(split, "band", "left_semi").select("band", "k", "n", "component", "distance")
-    again = open_lines.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
-    open_lines = common.materialize(open_lines.join(again, "band", "left_semi"), "lines-open")
-    need = open_lines.select("k").distinct()
-    open_sets = sets.join(need, "k", "left_semi")
-    open_lines = common.materialize(open_lines.join(_profiles(open_sets, width), "k").join(open_sets.select("k", "norm"), "k"), "lines-signed")
-    l, r = open_lines.alias("l"), open_lines.alias("r")
+    at = at.join(split, "band", "left_semi").join(checked.select(F.col("a").alias("centre"), F.col("b").alias("id"), "n", "distance"), ["centre", "id"])
+    at = common.materialize(at.join(lines.select("id", "bands"), "id").select("band", "id", "n", "component", "distance", "bands"), "lines-open")
+    l, r = at.alias("l"), at.alias("r")
     reach = 1 - threshold + 1e-9
-    inside = F.size(F.array_intersect(shingles(F.col("l.norm"), width), shingles(F.col("r.norm"), width)))
-    more = (
+    bands = F.zip_with("l.bands", "r.bands", lambda x, y: F.when(x == y, x))
+    first = F.element_at(F.filter(bands, lambda x: x.isNotNull()), 1)
+    pairs = (
         l.join(r, F.col("l.band") == F.col("r.band"))
-        .where("l.k < r.k and l.component <> r.component")
+        .where("l.id < r.id and l.component <> r.component")
         .where(f"l.n >= {threshold}D * r.n and r.n >= {threshold}D * l.n and abs(l.distance - r.distance) <= {reach}D")
-        .where(_apart(F.col("l.profile"), F.col("r.profile")) * (1 + threshold) <= (1 - threshold) * (F.col("l.n") + F.col("r.n")) + 1e-9)
-        .where(inside * (1 + threshold) >= F.lit(threshold) * (F.col("l.n") + F.col("r.n")) - 1e-9)
-        .select(F.col("l.k").alias("a"), F.col("r.k").alias("b"))
-        .distinct()
+        .where(first == F.col("l.band"))
     )
-    return graph.components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)).withColumnRenamed("node", "k")
-
-
-def removed(docs: DataFrame, **options) -> DataFrame:
+    return common.materialize(pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")), "lines-pairs")
+
+
+def _kept(docs: DataFrame, text_col: str, threshold: float, width: int, bands: int, rows: int) -> DataFrame:
+    """``doc_id, digest, line`` of the line that stays of each component."""
+    with common.scratch() as scope:
+        parts = lines_of(docs, text_col).withColumn("k1", F.xxhash64("norm")).withColumn("k2", F.xxhash64(F.lit(7), "norm"))
+        at = F.struct("doc_id", "digest", "line")
+        distinct = parts.groupBy("k1", "k2").agg(F.first("norm").alias("norm"), F.min(at).alias("at"))
+        whole = distinct.where("at.line >= 0")  # true of all: with the same columns on both sides Spark reads one exchange twice
+        signed = distinct.join(_bands(whole, width, bands, rows), ["k1", "k2"])  # both sides lie by the keys already
+        lines = common.materialize(signed.select(F.monotonically_increasing_id().alias("id"), "norm", "at", "bands"), "lines-distinct")
+
+        entry = lines.select("id", F.explode("bands").alias("band"))
+        shared = entry.groupBy("band").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("band", "centre")
+        star = common.materialize(entry.join(shared, "band"), "lines-stars")
+        pairs = star.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+        checked = common.materialize(_verify(pairs, lines, threshold, width), "lines-verified")
+        joined = graph.components(checked.where("linked"))
+        more = _verify(_rest(star, checked, joined, lines, threshold), lines, threshold, width).where("linked").select("a", "b")
+        joined = graph.components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+        firsts = lines.select("id", "at").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
+        alone = firsts.where("component is null").select("at")
+        led = firsts.where("component is not null").groupBy("component").agg(F.min("at").alias("at")).select("at")
+        return scope.result(alone.union(led).select("at.*"), "lines-kept")
+
+
+def removed(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.8, width: int = 12, bands: int = 10, rows: int = 3) -> DataFrame:
     """``doc_id``, ``digest``, ``n_lines`` (not blank), ``removed`` (line numbers that go, ascending) of every id and text."""
-    text_col = options.get("text_col", "text")
-    linked = common.materialize(classes(docs, **options), "lines-classes")
-    own = lines_of(docs, text_col).select("doc_id", "digest", "line", "k").join(linked, "k", "left")
-    own = own.select("doc_id", "digest", "line", F.coalesce("component", "k").alias("component"))
-    at = F.struct("doc_id", "digest", "line")
-    first = own.groupBy("component").agg(F.min(at).alias("first"))
-    said = own.join(first, "component").select("doc_id", "digest", "line", (~at.eqNullSafe(F.col("first"))).alias("goes"))
-    by_doc = said.groupBy("doc_id", "digest").agg(
-        F.countDistinct("line").alias("n_lines"), F.array_sort(F.collect_set(F.when(F.col("goes"), F.col("line")))).alias("removed")
-    )
-    ids = docs.select("doc_id", digest_of(text_col)).distinct()
+    kept = _kept(docs, text_col, threshold, width, bands, rows)
+    kept = kept.groupBy("doc_id", "digest").agg(F.collect_set("line").alias("kept")).select(F.col("doc_id").alias("id"), F.hex("digest").alias("d"), "kept")
+    said = F.transform(F.split(F.col(f"`{text_col}`"), "\n"), lambda x, i: F.when(x.rlike(r"[^ \t\f\r\x0B]"), i))
+    own = docs.select("doc_id", digest_of(text_col), F.filter(said, lambda i: i.isNotNull()).alias("said")).dropDuplicates(["doc_id", "digest"])
+    both = own.join(kept, own["doc_id"].eqNullSafe(kept["id"]) & (F.upper(own["digest"]) == kept["d"]), "left")
     none = F.array().cast("array<int>")
-    same = ids["doc_id"].eqNullSafe(by_doc["doc_id"]) & ids["digest"].eqNullSafe(by_doc["digest"])
-    return ids.join(by_doc, same, "left").select(
-        ids["doc_id"], ids["digest"], F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("removed", none).alias("removed")
+    said = F.coalesce("said", none)
+    return both.select(
+        "doc_id", "digest", F.size(said).cast("long").alias("n_lines"), F.array_except(said, F.coalesce("kept", none)).alias("removed")
     )
 
 
 def without(docs: DataFrame, gone: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with the lines of ``gone`` (of ``removed()``) taken out of the text, and ``__left`` (lines that stay)."""
-    g = gone.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("removed").alias("__removed"), "n_lines")
-    text = F.col(f"`{text_col}`")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    both = docs.join(g, docs["doc_id"].eqNullSafe(g["__id"]) & digest_of(text_col).eqNullSafe(g["__digest"]), "left")
-    out = both.withColumn(text_col, F.when(F.size("__removed") > 0, kept).otherwise(text))
-    return out.withColumn("__left", F.col("n_lines") - F.size("__removed")).select(*docs.columns, "__left", F.size("__removed").alias("__gone"))
+    """``docs`` with the lines of ``gone`` (of ``removed()``) taken out of the text, ``__left`` (lines that stay) and ``__gone``."""
+    if clash := {"__left", "__gone"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are named like results")
+    at = dict(zip(docs.columns, (f"c{i}" for i in range(len(docs.columns)))))  # plain names on the way
+    own = docs.toDF(*at.values()).withColumn("digest", digest_of(at[text_col]))
+    g = gone.select(F.col("doc_id").alias("g_id"), F.col("digest").alias("g_digest"), "removed", "n_lines")
+    both = own.join(g, own[at["doc_id"]].eqNullSafe(g["g_id"]) & own["digest"].eqNullSafe(g["g_digest"]), "left")
+    kept = F.array_join(F.filter(F.split(at[text_col], "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    text = F.when(F.size("removed") > 0, kept).otherwise(F.col(at[text_col]))
+    columns = [(text if name == text_col else F.col(c)).alias(name) for name, c in at.items()]
+    return both.select(*columns, (F.col("n_lines") - F.size("removed")).alias("__left"), F.size("removed").alias("__gone"))

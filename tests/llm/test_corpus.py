@@ -104,19 +104,6 @@ def fold(line):
     return re.sub(r"[ \t\n\x0B\f\r]+", " ", line.lower()).strip(" ")
 
 
-def brute_lines(rows, threshold=0.8, width=12):
-    occurs = [(i, k, fold(x)) for i, t in sorted(rows) for k, x in enumerate((t or "").split("\n")) if fold(x)]
-    sets = {n: frozenset(m.group(1) for m in re.finditer(rf"(?<![^ ])(?=(.{{1,{width}}}))", n)) for _, _, n in occurs}
-    keys = sorted(sets)
-    pairs = [(a, b) for x, a in enumerate(keys) for b in keys[x + 1 :] if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9]
-    group, seen, gone = union_find(pairs, keys), set(), collections.defaultdict(list)
-    for i, k, n in occurs:
-        if group[n] in seen:
-            gone[i].append(k)
-        seen.add(group[n])
-    return {i: gone[i] for i, _ in rows}
-
-
 def test_lines(spark):
     rng = random.Random(4)
     words = [f"word{i}" for i in range(200)]
@@ -132,7 +119,7 @@ def test_lines(spark):
         texts.append("\n".join(own + ["", "Fin."]))
     rows = list(enumerate(texts))
     got = {r["doc_id"]: r["removed"] for r in lines.removed(docs_of(spark, texts)).collect()}
-    assert got == brute_lines(rows)
+    assert got == every_position(rows)
     text = {r["doc_id"]: r["text"] for r in lines.without(docs_of(spark, texts), lines.removed(docs_of(spark, texts))).collect()}
     for i, t in rows:
         assert text[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in got[i])
@@ -166,6 +153,36 @@ def test_lines_shingle_every_character(spark):
     assert not any(got[i] for i in range(6))
 
 
+def test_lines_recall_on_documents(spark):
+    """Every link of the distinct lines of a whole table, by an inverted index over shingles, against the classes found."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    sets = {n: {n[c : c + 12] for c in range(len(n))} for n in {fold(x) for _, t in rows for x in (t or "").split("\n")} if n}
+    holds = collections.defaultdict(list)
+    for n, own in sets.items():
+        for g in own:
+            holds[g].append(n)
+    links = set()
+    for n, own in sets.items():
+        shared = collections.Counter(m for g in own for m in holds[g] if m < n)
+        links |= {(m, n) for m, i in shared.items() if i >= 0.8 * (len(own) + len(sets[m]) - i) - 1e-9}
+    assert len(links) > 10
+    group = union_find(sorted(links), sorted(sets))
+    kept = {(r["doc_id"], r["line"]) for r in lines._kept(docs, "text", 0.8, 12, 10, 3).collect()}
+    text = dict(rows)
+    found = {group[fold(text[i].split("\n")[k])] for i, k in kept}
+    assert found == set(group.values())  # one line stays of each true component at least
+    assert len(kept) - len(found) <= 0.01 * len(links)
+
+
+def test_lines_hand_on_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a line of text that is here\na line of text that is here", 7, 8)], "doc_id long, text string, n_lines int, removed int")
+    out = lines.without(docs, lines.removed(docs)).collect()
+    assert [tuple(r) for r in out] == [(1, "a line of text that is here", 7, 8, 1, 1)]
+    with pytest.raises(ValueError):
+        lines.without(docs.withColumn("__gone", F.lit(1)), lines.removed(docs))
+
+
 def test_lines_in_one_bucket_are_all_compared(spark):
     rng = random.Random(21)
     row = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
@@ -175,11 +192,6 @@ def test_lines_in_one_bucket_are_all_compared(spark):
         texts += [base + row(at) for at in (12, 14, 40, 42)] + [row(at) + base for at in (14, 24)]
     got = {r["doc_id"]: r["removed"] for r in lines.removed(docs_of(spark, texts), bands=24, rows=1).collect()}
     assert got == every_position(list(enumerate(texts)))
-    x, y = (row(60) for _ in range(2))
-    docs = docs_of(spark, [x + y, x + y[:50] + row(10)])
-    sets = lines.lines_of(docs).select("k", "norm")
-    (a, b), hashed = [r["profile"] for r in lines._profiles(sets, 12).collect()], [set(r[0]) for r in sets.select(lines.shingles(F.col("norm"), 12)).collect()]
-    assert sum(a) == sum(b) == 120 and 0 < sum(abs(p - q) for p, q in zip(a, b)) <= len(hashed[0] ^ hashed[1])
 
 
 def test_lines_of_rows_that_share_an_id(spark):
