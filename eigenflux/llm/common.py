@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -27,6 +28,22 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Fewer rows a batch for jobs that run inside."""
+    bound_batches(spark, rows)
+    try:
+        yield
+    finally:
+        bound_batches(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files of plans that are done; it acts when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: ``spark.checkpoint.dir``. Raises where it is unset, as a local folder would not be shared."""
     base = spark.conf.get("spark.checkpoint.dir", None)

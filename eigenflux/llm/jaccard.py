@@ -13,12 +13,14 @@ components; only sets of one entry in different components are paired after that
 admit: their sizes, their distances to the star's centre (Jaccard distance is a metric) and their profiles, counts of shingles
 by hash that differ by no more than the sets do. Each pair is verified exactly on whole sets. Components come from distributed stars.
 
-Null or empty texts and texts without words have an empty set, link with nothing and are their own component; so is a row
-with a null id. Rows that repeat an id are one node, and texts of one node count as linked. Other columns are not read.
+Null or empty texts and texts without words have an empty set and link with nothing; a row with a null id
+belongs to the documents with the very same set, or has a null component. Rows that repeat an id are in one component with all that any of them links with. Ids are read as long. Other
+columns are not read. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -27,6 +29,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from eigenflux.llm import common, graph
 
@@ -194,16 +198,15 @@ def _possible(percent: int, block: int = 512):
         def flush():
             if sum(len(h[0]) for h in held) < 2:
                 return
-            pairs = list(of_entry(*(np.concatenate(c) for c in zip(*held)), seen))
-            for at in range(0, len(pairs), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs[at : at + 50_000])], names=["a", "b"])
+            pairs = of_entry(*(np.concatenate(c) for c in zip(*held)), seen)
+            while some := list(itertools.islice(pairs, 50_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some)], names=["a", "b"])
 
         for batch in batches:
             key = np.asarray(batch.column(0))
             columns = [np.asarray(batch.column(k)) for k in range(1, 6)]
             columns.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int16))
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
-            for x, y in zip(cuts[:-1], cuts[1:]):
+            for x, y in _runs(key):
                 if entry is not None and key[x] != entry:
                     yield from flush()
                     held = []
@@ -214,11 +217,43 @@ def _possible(percent: int, block: int = 512):
     return run
 
 
+def _runs(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    cuts = np.flatnonzero(np.diff(key)) + 1
+    return zip(np.concatenate(([0], cuts)).tolist(), np.concatenate((cuts, [len(key)])).tolist()) if len(key) else iter(())
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``entry, node, n`` sorted by the first two: those of entries that several nodes share, each once.
+
+    What one batch hands to the next is one row, however many rows an entry has.
+    """
+    last: tuple | None = None  # the last row, and whether it has been written
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        entry, node, n = (np.asarray(batch.column(k)) for k in range(3))
+        if last is not None:
+            entry, node, n = (np.concatenate(([v], c)) for v, c in zip(last[:3], (entry, node, n)))
+        fresh = np.ones(len(entry), bool)
+        fresh[1:] = (entry[1:] != entry[:-1]) | (node[1:] != node[:-1])
+        done = last is not None and last[3]
+        entry, node, n = entry[fresh], node[fresh], n[fresh]
+        with_next = np.zeros(len(entry), bool)
+        with_next[:-1] = entry[1:] == entry[:-1]
+        keep = with_next.copy()
+        keep[1:] |= with_next[:-1]
+        if done:  # written with an earlier batch
+            keep[0] = False
+        last = (entry[-1], node[-1], n[-1], bool(keep[-1]) or (done and len(entry) == 1))
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep], pa.int64()) for c in (entry, node, n)], names=["entry", "node", "n"])
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b, distance, linked`` of each pair, by whole sets."""
-    spark = pairs.sparkSession
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b"
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,85 +271,110 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(distance), pa.array(linked)], names=["a", "b", "distance", "linked"]
             )
 
-    common.bound_batches(spark, rows=200)
-    out = both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, distance double, linked boolean")
-    out = common.materialize(out, "jaccard-verified")
-    common.bound_batches(spark)
-    return out
-
-
-def join(docs: DataFrame, *, percent: int = 90, width: int = 3, text_col: str = "text", bitmap_bits: int = 1 << 23) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` (least id reachable by links) of every row."""
-    spark = docs.sparkSession
-    common.bound_batches(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme = Scheme(percent)
-        for batch in batches:
-            sizes, keys, entries = [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, width)
-                sizes.append(len(s))
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                entries.append(scheme.entries(s))
-            offsets = np.concatenate(([0], np.cumsum([len(e) for e in entries])))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*entries, np.zeros(0, np.int64)]), pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], names=["doc_id", "n_shingles", "key", "entries"]
-            )
-
-    rows = common.materialize(own.mapInArrow(scan, "doc_id long, n_shingles long, key binary, entries array<long>"), "jaccard-rows")
-    first = common.materialize(rows.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
-    reps = rows.join(first.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi")
-    entry = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("entries").alias("entry")).distinct()
-    shared = entry.groupBy("entry").agg(F.count("*").alias("m")).where("m > 1")
-    entry = common.materialize(entry.join(shared, "entry"), "jaccard-entries")  # entries of several sets
+    with common.batch_rows(pairs.sparkSession, 200):
+        return common.materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, distance double, linked boolean"), "jaccard-verified")
 
-    popular = entry.groupBy("doc_id").agg(F.sum("m").alias("pop"))
-    ranked = entry.join(popular, "doc_id")
-    centre = ranked.groupBy("entry").agg(F.min(F.struct(-F.col("pop"), F.col("doc_id"))).alias("c")).select("entry", F.col("c.doc_id").alias("centre"))
-    star = common.materialize(entry.join(centre, "entry"), "jaccard-stars")
 
-    wanted = entry.select("doc_id").distinct()
-    bits = common.bitmap(wanted, "doc_id", bitmap_bits)
-    sent = spark.sparkContext.broadcast(bits)
+def _scan(docs: DataFrame, width: int, marks, make, schema: str) -> DataFrame:
+    """Rows ``doc_id, key, n`` and what ``make(set)`` gives of texts that have words and whose ids ``marks`` may hold (None: all rows)."""
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = make()
         for batch in batches:
+            ids = batch.column(0)
+            hits = common.in_bitmap(marks.value, ids) if marks is not None else itertools.repeat(True)
             out = []
-            for i, hit, text in zip(batch.column(0).to_pylist(), common.in_bitmap(sent.value, batch.column(0)), batch.column(1).to_pylist()):
+            for i, hit, text in zip(ids.to_pylist(), hits, batch.column(1).to_pylist()):
                 if hit:
                     s = shingle_set(text, width)
-                    out.append((i, s.tobytes(), profile(s).tobytes()))
+                    if len(s) or marks is None:
+                        out.append((i, xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, len(s), *made(s)))
             if out:
-                kinds = (pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "tokens", "profile"])
-
-    sets = own.mapInArrow(sets_of, "doc_id long, tokens binary, profile binary").join(wanted, "doc_id", "left_semi")
-    sets = common.materialize(sets, "jaccard-sets")
-
-    checked = _verify(star.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), sets, percent)
-    links = checked.where("linked").select("a", "b")
-    joined = common.materialize(graph.components(links), "jaccard-components")
-
-    # What remains: sets of one entry in different components, at like distances from the centre.
-    far = checked.select(F.col("a").alias("centre"), F.col("b").alias("doc_id"), "distance").groupBy("centre", "doc_id").agg(F.min("distance").alias("near"), F.max("distance").alias("far"))
-    at = (
-        star.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .withColumn("component", F.coalesce("component", "doc_id"))
-        .join(far, ["centre", "doc_id"], "left")
-        .fillna(0.0, ["near", "far"])
-    )
-    split = at.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("entry")
-    at = common.materialize(at.join(split, "entry", "left_semi").where("doc_id <> centre").select("entry", "doc_id", "n", "component", "near", "far"), "jaccard-open")
-    rest = at.join(sets.select("doc_id", "profile"), "doc_id").select("entry", "doc_id", "n", "component", "near", "far", "profile")
-    rest = rest.repartition("entry").sortWithinPartitions("entry", "doc_id").mapInArrow(_possible(percent), "a long, b long").distinct()
-    more = _verify(rest, sets, percent).where("linked").select("a", "b")
-    all_links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-    final = graph.components(all_links).withColumnRenamed("node", "rep")
-
-    by_key = first.join(final, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    # a row that repeats another's id belongs to that id's component
-    out = rows.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+                types = [f.type for f in to_arrow_schema(kind)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[f.name for f in kind])
+
+    kind = StructType.fromDDL(f"doc_id long, key binary, n long{schema}")
+    return docs.mapInArrow(run, kind)
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    """``key, doc_id`` (least of the key's rows) and a number ``node`` for each distinct set of rows with an id."""
+    least = rows.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    return common.materialize(least.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
+
+
+def _entries(own: DataFrame, nodes: DataFrame, percent: int, width: int, bitmap_bits: int) -> DataFrame:
+    """``entry, node, n`` of the index entries that several nodes share: one shuffle of entries, lone ones end in its tasks."""
+
+    def make():
+        scheme = Scheme(percent)
+        return lambda s: (scheme.entries(s),)
+
+    marks = own.sparkSession.sparkContext.broadcast(common.bitmap(nodes, "doc_id", bitmap_bits))
+    found = _scan(own, width, marks, make, ", entries array<long>").join(nodes, ["key", "doc_id"])  # texts that only repeat a set end here
+    entry = found.select(F.explode("entries").alias("entry"), "node", "n")
+    entry = entry.repartition("entry").sortWithinPartitions("entry", "node").mapInArrow(_shared, "entry long, node long, n long")
+    return common.materialize(entry, "jaccard-entries")
+
+
+def _sets(own: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int, bitmap_bits: int) -> DataFrame:
+    """``node, tokens, profile`` of the wanted nodes."""
+    nodes = nodes.join(wanted, "node", "left_semi")
+    marks = own.sparkSession.sparkContext.broadcast(common.bitmap(nodes, "doc_id", bitmap_bits))
+    found = _scan(own, width, marks, lambda: lambda s: (s.tobytes(), profile(s).tobytes()), ", tokens binary, profile binary")
+    found = found.join(nodes, ["key", "doc_id"]).select("node", "tokens", "profile")
+    return common.materialize(found.dropDuplicates(["node"]), "jaccard-sets")
+
+
+def join(docs: DataFrame, *, percent: int = 90, width: int = 3, text_col: str = "text", bitmap_bits: int = 1 << 23) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` (least id reachable by links) of every row."""
+    common.bound_batches(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    with common.scratch() as scope:
+        rows = common.materialize(_scan(own, width, None, lambda: lambda s: (), ""), "jaccard-rows")
+        nodes = _nodes(rows)
+        entry = _entries(own, nodes, percent, width, bitmap_bits)
+        common.release(docs.sparkSession)
+
+        popular = entry.groupBy("entry").agg(F.count("*").alias("m"))
+        popular = entry.join(popular, "entry").groupBy("node").agg(F.sum("m").alias("pop"))
+        centre = entry.join(popular, "node").groupBy("entry").agg(F.min(F.struct(-F.col("pop"), F.col("node"))).alias("c"))
+        star = common.materialize(entry.join(centre.select("entry", F.col("c.node").alias("centre")), "entry"), "jaccard-stars")
+        common.discard(entry)
+
+        sets = _sets(own, nodes, star.select("node").distinct(), width, bitmap_bits)
+        checked = _verify(star.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)
+        # rows that repeat an id are one: their sets are joined like linked ones
+        again = rows.where("doc_id is not null and key is not null").select("doc_id", "key").distinct().join(nodes.select("key", "node"), "key")
+        again = again.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").join(again.select("doc_id", F.col("node").alias("b")), "doc_id")
+        joined = graph.components(checked.where("linked").select("a", "b").union(again.where("a <> b").select("a", "b")))
+        common.release(docs.sparkSession)
+
+        # What remains: sets of one entry in different components, at like distances from the centre.
+        far = checked.select(F.col("a").alias("centre"), F.col("b").alias("node"), "distance")
+        at = (
+            star.where("node <> centre")
+            .join(joined.withColumnRenamed("component", "c"), "node", "left")
+            .withColumn("component", F.coalesce("c", "node"))
+            .join(far, ["centre", "node"])
+            .select("entry", "node", "n", "component", F.col("distance").alias("near"), F.col("distance").alias("far"))
+        )
+        split = at.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("entry")
+        at = common.materialize(at.join(split, "entry", "left_semi"), "jaccard-open")
+        common.discard(star)
+        rest = at.join(sets.select("node", "profile"), "node").select("entry", "node", "n", "component", "near", "far", "profile")
+        rest = rest.repartition("entry").sortWithinPartitions("entry", "node").mapInArrow(_possible(percent), "a long, b long").distinct()
+        more = _verify(rest, sets, percent).where("linked").select("a", "b")
+        final = graph.components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+        # a component's name is its least document
+        of_node = nodes.join(final, "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("component"))
+        least = of_node.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        by_key = of_node.join(least, "component").select("key", "component_id")
+        out = rows.join(by_key, "key", "left")
+        # rows without words that repeat the id of a row with words belong to its component
+        by_id = out.where("component_id is not null and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("component_id").alias("of_id"))
+        bare = out.where("component_id is null").join(by_id, F.col("doc_id") == F.col("id"), "left")
+        bare = bare.select("doc_id", "n", F.coalesce("of_id", "doc_id").alias("component_id"))
+        out = out.where("component_id is not null").select("doc_id", "n", "component_id").union(bare)
+        return scope.result(out.select("doc_id", F.col("n").alias("n_shingles"), "component_id"), "jaccard")

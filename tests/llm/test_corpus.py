@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,6 +235,28 @@ def test_jaccard(spark, percent, width):
     assert got == brute_jaccard(list(enumerate(texts)), percent, width)
 
 
+def test_jaccard_of_rows_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(3, b), (5, a), (5, b), (9, a), (4, c), (9, None), (8, None), (None, c), (None, "alone and without an id")]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(3, 38, 3), (5, 38, 3), (5, 38, 3), (9, 38, 3), (4, 38, 4), (9, 0, 3), (8, 0, 8), (None, 38, 4), (None, 3, None)]
+    assert collections.Counter(map(tuple, got)) == collections.Counter(want)
+
+
+def test_shared_entries_over_batches():
+    rng = np.random.default_rng(5)
+    rows = np.unique(rng.integers(0, [40, 9], (200, 2)), axis=0)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))].repeat(rng.integers(1, 3, len(rows)), axis=0)
+    by = collections.defaultdict(set)
+    for e, v in rows.tolist():
+        by[e].add(v)
+    want = sorted((e, v) for e, own in by.items() if len(own) > 1 for v in own)
+    for size in (1, 2, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(rows[k : k + size, 0]), pa.array(rows[k : k + size, 1]), pa.array(rows[k : k + size, 1])], names=["e", "v", "n"]) for k in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in jaccard._shared(iter(batches)) for r in b.to_pylist()]
+        assert sorted((e, v) for e, v, _ in got) == want
+
+
 SCHEMES = {p: jaccard.Scheme(p) for p in (90, 80)}
 
 
