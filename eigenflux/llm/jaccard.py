@@ -11,7 +11,8 @@ Equal sets are one class from the start: only its least document is indexed. The
 the most widely shared set of an entry is compared with each other set there (a star, not all pairs); verified links merge
 components; only sets of one entry in different components are paired after that, and of those only pairs that exact bounds
 admit: their sizes, their distances to the star's centre (Jaccard distance is a metric) and their profiles, counts of shingles
-by hash that differ by no more than the sets do. Each pair is verified exactly on whole sets. Components come from distributed stars.
+by hash that differ by no more than the sets do. Sizes and profiles rule out pairs of a star as well, before sets are moved.
+Each pair that is left is verified exactly on whole sets. Components come from distributed stars.
 
 Null or empty texts and texts without words have an empty set and link with nothing; a row with a null id
 belongs to the documents with the very same set, or has a null component. Rows that repeat an id are in one component with all that any of them links with. Ids are read as long. Other
@@ -157,20 +158,47 @@ def _linked(inside: int, a: int, b: int, percent: int) -> bool:
     return 100 * inside >= percent * (a + b - inside)
 
 
-#: Counters of a profile.
-PROFILE = 512
+def profile(tokens: np.ndarray) -> np.ndarray:
+    """Counts of shingles by hash, at most 255 each; profiles differ in sum by no more than their sets do.
+
+    There are about four shingles to a counter, and a power of two of counters, so a longer profile folds into a shorter one.
+    """
+    size = 1 << max(6, (len(tokens) // 4).bit_length())
+    return np.minimum(np.bincount((mix(tokens ^ _K2) % _U(size)).astype(np.int64), minlength=size), 255).astype(np.uint8)
 
 
-def profile(tokens: np.ndarray) -> np.ndarray:
-    """Counts of shingles by hash, at most 255 each; profiles differ in sum by no more than their sets differ."""
-    return np.minimum(np.bincount((mix(tokens ^ _K2) % _U(PROFILE)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8)
+def folded(counts: np.ndarray, size: int) -> np.ndarray:
+    return counts.reshape(-1, size).sum(0, dtype=np.int32)
+
+
+def least_distance(x: np.ndarray, y: np.ndarray, n: int, m: int) -> float:
+    """A Jaccard distance that sets of ``n`` and ``m`` shingles with these profiles have at least."""
+    size = min(len(x), len(y))
+    apart = max(int(np.abs(folded(x, size) - folded(y, size)).sum()), abs(n - m))
+    return 2 * apart / (n + m + apart)
+
+
+def _screen(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, near`` (a distance that they have at least) of each pair, by sizes and profiles, which are far smaller than sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = zip(*(batch.column(k).to_pylist() for k in range(2, 6)))
+            near = [least_distance(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), n, m) for n, x, m, y in sides]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.float64())], names=["a", "b", "near"])
+
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("profile").alias("x")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("profile").alias("y")), "b")
+    return common.materialize(both.select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long, near double"), "jaccard-screened")
 
 
 def _possible(percent: int, block: int = 512):
     """Pairs of an entry's rows in different components that no exact bound rules out, block by block."""
     reach = (100 - percent) / 100 + 1e-9
 
-    def of_entry(doc, n, component, near, far, counts, seen):
+    def of_entry(doc, n, component, near, far, profiles, seen):
+        size = min(map(len, profiles))
+        counts = np.stack([folded(x, size) for x in profiles])
         for at in range(0, len(doc), block):
             i = slice(at, at + block)
             go = component[i, None] != component[None, :]
@@ -205,7 +233,7 @@ def _possible(percent: int, block: int = 512):
         for batch in batches:
             key = np.asarray(batch.column(0))
             columns = [np.asarray(batch.column(k)) for k in range(1, 6)]
-            columns.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int16))
+            columns.append(np.array([None, *(np.frombuffer(x, np.uint8) for x in batch.column(6).to_pylist())], object)[1:])
             for x, y in _runs(key):
                 if entry is not None and key[x] != entry:
                     yield from flush()
@@ -318,11 +346,11 @@ def _entries(own: DataFrame, nodes: DataFrame, percent: int, width: int, bitmap_
 
 
 def _sets(own: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int, bitmap_bits: int) -> DataFrame:
-    """``node, tokens, profile`` of the wanted nodes."""
+    """``node, size, tokens, profile`` of the wanted nodes."""
     nodes = nodes.join(wanted, "node", "left_semi")
     marks = own.sparkSession.sparkContext.broadcast(common.bitmap(nodes, "doc_id", bitmap_bits))
     found = _scan(own, width, marks, lambda: lambda s: (s.tobytes(), profile(s).tobytes()), ", tokens binary, profile binary")
-    found = found.join(nodes, ["key", "doc_id"]).select("node", "tokens", "profile")
+    found = found.join(nodes, ["key", "doc_id"]).select("node", F.col("n").alias("size"), "tokens", "profile")
     return common.materialize(found.dropDuplicates(["node"]), "jaccard-sets")
 
 
@@ -343,7 +371,13 @@ def join(docs: DataFrame, *, percent: int = 90, width: int = 3, text_col: str =
         common.discard(entry)
 
         sets = _sets(own, nodes, star.select("node").distinct(), width, bitmap_bits)
-        checked = _verify(star.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)
+        pairs = star.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+        screened = _screen(pairs, sets)
+        admitted = (F.col("near") <= (100 - percent) / 100 + 1e-9)
+        verified = _verify(screened.where(admitted).select("a", "b"), sets, percent)
+        checked = verified.select("a", "b", F.col("distance").alias("near"), F.col("distance").alias("far"), "linked").union(
+            screened.where(~admitted).select("a", "b", "near", F.lit(1.0).alias("far"), F.lit(False).alias("linked"))
+        )
         # rows that repeat an id are one: their sets are joined like linked ones
         again = rows.where("doc_id is not null and key is not null").select("doc_id", "key").distinct().join(nodes.select("key", "node"), "key")
         again = again.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").join(again.select("doc_id", F.col("node").alias("b")), "doc_id")
@@ -351,13 +385,13 @@ def join(docs: DataFrame, *, percent: int = 90, width: int = 3, text_col: str =
         common.release(docs.sparkSession)
 
         # What remains: sets of one entry in different components, at like distances from the centre.
-        far = checked.select(F.col("a").alias("centre"), F.col("b").alias("node"), "distance")
+        far = checked.select(F.col("a").alias("centre"), F.col("b").alias("node"), "near", "far")
         at = (
             star.where("node <> centre")
             .join(joined.withColumnRenamed("component", "c"), "node", "left")
             .withColumn("component", F.coalesce("c", "node"))
             .join(far, ["centre", "node"])
-            .select("entry", "node", "n", "component", F.col("distance").alias("near"), F.col("distance").alias("far"))
+            .select("entry", "node", "n", "component", "near", "far")
         )
         split = at.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("entry")
         at = common.materialize(at.join(split, "entry", "left_semi"), "jaccard-open")
