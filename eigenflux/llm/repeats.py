@@ -5,12 +5,13 @@ marked. The corpus is first cut so that equal strings are sure to meet in one sh
 to the least-hashed ``gram``-byte string inside it (its anchor), and consecutive windows of one anchor make one context.
 Equal windows have equal anchors, so shards are ranges of anchor hashes and the result does not depend on how many there are.
 
-Equal contexts collapse, in the reading task first and in the shard again: all but the earliest are repeats from end to end.
-Where an anchor stands in several different contexts, the shard joins these in document order and builds their
-run-compressed Burrows-Wheeler transform, with suffix positions and match lengths sampled at the heads of runs. Inside a run
-a match only grows shorter by one from place to place, so the samples stream the length of every place's match with its
-neighbour in suffix order; stretches of neighbours that match for ``length`` bytes are the equal windows, and all but the
-first in document order are marked. Only contexts of such anchors are fetched as bytes, and only documents with marks are
+Equal contexts (equal in anchor, extent and a 128-bit digest of their bytes) collapse, in the reading task first and in the
+shard again: all but the earliest are repeats from end to end. Where an anchor stands in several different contexts, the
+shard joins these in document order and builds their run-compressed Burrows-Wheeler transform. Of it stay the runs and, at
+the head of each, the place of its suffix, the place of the suffix before it and the length of their match; the suffix array
+goes. Inside a run the place before moves on with the place and a match only grows shorter by one, so the samples stream
+both for every place; stretches of neighbours that match for ``length`` bytes are the equal windows, and all but the first
+in document order are marked. Only contexts of such anchors are fetched as bytes, and only documents with marks are
 joined with them; a bitmap of fixed size keeps most others out of both shuffles.
 
 Null texts count as empty and lose nothing; texts below ``length`` bytes neither. Null ids come first. Rows equal in id and
@@ -40,7 +41,11 @@ _FLUSH = 800_000
 #: Symbols of contexts that one index holds; an anchor's contexts always stay together.
 _INDEX = 4_000_000
 
-_RECORD = np.dtype([("a", "<u8"), ("c", "<u8"), ("d", "<i8"), ("r", "<i4"), ("p", "<i4"), ("lo", "u1"), ("n", "u1")])
+_RECORD = np.dtype([("a", "<u8"), ("c", "<u8"), ("e", "<u8"), ("d", "<i8"), ("r", "<i4"), ("p", "<i4"), ("lo", "<u2"), ("n", "<u2")])
+#: What equal contexts agree in: anchor, both halves of a 128-bit digest of the bytes, and the bytes' extent.
+_SAME = ("a", "c", "e", "lo", "n")
+#: Longest strings whose contexts a record can describe.
+LONGEST = 1 << 16
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -74,9 +79,9 @@ def window_minima(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of each context: text, first window, last window, anchor place (inside the text), anchor hash, context hash."""
+    """Of each context: text, first window, last window, anchor place (inside the text), anchor hash, digest (two numbers)."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, _U, _U))
+    none = (*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, _U)), np.zeros((0, 2), _U))
     blob = b"".join(texts)
     if len(blob) < length:
         return none
@@ -103,8 +108,8 @@ def contexts(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ..
     new = np.concatenate(([True], (at[1:] != at[:-1]) | (owner[valid][1:] != owner[valid][:-1])))
     first = valid[new]
     last = valid[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(valid) - 1]))]
-    view, digest = memoryview(blob), xxhash.xxh3_64_intdigest
-    marks = np.fromiter((digest(view[f:e]) for f, e in zip(first.tolist(), (last + length).tolist())), _U, len(first))
+    view, digest = memoryview(blob), xxhash.xxh3_128_digest
+    marks = np.frombuffer(b"".join([digest(view[f:e]) for f, e in zip(first.tolist(), (last + length).tolist())]), _U).reshape(-1, 2)
     doc, place = owner[first], at[new]
     return doc, first - starts[doc], last - starts[doc], place - starts[doc], hashes[place], marks
 
@@ -140,53 +145,77 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RunIndex:
-    """Run-compressed transform of contexts with samples at the heads of its runs."""
+    """Run-compressed transform of contexts: the runs' symbols, and at the head of each run the places of its suffix and of
+    the suffix before it in suffix order, with the length of their match. Neither the suffix array nor the text is kept.
+    """
 
     def __init__(self, text: np.ndarray):
-        self.text, n = text, len(text)
-        self.order, keys = suffix_array(text)
-        last = text[self.order - 1]
+        order, keys = suffix_array(text)
+        self.size = len(text)
+        last = text[order - 1]
         # A 0 differs from every other 0, so each is a run of its own.
-        self.heads = np.flatnonzero(np.concatenate(([True], (last[1:] != last[:-1]) | (last[1:] == 0))))
-        self.symbols = last[self.heads]
-        self.head_place = self.order[self.heads]
-        before = self.order[np.maximum(self.heads - 1, 0)]
-        self.head_match = self._common(self.head_place, before, keys)
-        self.head_match[self.heads == 0] = 0
-
-    def _common(self, i: np.ndarray, j: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of suffixes, up to the first 0."""
-        out, live = np.zeros(len(i), np.int64), np.arange(len(i))
-        i, j = i.copy(), j.copy()
-        while len(live):  # seven symbols a step while whole keys agree and hold no 0
-            same = (keys[i] == keys[j]) & (keys[i] % 257 != 0)
-            out[live[same]] += 7
-            tail, a, b = live[~same], i[~same], j[~same]
-            going = np.ones(len(tail), bool)
-            for k in range(7):
-                going &= (self.text[np.minimum(a + k, len(self.text) - 1)] == self.text[np.minimum(b + k, len(self.text) - 1)]) & (self.text[np.minimum(a + k, len(self.text) - 1)] != 0)
-                out[tail[going]] += 1
-            live, i, j = live[same], i[same] + 7, j[same] + 7
-        return out
+        heads = np.flatnonzero(np.concatenate(([True], (last[1:] != last[:-1]) | (last[1:] == 0))))
+        place, before = order[heads], order[np.maximum(heads - 1, 0)]
+        match = _common(text, place, before, keys)
+        match[0] = 0  # nothing comes before the first suffix
+        self.lengths = np.diff(np.append(heads, self.size))
+        self.symbols = last[heads]
+        by_place = np.argsort(place)
+        self.place, self.before, self.match = place[by_place], before[by_place], match[by_place]
+
+    def stream(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each place in text order, the place before it in suffix order and the length of their match.
+
+        Inside a run the place before moves on with the place itself and the match grows shorter by one, so the sample last
+        passed tells both.
+        """
+        at = np.arange(self.size)
+        sample = np.searchsorted(self.place, at, side="right") - 1
+        gone = at - self.place[sample]
+        match = np.where(sample >= 0, np.maximum(self.match[sample] - gone, 0), 0)
+        return np.where(match > 0, self.before[sample] + gone, at), match
 
     def match_lengths(self) -> np.ndarray:
-        """Of each place, the match with the suffix just before its own in suffix order, streamed from the samples."""
-        n = len(self.text)
-        sample, sampled = np.zeros(n, np.int64), np.zeros(n, bool)
-        sample[self.head_place], sampled[self.head_place] = self.head_match, True
-        source = np.maximum.accumulate(np.where(sampled, np.arange(n), -1))
-        return np.maximum(sample[source] - (np.arange(n) - source), 0)
+        return self.stream()[1]
 
     def later_copies(self, length: int) -> np.ndarray:
         """Whether a string of ``length`` symbols starts at each place that also starts at a smaller one."""
-        match = self.match_lengths()[self.order] >= length
-        group = np.cumsum(~match) - 1
-        least = np.minimum.reduceat(self.order, np.flatnonzero(~match))
-        out = np.zeros(len(self.text), bool)
-        out[self.order] = self.order > least[group]
+        before, match = self.stream()
+        at = np.flatnonzero(match >= length)
+        first = np.arange(self.size)
+        first[at] = before[at]
+        while len(at):  # to the first place of each stretch of neighbours that match, in doubling steps
+            step = first[first[at]]
+            moved = step != first[at]
+            first[at] = step
+            at = at[moved]
+        copies = np.flatnonzero(match >= length)
+        least = np.arange(self.size)
+        np.minimum.at(least, first[copies], copies)
+        out = np.zeros(self.size, bool)
+        out[copies] = copies > least[first[copies]]
+        roots = np.unique(first[copies])
+        out[roots] = roots > least[roots]
         return out
 
 
+def _common(text: np.ndarray, i: np.ndarray, j: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of suffixes, up to the first 0."""
+    out, live = np.zeros(len(i), np.int64), np.arange(len(i))
+    end = len(text) - 1
+    while len(live):  # seven symbols a step while whole keys agree and hold no 0
+        same = (keys[i] == keys[j]) & (keys[i] % 257 != 0)
+        out[live[same]] += 7
+        tail, a, b = live[~same], i[~same], j[~same]
+        going = np.ones(len(tail), bool)
+        for k in range(7):
+            x = text[np.minimum(a + k, end)]
+            going &= (x == text[np.minimum(b + k, end)]) & (x != 0)
+            out[tail[going]] += 1
+        live, i, j = live[same], i[same] + 7, j[same] + 7
+    return out
+
+
 def _pack(bucket: int, records: np.ndarray) -> tuple[int, bytes]:
     return bucket, b"".join(np.ascontiguousarray(records[f]).tobytes() for f in _RECORD.names)
 
@@ -201,21 +230,31 @@ def _unpack(payload: bytes) -> np.ndarray:
     return out
 
 
+def _differ(records: np.ndarray) -> np.ndarray:
+    """Whether each record's context is another than the one before it."""
+    new = np.ones(len(records), bool)
+    new[1:] = False
+    for f in _SAME:
+        new[1:] |= records[f][1:] != records[f][:-1]
+    return new
+
+
 def _collapse(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The earliest record of each equal context, and all others."""
     with np.errstate(over="ignore"):
-        key = (records["a"] * _U(0x9E3779B97F4A7C15)) ^ records["c"] ^ (records["lo"].astype(_U) << _U(40)) ^ (records["n"].astype(_U) << _U(48))
+        key = (records["a"] * _U(0x9E3779B97F4A7C15)) ^ records["c"]
     order = np.argsort(key, kind="stable")
     k = key[order]
-    new = np.concatenate(([True], k[1:] != k[:-1]))
-    if new.all():
+    near = np.concatenate(([False], k[1:] == k[:-1]))
+    if not near.any():
         return records, records[:0]
-    twin = ~new | np.concatenate((~new[1:], [False]))
-    one, rest = records[order[~twin]], records[order[twin]]
-    by = np.lexsort((rest["p"], rest["r"], rest["d"], key[order[twin]]))
-    rest, k = rest[by], k[twin][by]
-    new = np.concatenate(([True], k[1:] != k[:-1]))
-    same = np.concatenate(([False], (rest["d"][1:] == rest["d"][:-1]) & (rest["r"][1:] == rest["r"][:-1]) & (rest["p"][1:] == rest["p"][:-1]) & ~new[1:]))
+    near |= np.concatenate((near[1:], [False]))
+    one, rest = records[order[~near]], records[order[near]]
+    rest = rest[np.lexsort((rest["p"], rest["r"], rest["d"], *(rest[f] for f in _SAME)))]  # keys may collide; contexts decide
+    new = _differ(rest)
+    same = ~new
+    for f in ("d", "r", "p"):
+        same[1:] &= rest[f][1:] == rest[f][:-1]
     return np.concatenate((one, rest[new])), rest[~new & ~same]  # a row given twice is the same record
 
 
@@ -234,6 +273,8 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
 def marks(docs: DataFrame, *, length: int = 100, gram: int = 24, text_col: str = "text", shard_mb: int = 4, bitmap_bits: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
     """The keyed documents and the byte intervals ``[a, b)`` to remove, ``(d, r, a, b)``; intervals may overlap."""
+    if not gram <= length < LONGEST:
+        raise ValueError(f"length must be from {gram} to {LONGEST - 1}")
     spark = docs.sparkSession
     common.bound_batches(spark)
     keyed = _keyed(docs, text_col)
@@ -256,7 +297,8 @@ def marks(docs: DataFrame, *, length: int = 100, gram: int = 24, text_col: str =
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             doc, first, last, place, anchor, mark = contexts(texts, length, gram)
             records = np.empty(len(doc), _RECORD)
-            records["a"], records["c"], records["p"], records["lo"], records["n"] = anchor, mark, first, place - first, last - first
+            records["a"], records["p"], records["lo"], records["n"] = anchor, first, place - first, last - first
+            records["c"], records["e"] = mark[:, 0], mark[:, 1]
             records["d"], records["r"] = np.asarray(batch.column(0))[doc], np.asarray(batch.column(1))[doc]
             held.append(records)
             if sum(map(len, held)) >= _FLUSH:

@@ -243,6 +243,18 @@ def test_jaccard_of_rows_that_share_an_id(spark):
     assert collections.Counter(map(tuple, got)) == collections.Counter(want)
 
 
+def test_profiles_bound_distances():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        both, x, y = (rng.integers(0, 1 << 62, rng.integers(0, 2000)).astype(np.uint64) for _ in range(3))
+        x, y = np.unique(np.concatenate((both, x))), np.unique(np.concatenate((both, y)))
+        if len(x) and len(y):
+            true = 1 - len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+            assert jaccard.least_distance(jaccard.profile(x), jaccard.profile(y), len(x), len(y)) <= true + 1e-12
+    x, y = (np.unique(rng.integers(0, 1 << 62, 20_000).astype(np.uint64)) for _ in range(2))
+    assert jaccard.least_distance(jaccard.profile(x), jaccard.profile(y), len(x), len(y)) > 0.4
+
+
 def test_shared_entries_over_batches():
     rng = np.random.default_rng(5)
     rows = np.unique(rng.integers(0, [40, 9], (200, 2)), axis=0)
@@ -441,7 +453,28 @@ def test_run_index():
                 want[i] = w in seen
                 seen.add(w)
         assert (index.later_copies(n) == want).all()
-        assert len(index.heads) <= len(text)
+        assert len(index.symbols) == len(index.place) <= len(text) and index.lengths.sum() == len(text)
+        assert not hasattr(index, "order")
+
+
+def test_equal_digest_halves_do_not_remove(monkeypatch):
+    """Contexts that agree in one half of the digest only are told apart."""
+    records = np.zeros(6, repeats._RECORD)
+    records["c"], records["e"], records["d"] = 7, [1, 2, 1, 2, 3, 1], [5, 1, 2, 4, 3, 2]
+    first, again = repeats._collapse(records)
+    assert sorted(zip(first["e"].tolist(), first["d"].tolist())) == [(1, 2), (2, 1), (3, 3)]
+    assert sorted(zip(again["e"].tolist(), again["d"].tolist())) == [(1, 5), (2, 4)]
+
+
+def test_repeats_of_many_lengths(spark):
+    rng = random.Random(12)
+    parts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(300, 900))) for _ in range(6)]
+    texts = ["".join(rng.choice(parts)[rng.randrange(200) :] + rng.choice(["", "x"]) for _ in range(rng.randrange(4))) for _ in range(30)]
+    for length in (100, 400, 600):
+        got = {r["doc_id"]: (r["n_bytes"], bytes(r["kept"]), len(r["spans"])) for r in repeats.remove(docs_of(spark, texts), length=length).collect()}
+        assert got == brute_repeats(list(enumerate(texts)), length)
+    with pytest.raises(ValueError):
+        repeats.remove(docs_of(spark, texts), length=1 << 16)
 
 
 def test_contexts_of_long_texts(monkeypatch):
