@@ -80,11 +80,11 @@ def scratch() -> Iterator[Scope]:
         _scopes.reset(token)
 
 
-def materialize(df: DataFrame, name: str, *, outer: int = 0) -> DataFrame:
+def materialize(df: DataFrame, name: str, *, outer: int = 0, compression: str = "snappy") -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._eigenflux_path = path  # noqa: SLF001  for discard()
     scopes = _scopes.get()

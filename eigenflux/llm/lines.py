@@ -141,11 +141,14 @@ def _kept(docs: DataFrame, text_col: str, threshold: float, width: int, bands: i
         distinct = parts.groupBy("k1", "k2").agg(F.first("norm").alias("norm"), F.min(at).alias("at"))
         whole = distinct.where("at.line >= 0")  # true of all: with the same columns on both sides Spark reads one exchange twice
         signed = distinct.join(_bands(whole, width, bands, rows), ["k1", "k2"])  # both sides lie by the keys already
-        lines = common.materialize(signed.select(F.monotonically_increasing_id().alias("id"), "norm", "at", "bands"), "lines-distinct")
+        lines = signed.select(F.monotonically_increasing_id().alias("id"), "norm", "at", "bands")
+        lines = common.materialize(lines, "lines-distinct", compression="zstd")
+        common.release(docs.sparkSession)
 
         entry = lines.select("id", F.explode("bands").alias("band"))
         shared = entry.groupBy("band").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("band", "centre")
         star = common.materialize(entry.join(shared, "band"), "lines-stars")
+        common.release(docs.sparkSession)
         pairs = star.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
         checked = common.materialize(_verify(pairs, lines, threshold, width), "lines-verified")
         joined = graph.components(checked.where("linked"))
