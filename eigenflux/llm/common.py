@@ -102,6 +102,12 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(p, True)
 
 
+def free_names(keep: tuple[str, ...], results: tuple[str, ...]) -> None:
+    """Raises where columns to keep are named like the columns that an operator adds, or twice."""
+    if len({*keep, *results}) < len(keep) + len(results):
+        raise ValueError(f"columns to keep {list(keep)} may neither repeat nor be named like results {list(results)}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -237,8 +237,10 @@ def find(
 ) -> DataFrame:
     """A row for each document: ``keep``, ``n_words``, ``spans`` (merged word intervals), ``items`` (sorted ids).
 
-    With ``clean`` also ``text``: the text without the bytes of the spans, a line break in place of each.
+    With ``clean`` also ``text``: the text without the bytes of the spans, a line break in place of each. Null ids and repeated
+    rows are rows like any other. Other columns are not read; a column to keep that is named like a result raises.
     """
+    common.free_names(keep, ("n_words", "spans", "items", *["text"] * clean))
     spark = docs.sparkSession
     common.bound_batches(spark)
     own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))

@@ -35,6 +35,11 @@ _LETTER = re.compile(r"[^\W\d_]")
 PIECE = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; fractions, superscripts and circled digits, which the pattern lets by, are none."""
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 class ContextTrees:
     """Frozen statistics: strings of up to ``ORDER + 1`` symbols with code and escape lengths for each language."""
 
@@ -179,7 +184,12 @@ _cache: dict[str, list[np.ndarray]] = {}
 
 
 def predict(docs: DataFrame, model: ContextTrees, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep``, ``lang_pred string``, ``score double`` and ``bits_per_byte double``, row by row; no shuffle."""
+    """Columns ``keep``, ``lang_pred string``, ``score double`` and ``bits_per_byte double``, row by row; no shuffle.
+
+    Rows with null ids and repeated rows are predicted like any other. Other columns are not read; a column to keep that is
+    named like a result raises.
+    """
+    common.free_names(keep, ("lang_pred", "score", "bits_per_byte"))
     spark = docs.sparkSession
     common.bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -197,7 +207,7 @@ def predict(docs: DataFrame, model: ContextTrees, *, text_col: str = "text", kee
         tables = _cache[trees.key]
         for batch in batches:
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            known = [bool(_LETTER.search(t)) and bool(trees.langs) for t in texts]
+            known = [has_letter(t) and bool(trees.langs) for t in texts]
             lang, score, rate = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             todo = [i for i, k in enumerate(known) if k]
             if todo:

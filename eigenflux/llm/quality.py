@@ -173,7 +173,12 @@ def train(docs: DataFrame, labels: DataFrame, *, where: Column | None = None, ma
 
 
 def predict(docs: DataFrame, model: BoostedTrees, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and ``score double``, row by row; no shuffle."""
+    """Columns ``keep`` and ``score double``, row by row; no shuffle.
+
+    Null and empty texts, null ids and repeated rows are scored like any other. Other columns are not read; a column to keep
+    that is named ``score`` raises.
+    """
+    common.free_names(keep, ("score",))
     spark = docs.sparkSession
     common.bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)

@@ -34,11 +34,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document; a third of the ids is held out of training."""
+    """Language of every document; a third of the ids is held out of training (null ids are neither learned from nor held out)."""
     docs = table(spark, sf_dir, "documents")
     third = crc_mod(F.col("doc_id"), 3)
     model = langid.train(docs, where=third != 1)
-    return langid.predict(docs, model).select("doc_id", (third == 1).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+    return langid.predict(docs, model).select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +68,11 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of every document; a fifth of the ids is held out of training."""
+    """Quality of every document; a fifth of the ids is held out of training (null ids are neither learned from nor held out)."""
     docs, fifth = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5)
     model = quality.train(docs, table(spark, sf_dir, "labels"), where=fifth != 0)
     return quality.predict(docs, model).select(
-        "doc_id", (fifth == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+        "doc_id", F.coalesce(fifth == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
     )
 
 
@@ -117,7 +117,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = sharding.ShardedDataset(spark, new_path(spark, "shards"))
     store.append(docs, F.pmod(F.xxhash64("doc_id"), F.lit(6)).cast("int"))
-    store.compact()
+    while store.merge():
+        store.vacuum(keep=1, age=0)  # nobody else writes to or reads from a store made here
     rows = store.read(schema=docs.schema)
     return rows.select(
         "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.lit(store.version()).cast("long").alias("version"), "shard", "shard_bytes"

@@ -5,14 +5,18 @@ small shards of their own. A shard's tier is ``floor(log_fanout(bytes / least))`
 all its shards are read together and rewritten at about ``target_bytes`` a file, which is the top tier and is left alone.
 A commit writes the list of shards to a hidden folder and renames it to ``manifest/v<n>`` in one file-system step that fails
 if that version exists, so two writers cannot both commit it; readers take the highest version and never see half a commit.
-Files that no version names are leftovers of failed or replaced work; ``vacuum`` removes them.
+An append that loses the race is committed as the next version; a merge that loses it is given up and planned anew.
+Merging deletes nothing: old versions stay readable and runs that are written but not yet committed stay whole until
+``vacuum``, a call of its own, removes what no kept version names and what is older than an age. The commit needs a file
+system that renames folders in one step (HDFS and local ones do, plain object stores do not).
 
 Rows are kept as they are: nulls, empty and very long texts, repeated rows. An empty table commits a version without
-shards. Columns of any name may occur, but ``__arrival`` is used to deal rows out.
+shards. Columns of any name may occur but ``__arrival``, ``shard`` and ``shard_bytes``, which raise.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,7 +57,7 @@ class ShardedDataset:
         return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/v{version}")
 
     def commit(self, shards: DataFrame, version: int) -> None:
-        """Make ``shards`` the version; fails if another writer has committed it."""
+        """Make ``shards`` the version; raises if another writer has committed it."""
         hidden = f"{self.path}/manifest/.{uuid.uuid4().hex}"
         shards.coalesce(1).write.parquet(hidden)
         jvm, conf = self.spark._jvm, self.spark._jsc.sc().hadoopConfiguration()
@@ -61,13 +65,17 @@ class ShardedDataset:
         none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), conf).rename(source, goal, none)
 
+    def _lost(self, version: int) -> bool:
+        """Whether a commit failed because the version exists."""
+        return self.version() >= version
+
     def _tier(self, size: Column) -> Column:
         full = size >= self.target // 2
         level = F.floor(F.log(float(self.fanout), F.greatest(size, F.lit(self.least)) / F.lit(float(self.least)))).cast("int")
         return F.when(full, F.lit(99)).otherwise(level)
 
     def _shards(self, run: str, version: int, schema: T.StructType) -> DataFrame:
-        """Files of a written run, with their sizes and rows."""
+        """Files of a written run, with their sizes and rows; no column of the files is read."""
         meta = self.spark.read.schema(schema).parquet(run).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
         found = meta.groupBy("path", "bytes").agg(F.count("*").alias("rows"))
         return found.select("path", "bytes", "rows", self._tier(F.col("bytes")).alias("tier"), F.lit(version).cast("long").alias("version"))
@@ -76,21 +84,28 @@ class ShardedDataset:
 
     def append(self, rows: DataFrame, arrival: Column) -> int:
         """Write each arrival (a value of the column) as small shards; one version commits them."""
-        version = self.version() + 1
+        if clash := {"__arrival", "shard", "shard_bytes"} & set(rows.columns):
+            raise ValueError(f"columns {sorted(clash)} have names that the dataset uses")
         run = f"{self.path}/data/append-{uuid.uuid4().hex}"
         rows.withColumn("__arrival", arrival).write.partitionBy("__arrival").parquet(run)
-        self.commit(self.manifest(version - 1).union(self._shards(run, version, rows.schema)), version)
-        return version
-
-    def compact(self) -> int:
-        """Merge tiers until none below the top has ``fanout`` shards; every merge commits a version."""
+        while True:
+            version = self.version() + 1
+            try:
+                self.commit(self.manifest(version - 1).union(self._shards(run, version, rows.schema)), version)
+                return version
+            except Exception:
+                if not self._lost(version):
+                    raise
+
+    def merge(self) -> int:
+        """Merge the lowest tier that holds ``fanout`` shards and commit; the version, or 0 where no tier does."""
         while True:
             now = self.version()
             shards = self.manifest(now)
             sums = shards.where("tier < 99").groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
             ripe = sums.where(F.col("n") >= self.fanout).orderBy("tier").first()
             if ripe is None:
-                return now
+                return 0
             chosen = shards.where(F.col("tier") == ripe["tier"])
             files = max(1, round(ripe["bytes"] / self.target))
             run = f"{self.path}/data/merge-{uuid.uuid4().hex}"
@@ -99,25 +114,42 @@ class ShardedDataset:
             shards_schema = self.spark.read.parquet(paths[0]).schema
             rest = shards.where(F.col("tier") != ripe["tier"])
             new = self._shards(run, now + 1, shards_schema)
-            if files == 1:  # a merge that stays small moves up a tier at least, so the loop ends
+            if files == 1:  # a merge that stays small moves up a tier at least, so compaction ends
                 new = new.withColumn("tier", F.greatest("tier", F.lit(ripe["tier"] + 1)))
             else:
                 new = new.withColumn("tier", F.lit(99))
-            self.commit(rest.union(new), now + 1)
-            self.vacuum(keep=1)
+            try:
+                self.commit(rest.union(new), now + 1)
+                return now + 1
+            except Exception:
+                if not self._lost(now + 1):
+                    raise
+                self._fs(run)[0].delete(self._fs(run)[1], True)  # this writer's own run, which no version names
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Remove versions but the last ``keep``, and data files that no kept version names."""
-        last = self.version()
+    def compact(self) -> int:
+        """Merge tiers until none below the top has ``fanout`` shards; every merge commits a version. The last version."""
+        while self.merge():
+            pass
+        return self.version()
+
+    def vacuum(self, keep: int = 2, age: float = 7 * 86400.0) -> None:
+        """Remove versions but the last ``keep``, and runs that no remaining version names, if older than ``age`` seconds.
+
+        ``age`` must exceed the longest write before its commit and the longest read of a replaced version.
+        """
+        before = (time.time() - age) * 1000
+        last, named = self.version(), set()
         for status in self._list(f"{self.path}/manifest"):
             name = status.getPath().getName()
-            if name.startswith("v") and int(name[1:]) <= last - keep:
+            if not name.startswith("v"):
+                continue
+            if int(name[1:]) <= last - keep and status.getModificationTime() <= before:
                 self._fs(f"{self.path}/manifest/{name}")[0].delete(status.getPath(), True)
-        named = set()
-        for v in range(max(1, last - keep + 1), last + 1):
-            named |= {r["path"].split("/data/")[-1].split("/")[0] for r in self.manifest(v).select("path").distinct().collect()}
+            else:
+                run = F.split(F.element_at(F.split("path", "/data/"), -1), "/")[0]
+                named |= {r[0] for r in self.manifest(int(name[1:])).select(run).distinct().collect()}
         for status in self._list(f"{self.path}/data"):  # whole runs: a merge takes all shards of a tier, so runs empty out
-            if status.getPath().getName() not in named:
+            if status.getPath().getName() not in named and status.getModificationTime() <= before:
                 self._fs(self.path)[0].delete(status.getPath(), True)
 
     def read(self, version: int | None = None, schema: T.StructType | None = None) -> DataFrame:

@@ -133,7 +133,11 @@ def encode(
     table_size: int = 1_000_000,
     piece_chars: int = 1 << 20,
 ) -> DataFrame:
-    """Columns ``keep``, then ``ids array<int>`` and ``decoded string``, a row for each row of ``docs``."""
+    """Columns ``keep``, then ``ids array<int>`` and ``decoded string``, a row for each row of ``docs``.
+
+    Other columns are not read; a column to keep that is named like a result raises.
+    """
+    common.free_names(keep, ("ids", "decoded"))
     import sentencepiece
 
     common.bound_batches(docs.sparkSession)

@@ -582,9 +582,62 @@ def test_shards(spark, tmp_path):
     assert store.version() == last
 
 
+def test_shards_spare_other_writers_and_readers(spark, tmp_path):
+    docs = docs_of(spark, [f"text {i} " * 50 for i in range(100)])
+    store = sharding.ShardedDataset(spark, str(tmp_path / "s"), target_bytes=20_000, least_bytes=500)
+    for k in range(2):
+        store.append(docs.where(f"doc_id % 2 = {k}").repartition(3), F.lit(k))
+    old = store.read()
+    docs.write.parquet(str(tmp_path / "s/data/append-other"))  # another writer's run, not yet committed
+    store.compact()
+    assert old.count() == 100 and spark.read.parquet(str(tmp_path / "s/data/append-other")).count() == 100
+    store.vacuum(keep=1)
+    assert old.count() == 100 and (tmp_path / "s/data/append-other").exists()
+    store.vacuum(keep=1, age=0)
+    assert store.read().count() == 100 and not (tmp_path / "s/data/append-other").exists()
+    with pytest.raises(ValueError):
+        store.append(docs.withColumn("shard", F.lit("x")), F.lit(0))
+
+
+def test_shards_of_two_writers(spark, tmp_path, monkeypatch):
+    docs = docs_of(spark, [f"text {i}" for i in range(20)])
+    one, two = (sharding.ShardedDataset(spark, str(tmp_path / "s"), least_bytes=500) for _ in range(2))
+    commit, raced = sharding.ShardedDataset.commit, []
+
+    def late(self, shards, version):
+        if self is one and len(raced) < 2:
+            raced.append(version)
+            two.append(docs.where("doc_id >= 10").repartition(4), F.lit(len(raced)))
+        commit(self, shards, version)
+
+    monkeypatch.setattr(sharding.ShardedDataset, "commit", late)
+    assert one.append(docs.where("doc_id < 10").repartition(4), F.lit(0)) == 3  # loses twice
+    assert raced == [1, 2] and one.read().count() == 30
+    raced.clear()
+    one.compact()
+    assert len(raced) == 2 and one.read().count() == 50
+
+
 # edges of the rest, and the pipeline
 
 
+def test_columns_named_like_results(spark):
+    docs = spark.createDataFrame([(1, "some words of text", 5, "x")], "doc_id long, text string, score int, items string")
+    none = spark.createDataFrame([], "item_id string, text string")
+    with pytest.raises(ValueError):
+        langid.predict(docs, langid.train(docs.withColumn("lang", F.lit("en"))), keep=("doc_id", "score"))
+    with pytest.raises(ValueError):
+        contamination.find(docs, none, keep=("doc_id", "items"))
+    with pytest.raises(ValueError):
+        spm.encode(docs.withColumn("ids", F.lit(1)), MODEL, keep=("doc_id", "ids"))
+    assert [r["text"] for r in contamination.find(docs, none, keep=("doc_id", "score"), clean=True).collect()] == ["some words of text"]
+
+
+def test_letters():
+    assert not any(map(langid.has_letter, ("", "½ ²", "①② 12 _", "\n")))
+    assert all(map(langid.has_letter, ("½ a", "字", "é")))
+
+
 @pytest.mark.parametrize("name", [n for n in queries.queries() if n not in ("op6_quality", "op9_contamination")])
 def test_edges_and_empty(spark, tmp_path, edges, none, name):
     d = folder(spark, tmp_path, edges)
