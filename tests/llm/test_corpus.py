@@ -686,7 +686,7 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     assert len(stages) == 5
     ids = lambda name: {r["doc_id"] for r in seen[name]}
     assert ids("line_dedup") == set(range(len(docs))) - {42, 43}
-    gone = brute_lines([tuple(r) for r in seen["line_dedup"]])
+    gone = every_position([tuple(r) for r in seen["line_dedup"]])
     want = {}
     for i, t in ((r["doc_id"], r["text"]) for r in seen["line_dedup"]):
         kept = [x for k, x in enumerate(t.split("\n")) if k not in gone[i]]
