@@ -70,6 +70,35 @@ class Dataset:
         mean = self.long.groupBy("s").agg(F.avg("q").alias("m"))
         return self.long.join(mean, "s").select("t", "s", (F.col("q") - F.col("m")).alias("q"))
 
+    def reduced(self, kind: str) -> DataFrame:
+        """One row ``v``: the least, greatest or mean value of the field (``min``, ``max``, ``mean``)."""
+        made = {"min": F.min, "max": F.max, "mean": F.avg}
+        if kind not in made:
+            raise ValueError(f"unknown reduction {kind!r}; one of {sorted(made)}")
+        return self.long.agg(made[kind]("q").alias("v"))
+
+    def centredness(self) -> DataFrame:
+        """One row ``ratio``: the largest mean of a place over the field's spread; infinite where the field is constant."""
+        by = self.long.groupBy("s").agg(F.avg("q").alias("m"), F.count("*").alias("n"), F.var_pop("q").alias("v"))
+        # the whole variance is the mean within places and the variance between their means
+        all_ = by.agg(
+            F.max(F.abs("m")).alias("top"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("within"),
+            F.sum(F.col("n") * F.col("m")).alias("s1"), F.sum(F.col("n") * F.col("m") ** 2).alias("s2"),
+        )
+        var = F.greatest(F.lit(0.0), F.col("within") + F.col("s2") - F.col("s1") ** 2 / F.col("n")) / F.col("n")
+        return all_.select(F.when(var > 0, F.col("top") / F.sqrt(var)).otherwise(float("inf")).alias("ratio"))
+
+    def is_centred(self, tolerance: float = 1e-6) -> bool:
+        return bool(self.centredness().first()[0] < tolerance)
+
+    def axis(self, count: int | None = None, times: list[float] | None = None) -> DataFrame:
+        """``t, time``: ``times`` where there are enough, else steps of ``dt``, else sample numbers."""
+        count = self.n_time if count is None else count
+        if times is not None and len(times) >= count:
+            return self.spark.createDataFrame([(k, float(x)) for k, x in enumerate(times[:count])], "t long, time double")
+        step = self.dt if self.dt and self.dt > 0 else 1.0
+        return self.spark.range(count).select(F.col("id").alias("t"), (F.col("id") * F.lit(float(step))).alias("time"))
+
     def series(self) -> DataFrame:
         """``s, w, v`` with the values of a place by time."""
         return _gather(self.weighted(), ["s", "w"], "t")

@@ -121,6 +121,18 @@ def energy_map(result: Result, limit: int) -> DataFrame:
     return square.join(found, ["p1", "p2"], "left").select("p1", "p2", F.coalesce("modulus", F.lit(float("nan"))).alias("modulus"))
 
 
+def band_counts(result: Result) -> DataFrame:
+    """``band, n``: modes that each band has."""
+    return result.eig.groupBy("band").agg(F.count("*").alias("n"))
+
+
+def missing_bins(triads: list[tuple[int, int, int]], cached: DataFrame) -> DataFrame:
+    """``f``: distinct frequency bins that the triads need and ``cached(f)`` lacks."""
+    spark = cached.sparkSession
+    needed = spark.createDataFrame([(abs(p),) for triad in triads for p in triad], "f long").distinct()
+    return needed.join(cached.select(F.col("f").cast("long").alias("f")), "f", "left_anti")
+
+
 def top_triads(result: Result, k: int) -> DataFrame:
     return result.eig.where(~F.isnan("modulus")).orderBy(F.desc("modulus"), "triad").limit(k)
 

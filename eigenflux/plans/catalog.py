@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,7 +54,8 @@ def _matrix(spark: SparkSession, k: np.ndarray, digits: int = 6) -> DataFrame:
 
 def gram_spatial_h(spark, d):
     data = hours(spark, d)
-    return _gram(*[data.centred().withColumnRenamed("s", "k")] * 2, "t", data.n_time)
+    rows = modal._weighted_snapshots(data, data.centred())
+    return _matrix(spark, tall.gram(rows, data.n_space) / data.n_time)
 
 
 def gram_temporal_d(spark, d):
@@ -125,6 +127,27 @@ def dmd_operator(data: Dataset) -> DataFrame:
     return data.spark.createDataFrame(rows, "i long, j long, v double").select("i", "j", rounded("v", "a"))
 
 
+def reductions(spark, d):
+    data = hours(spark, d)
+    parts = [data.reduced(kind).select(F.lit(kind).alias("kind"), rounded("v", "v")) for kind in ("min", "max", "mean")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def centredness(spark, d):
+    data = hours(spark, d)
+    raw, done = data.centredness(), replace(data, long=data.centred()).centredness()
+    return raw.select(F.lit("raw").alias("field"), rounded("ratio", "ratio")).union(done.select(F.lit("centred").alias("field"), rounded("ratio", "ratio")))
+
+
+def thresholds(spark, d):
+    result = _pod2(spark, d)
+    return spark.createDataFrame([(p, reports.modes_for(result, p)) for p in (10.0, 50.0, 99.9)], "pct double, n long")
+
+
+def _limits(method: str):
+    return lambda s, d: reports.limits(hours(s, d).long, "q", method).select(rounded("low", "low"), rounded("high", "high"))
+
+
 def _eig(df: DataFrame) -> DataFrame:
     return df.select("mode", rounded("lambda_re", "lambda_re"), rounded("lambda_im", "lambda_im"))
 
@@ -242,6 +265,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bsmd_eig_H2": lambda s, d: _bsmd(two(s, d)).eig.select(*[F.col(p).cast("long").alias(p) for p in ("p1", "p2", "p3")], rounded("modulus", "modulus", 4)),
     "bsmd_energy_map": lambda s, d: reports.energy_map(_bsmd(two(s, d)), 8).select("p1", "p2", rounded(F.when(F.isnan("modulus"), -1.0).otherwise(F.col("modulus")), "modulus", 4)),
     "robust_clim_H": lambda s, d: reports.limits(hours(s, d).long, "q").select(rounded("low", "low"), rounded("high", "high")),
+    "limits_minmax_H": _limits("minmax"),
+    "limits_sigma_H": _limits("sigma"),
+    "reductions_H": reductions,
+    "centredness_H": centredness,
+    "time_axis_H": lambda s, d: hours(s, d).axis().select("t", rounded("time", "time")),
+    "modes_for_H2": thresholds,
+    "mpod_band_counts_H2": lambda s, d: reports.band_counts(modal.mpod(two(s, d), [0.0, 0.05, 0.2, 0.5])),
+    "missing_bins": lambda s, d: reports.missing_bins(modal.triads(), s.range(4).withColumnRenamed("id", "f")),
+    "top_triads_H2": lambda s, d: reports.top_triads(_bsmd(two(s, d)), 5).select(*[F.col(p).cast("long").alias(p) for p in ("p1", "p2", "p3")], rounded("modulus", "modulus", 4)),
     "gen_double_gyre": lambda s, d: _long(generators.double_gyre(s, 20, 10, 30).long),
     "gen_taylor_green": lambda s, d: _long(generators.taylor_green(s, 16, 16, 20).long),
     "gen_double_gyre_full": lambda s, d: _long(generators.double_gyre(s).long),
