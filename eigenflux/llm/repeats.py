@@ -37,9 +37,9 @@ _LEAST = -(1 << 63)
 #: Bits of a window minimum that hold its place.
 _PLACE = 26
 #: Records of a reading task that are sorted and collapsed together.
-_FLUSH = 800_000
+_FLUSH = 600_000
 #: Symbols of contexts that one index holds; an anchor's contexts always stay together.
-_INDEX = 4_000_000
+_INDEX = 3_000_000
 
 _RECORD = np.dtype([("a", "<u8"), ("c", "<u8"), ("e", "<u8"), ("d", "<i8"), ("r", "<i4"), ("p", "<i4"), ("lo", "<u2"), ("n", "<u2")])
 #: What equal contexts agree in: anchor, both halves of a 128-bit digest of the bytes, and the bytes' extent.
