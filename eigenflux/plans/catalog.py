@@ -129,19 +129,14 @@ def dmd_operator(data: Dataset) -> DataFrame:
 
 def reductions(spark, d):
     data = hours(spark, d)
-    parts = [data.reduced(kind).select(F.lit(kind).alias("kind"), rounded("v", "v")) for kind in ("min", "max", "mean")]
+    parts = [data.reduced(kind).select(F.lit(k).cast("long").alias("kind"), rounded("v", "v")) for k, kind in enumerate(("min", "max", "mean"))]
     return parts[0].union(parts[1]).union(parts[2])
 
 
 def centredness(spark, d):
     data = hours(spark, d)
     raw, done = data.centredness(), replace(data, long=data.centred()).centredness()
-    return raw.select(F.lit("raw").alias("field"), rounded("ratio", "ratio")).union(done.select(F.lit("centred").alias("field"), rounded("ratio", "ratio")))
-
-
-def thresholds(spark, d):
-    result = _pod2(spark, d)
-    return spark.createDataFrame([(p, reports.modes_for(result, p)) for p in (10.0, 50.0, 99.9)], "pct double, n long")
+    return raw.select(F.lit(0).cast("long").alias("centred"), rounded("ratio", "ratio")).union(done.select(F.lit(1).cast("long").alias("centred"), rounded("ratio", "ratio")))
 
 
 def _limits(method: str):
@@ -270,7 +265,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "reductions_H": reductions,
     "centredness_H": centredness,
     "time_axis_H": lambda s, d: hours(s, d).axis().select("t", rounded("time", "time")),
-    "modes_for_H2": thresholds,
     "mpod_band_counts_H2": lambda s, d: reports.band_counts(modal.mpod(two(s, d), [0.0, 0.05, 0.2, 0.5])),
     "missing_bins": lambda s, d: reports.missing_bins(modal.triads(), s.range(4).withColumnRenamed("id", "f")),
     "top_triads_H2": lambda s, d: reports.top_triads(_bsmd(two(s, d)), 5).select(*[F.col(p).cast("long").alias(p) for p in ("p1", "p2", "p3")], rounded("modulus", "modulus", 4)),

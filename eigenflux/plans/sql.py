@@ -141,10 +141,9 @@ L AS (SELECT p1, p2, p3, greatest(sqrt((hr + qr) ** 2 + (hi + qi) ** 2), sqrt((h
     q["periodogram_H"] = f"WITH {H}, c AS (SELECT t, s, q - avg(q) OVER (PARTITION BY s) AS q FROM H), F AS (SELECT k.range AS f, s, sum(q * cos({TAU!r} * ((k.range * t) % 720) / 720)) AS re, sum(q * sin({TAU!r} * ((k.range * t) % 720) / 720)) AS im FROM c, range(361) k GROUP BY 1, 2) SELECT s, f, {r('CASE WHEN f = 0 OR f = 360 THEN 1 ELSE 2 END * (re * re + im * im) / 720', 'power')} FROM F"
     q["limits_minmax_H"] = f"WITH {H}, v AS (SELECT max(abs(q)) AS m FROM H) SELECT {r('-m', 'low')}, {r('m', 'high')} FROM v"
     q["limits_sigma_H"] = f"WITH {H}, a AS (SELECT median(q) AS med FROM H), b AS (SELECT max(med) AS med, 3.7065 * median(abs(q - med)) AS w FROM H, a), v AS (SELECT greatest(abs(med - w), abs(med + w)) AS m FROM b), u AS (SELECT CASE WHEN m > 0 THEN m ELSE 1.0 END AS m FROM v) SELECT {r('-m', 'low')}, {r('m', 'high')} FROM u"
-    q["reductions_H"] = f"WITH {H} SELECT 'min' AS kind, {r('min(q)', 'v')} FROM H UNION ALL SELECT 'max', {r('max(q)', 'v')} FROM H UNION ALL SELECT 'mean', {r('avg(q)', 'v')} FROM H"
-    q["centredness_H"] = f"WITH {H}, m AS (SELECT max(abs(a)) AS top FROM (SELECT avg(q) AS a FROM H GROUP BY s)) SELECT 'raw' AS field, {r('max(top) / stddev_pop(q)', 'ratio')} FROM H, m UNION ALL SELECT 'centred', 0.0"
+    q["reductions_H"] = f"WITH {H} SELECT 0::BIGINT AS kind, {r('min(q)', 'v')} FROM H UNION ALL SELECT 1, {r('max(q)', 'v')} FROM H UNION ALL SELECT 2, {r('avg(q)', 'v')} FROM H"
+    q["centredness_H"] = f"WITH {H}, m AS (SELECT max(abs(a)) AS top FROM (SELECT avg(q) AS a FROM H GROUP BY s)) SELECT 0::BIGINT AS centred, {r('max(top) / stddev_pop(q)', 'ratio')} FROM H, m UNION ALL SELECT 1, 0.0"
     q["time_axis_H"] = "SELECT range AS t, CAST(range AS DOUBLE) AS time FROM range(720)"
-    q["modes_for_H2"] = f"WITH c AS ({q['pod_cumulative_H2']}), p AS (SELECT unnest([10.0, 50.0, 99.9])::DOUBLE AS pct) SELECT p.pct AS pct, min(c.mode) + 1 AS n FROM p JOIN c ON c.cum_pct > p.pct GROUP BY p.pct"
     q["mpod_band_counts_H2"] = f"SELECT band, count(*) AS n FROM ({q['mpod_eig_H2']}) GROUP BY band"
     q["missing_bins"] = f"SELECT DISTINCT f FROM (SELECT abs(unnest([p1, p2, p3])) AS f FROM {tri}) WHERE f >= 4"
     q["top_triads_H2"] = f"SELECT * FROM ({q['bsmd_eig_H2']}) ORDER BY modulus DESC LIMIT 5"
