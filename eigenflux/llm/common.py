@@ -45,8 +45,14 @@ def release(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``. Raises where it is unset, as a local folder would not be shared."""
+    """Folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on one machine (master ``local``) gets a folder in its warehouse; on a cluster that raises,
+    as no folder is known to be shared there.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eigenflux.llm import contamination, fingerprint, graph, jaccard, langid, lines, quality, queries, repeats, secret_scan, sharding, spm
+from eigenflux.llm import common, contamination, fingerprint, graph, jaccard, langid, lines, quality, queries, repeats, secret_scan, sharding, spm
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -700,3 +700,16 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     assert set(clean) == set(left) and passage not in clean[46]
     assert now.count() == len(left) and now.where("not round_trip").isEmpty()
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, d).collect()} == set(left)
+
+
+def test_shared_folder_is_known_or_raises():
+    from types import SimpleNamespace
+
+    def asked(master, **settings):
+        conf = SimpleNamespace(get=lambda key, default=None: settings.get(key.replace(".", "_"), default))
+        return common.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
+
+    assert asked("spark://far:7077", spark_checkpoint_dir="hdfs://a/b/") == "hdfs://a/b"
+    assert asked("local[4]", spark_sql_warehouse_dir="file:/w") == "file:/w/_scratch"
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        asked("spark://far:7077", spark_sql_warehouse_dir="file:/w")
