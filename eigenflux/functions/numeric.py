@@ -66,21 +66,41 @@ def pooled_order(values: np.ndarray, bands: np.ndarray) -> np.ndarray:
     return np.array(out, dtype=int)
 
 
+#: Coefficients of the cosine windows, of alternating sign.
+COSINES = {
+    "hann": (0.5, 0.5),
+    "hamming": (0.54, 0.46),
+    "blackman": (0.42, 0.5, 0.08),
+    "nuttall": (0.3635819, 0.4891775, 0.1365995, 0.0106411),
+    "blackmanharris": (0.35875, 0.48829, 0.14128, 0.01168),
+    "flattop": (0.21557895, 0.41663158, 0.277263158, 0.083578947, 0.006947368),
+}
+#: Functions of the length, by name; ``add_window`` puts more here.
+WINDOWS = {
+    "boxcar": np.ones,
+    "bartlett": lambda n: 1 - np.abs(2 * np.arange(n) / n - 1),
+    "sine": lambda n: np.sin(np.pi * (np.arange(n) + 0.5) / n),
+}
+
+
+def add_window(name: str, make) -> None:
+    """Let ``window`` know a window of one's own: ``make(n)`` gives its ``n`` values."""
+    if name in COSINES:
+        raise ValueError(f"window {name!r} is fixed")
+    WINDOWS[name] = make
+
+
 def window(name: str, n: int) -> np.ndarray:
     """Periodic windows by name."""
-    k = np.arange(n)
-    turn = 2 * np.pi * k / n
-    table = {
-        "boxcar": lambda: np.ones(n),
-        "hann": lambda: 0.5 - 0.5 * np.cos(turn),
-        "hamming": lambda: 0.54 - 0.46 * np.cos(turn),
-        "blackman": lambda: 0.42 - 0.5 * np.cos(turn) + 0.08 * np.cos(2 * turn),
-        "bartlett": lambda: 1 - np.abs(2 * k / n - 1),
-        "sine": lambda: np.sin(np.pi * (k + 0.5) / n),
-    }
-    if name not in table:
-        raise ValueError(f"unknown window {name!r}; known: {sorted(table)}")
-    return table[name]()
+    if name in COSINES:
+        turn = 2 * np.pi * np.arange(n) / n
+        return sum((-1) ** j * a * np.cos(j * turn) for j, a in enumerate(COSINES[name]))
+    if name not in WINDOWS:
+        raise ValueError(f"unknown window {name!r}; known: {sorted([*COSINES, *WINDOWS])}")
+    values = np.asarray(WINDOWS[name](n), np.float64)
+    if values.shape != (n,) or not np.isfinite(values).all():
+        raise ValueError(f"window {name!r} must give {n} finite values")
+    return values
 
 
 def window_factor(values: np.ndarray, norm: str) -> float:

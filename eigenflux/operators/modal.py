@@ -75,12 +75,21 @@ def energy(data: Dataset) -> float:
     return float(moments.join(data.grid.select("s", "w"), "s").agg(F.sum(F.col("w") * F.col("v"))).first()[0] or 0.0)
 
 
-def _second_order(series: DataFrame, data: Dataset, keep: int) -> tuple[np.ndarray, DataFrame, DataFrame]:
+def _leading(rows: DataFrame, k: int, n: int, keep: int, solver: str) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenpairs of ``V^T V / n``: of the whole kernel, or of a randomized range where ``solver`` says so."""
+    if solver != "randomized":
+        return _rayleigh(tall.gram(rows, k) / n)
+    sigma, vectors = tall.randomized(rows, k, keep, power=8)
+    live = numeric.significant(sigma, k)
+    return sigma[live] ** 2 / n, vectors[:, : len(live)][:, live]
+
+
+def _second_order(series: DataFrame, data: Dataset, keep: int, solver: str = "eigh") -> tuple[np.ndarray, DataFrame, DataFrame]:
     """Eigenvalues, modes by place and coefficients by time of centred series, by the smaller side."""
     spark, n, m = data.spark, data.n_time, data.n_space
     weighted = _weighted_series(series)
     if n < m:
-        values, vectors = _rayleigh(tall.gram(weighted, n) / n)
+        values, vectors = _leading(weighted, n, n, keep, solver)
         values, vectors = values[:keep], vectors[:, :keep]
         r = len(values)
         wide = tall.times(weighted, vectors / np.sqrt(np.maximum(values * n, np.finfo(float).tiny)), ["s"], scale="w")
@@ -92,7 +101,7 @@ def _second_order(series: DataFrame, data: Dataset, keep: int) -> tuple[np.ndarr
     else:
         long = series.select("s", F.posexplode("v").alias("t", "q")).select(F.col("t").cast("long").alias("t"), "s", "q")
         rows = _weighted_snapshots(data, long)
-        values, vectors = _rayleigh(tall.gram(rows, m) / n)
+        values, vectors = _leading(rows, m, n, keep, solver)
         values, vectors = values[:keep], vectors[:, :keep]
         w = data.weights()
         modes_ = np.where(w[:, None] > 0, vectors / np.sqrt(np.where(w > 0, w, 1))[:, None], 0.0)
@@ -103,18 +112,25 @@ def _second_order(series: DataFrame, data: Dataset, keep: int) -> tuple[np.ndarr
 
 
 def pod(data: Dataset, *, n_modes: int = 10, solver: str = "eigh") -> Result:
-    """Proper orthogonal decomposition; ``solver="svd"`` factorises without squaring the data."""
+    """Proper orthogonal decomposition.
+
+    ``solver="svd"`` factorises without squaring the data, ``"randomized"`` takes a random range of ``n_modes`` and ten more
+    directions with eight power steps and needs no square of either side; ``"auto"`` is ``"eigh"`` up to ``tall.MOST`` and
+    ``"randomized"`` beyond.
+    """
     if data.n_time < 2:
         raise ValueError("the decomposition needs two snapshots or more")
-    if solver not in ("eigh", "svd"):
-        raise ValueError(f"solver must be 'eigh' or 'svd', got {solver!r}")
+    if solver not in ("eigh", "svd", "randomized", "auto"):
+        raise ValueError(f"solver must be 'eigh', 'svd', 'randomized' or 'auto', got {solver!r}")
+    if solver == "auto":
+        solver = "eigh" if min(data.n_time, data.n_space) <= tall.MOST else "randomized"
     series, total = _centred_series(data), energy(data)
     keep = min(n_modes, max(min(data.n_time - 1, data.n_space), 1))
     if solver == "svd":
         values, modes, coef = _by_svd(data, series, 1, keep)
         modes = modes.select("mode", "s", "re", "im")
     else:
-        values, modes, coef = _second_order(series, data, keep)
+        values, modes, coef = _second_order(series, data, keep, solver)
     captured = float(values.sum() / total) if total else float("nan")
     attrs = {"n_modes_saved": len(values), "total_energy": total, "energy_captured_fraction": captured, "solver": solver, "dt": data.dt, "kernel": "temporal" if data.n_time < data.n_space else "spatial"}
     return Result("pod", {"eig": _eig_table(data.spark, values, total), "modes": modes, "coef": coef}, attrs | _about(data))
@@ -216,17 +232,31 @@ def delay_slice(result: Result, mode: int, delay: int) -> DataFrame:
     return result.modes.where((F.col("mode") == mode) & (F.col("d") == delay)).select("s", "re")
 
 
+#: Bytes that the kernels of all frequencies (or triads) may take in one task and on the driver.
+KERNEL_BYTES = 2 << 30
+
+
+def _fits(count: int, blocks: int) -> None:
+    if count * blocks**2 * 16 > KERNEL_BYTES:
+        raise ValueError(f"{count} kernels of {blocks} x {blocks} pass {KERNEL_BYTES} bytes; take longer blocks or less overlap")
+
+
 def _unit(data: Dataset, length: float, speed: float) -> tuple[float, float]:
     from eigenflux.dataset import positive
 
     return positive("L", length, "parameters"), positive("U", speed, "parameters")
 
 
-def spod(data: Dataset, *, nfft: int = 128, overlap: float = 0.5, window: str = "hamming", norm: str = "power", blockwise_mean: bool = False, normvar: bool = False, length: float = 1.0, speed: float = 1.0, n_modes: int | None = None) -> Result:
-    """Spectral decomposition: one eigenproblem of the block cross-spectrum a frequency, solved beside its sum."""
+def spod(data: Dataset, *, nfft: int = 128, overlap: float = 0.5, window: str = "hamming", norm: str = "power", blockwise_mean: bool = False, normvar: bool = False, length: float = 1.0, speed: float = 1.0, n_modes: int | None = None, weights: np.ndarray | None = None) -> Result:
+    """Spectral decomposition: one eigenproblem of the block cross-spectrum a frequency, solved beside its sum.
+
+    ``weights`` stand in for the field's own metric in this call.
+    """
     length, speed = _unit(data, length, speed)
+    data = data if weights is None else data.with_metric("prescribed", weights)
     welch = Welch(data.n_time, data.dt, nfft, overlap, window, norm, blockwise_mean=blockwise_mean, normvar=normvar)
     spark, nb, nf = data.spark, welch.blocks, len(welch.freq)
+    _fits(nf, nb)
     step = (welch.freq[1] - welch.freq[0]) * length / speed if nf > 1 else 1.0
     series = data.series()
     keep = nb if n_modes is None else min(n_modes, nb)
@@ -454,6 +484,7 @@ def bsmd(data: Dataset, *, nfft: int = 128, overlap: float = 0.5, window: str =
     welch = Welch(data.n_time, data.dt, nfft, overlap, window, norm, blockwise_mean=blockwise_mean, normvar=normvar)
     chosen = admitted(triad_list, welch.nfft)
     spark, nb = data.spark, welch.blocks
+    _fits(len(chosen), nb)
     p = np.array(chosen, np.int64).reshape(-1, 3)
     valid = p[:, 0] + p[:, 1] == p[:, 2]
     series = data.series()

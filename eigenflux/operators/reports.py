@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,16 +27,32 @@ def modes_for(result: Result, threshold: float) -> int:
     return int(row[0]) + 1 if row[0] is not None else result.eig.count()
 
 
+def _by_mode(table: DataFrame, key: str, name: str) -> DataFrame:
+    """``key`` and ``name``: an array of (re, im) in order of modes."""
+    pairs = F.array_sort(F.collect_list(F.struct("mode", "re", "im")))
+    return table.groupBy(key).agg(pairs.alias(name))
+
+
 def reconstruction(data: Dataset, result: Result, counts: list[int] | None = None) -> DataFrame:
     """``k, error_pct``: the unweighted norm of what ``k`` modes leave, in percent of the centred norm."""
     n = result.eig.count()
     counts = counts or list(range(1, n + 1))
-    c, p = result.coef.select("mode", "t", F.col("re").alias("a")), result.modes.select("mode", "s", F.col("re").alias("phi"))
-    terms = c.join(p, "mode").select("t", "s", "mode", (F.col("a") * F.col("phi")).alias("v"))
-    wanted = data.spark.createDataFrame([(int(k),) for k in counts], "k int")
-    partial = terms.join(F.broadcast(wanted), terms["mode"] < wanted["k"]).groupBy("k", "t", "s").agg(F.sum("v").alias("v"))
-    left = data.centred().join(partial, ["t", "s"]).groupBy("k").agg(F.sum((F.col("q") - F.col("v")) ** 2).alias("r"), F.sum(F.col("q") ** 2).alias("q2"))
-    return left.select("k", (100 * F.sqrt(F.col("r") / F.col("q2"))).alias("error_pct"))
+    both = data.centred().join(_by_mode(result.coef, "t", "c"), "t").join(_by_mode(result.modes, "s", "p"), "s")
+    terms = F.zip_with("c", "p", lambda c, p: c["re"] * p["re"])
+    both = both.select("q", terms.alias("terms")).withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in counts])))
+    left = F.col("q") - F.aggregate(F.slice("terms", 1, F.col("k")), F.lit(0.0), lambda a, x: a + x)
+    sums = both.select("k", "q", left.alias("left")).groupBy("k").agg(F.sum(F.col("left") ** 2).alias("r"), F.sum(F.col("q") ** 2).alias("q2"))
+    return sums.select("k", (100 * F.sqrt(F.col("r") / F.col("q2"))).alias("error_pct"))
+
+
+def evolution_error(data: Dataset, result: Result) -> DataFrame:
+    """One row ``error_pct``: what dynamic modes leave of the field as it is, in percent of its norm (first delay of each mode)."""
+    modes = result.modes.where("d = 0")
+    both = data.long.join(_by_mode(result.coef, "t", "c"), "t").join(_by_mode(modes, "s", "p"), "s")
+    terms = F.zip_with("c", "p", lambda c, p: c["re"] * p["re"] - c["im"] * p["im"])
+    left = F.col("q") - F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+    sums = both.select("q", left.alias("left")).agg(F.sum(F.col("left") ** 2).alias("r"), F.sum(F.col("q") ** 2).alias("q2"))
+    return sums.select((100 * F.sqrt(F.col("r") / F.col("q2"))).alias("error_pct"))
 
 
 def orthogonality(data: Dataset, result: Result) -> DataFrame:
@@ -63,8 +83,6 @@ def mode_pairs(result: Result, start: int = 0, threshold: float = 0.9) -> list[t
 
     A greedy pass in order of modes; the search goes on behind a found pair's second mode.
     """
-    import numpy as np
-
     table = result.coef.toPandas().pivot(index="t", columns="mode", values="re").to_numpy()
     found, i = [], start
     while i < table.shape[1] - 1:
@@ -102,15 +120,34 @@ def limits(values: DataFrame, column: str, method: str = "percentile") -> DataFr
 
 
 def periodogram(long: DataFrame, n: int, dt: float, key: str = "s") -> DataFrame:
-    """``key, f, freq, power``: one-sided density of each mean-free series, by sums of cosines and sines."""
-    bins = long.sparkSession.range(n // 2 + 1).withColumnRenamed("id", "f")
-    mean = long.groupBy(key).agg(F.avg("q").alias("m"))
-    rows = long.join(mean, key).crossJoin(F.broadcast(bins))
-    angle = 2 * F.pi() * ((F.col("f") * F.col("t")) % n) / n
-    q = F.col("q") - F.col("m")
-    sums = rows.groupBy(key, "f").agg(F.sum(q * F.cos(angle)).alias("c"), F.sum(q * F.sin(angle)).alias("d"))
-    sides = F.when((F.col("f") == 0) | ((n % 2 == 0) & (F.col("f") == n // 2)), 1.0).otherwise(2.0)
-    return sums.select(key, "f", (F.col("f") / (n * dt)).alias("freq"), (sides * (F.col("c") ** 2 + F.col("d") ** 2) * dt / n).alias("power"))
+    """``key, f, freq, power``: one-sided density of each series less its mean; times without a value count as the mean."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = np.full(n // 2 + 1, 2.0)
+        sides[0] = 1.0
+        if n % 2 == 0:
+            sides[-1] = 1.0
+        for b in batches:
+            for k, at, v in zip(b.column(0), b.column(1), b.column(2)):
+                x, t = np.asarray(v.values, np.float64), np.asarray(at.values)
+                full = np.zeros(n)
+                np.add.at(full, t % n, x - x.mean())
+                power = sides * np.abs(np.fft.rfft(full)) ** 2 * dt / n
+                f = np.arange(len(power))
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(f), b.schema.field(0).type), pa.array(f), pa.array(f / (n * dt)), pa.array(power)], names=[key, "f", "freq", "power"])
+
+    pairs = F.array_sort(F.collect_list(F.struct("t", "q")))
+    series = long.groupBy(key).agg(pairs.alias("p")).select(key, F.col("p.t").alias("t"), F.col("p.q").alias("q"))
+    return series.mapInArrow(run, f"{key} {dict(long.dtypes)[key]}, f long, freq double, power double")
+
+
+def peaks(spectrum: DataFrame, k: int, key: str = "s") -> DataFrame:
+    """The ``k`` largest peaks of each series of ``periodogram``: bins above both neighbours, ``rank`` from 0; ties by bin."""
+    by = Window.partitionBy(key).orderBy("f")
+    beside = spectrum.withColumn("before", F.lag("power").over(by)).withColumn("after", F.lead("power").over(by))
+    found = beside.where("power > before and power > after").drop("before", "after")
+    order = Window.partitionBy(key).orderBy(F.desc("power"), "f")
+    return found.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < k)
 
 
 def energy_map(result: Result, limit: int) -> DataFrame:

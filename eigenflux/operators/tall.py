@@ -31,7 +31,7 @@ def lists(values: np.ndarray) -> pa.Array:
 
 def _guard(k: int) -> None:
     if k > MOST:
-        raise ValueError(f"the smaller side has {k} entries, above {MOST}; use the randomized route")
+        raise ValueError(f"the smaller side has {k} entries, above {MOST}; where the method takes a solver, use 'randomized'")
 
 
 def reduce_sum(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
@@ -125,6 +125,16 @@ def times(rows: DataFrame, factor: np.ndarray, keep: list[str], *, scale: str |
     return chosen.mapInArrow(run, schema)
 
 
+def _climbing(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are, in order of keys, larger in some column than all before them; equal rows leave only the first."""
+    order = np.argsort(keys, kind="stable")
+    keys, x = keys[order], x[order]
+    top = np.maximum.accumulate(np.abs(x))
+    before = np.concatenate((np.zeros((1, x.shape[1])), top[:-1]))
+    rise = (np.abs(x) > before).any(1)
+    return keys[rise], x[rise]
+
+
 def pivots(modes: DataFrame, key: str, r: int, column: str = "m", complex_: bool = False) -> np.ndarray:
     """Of each mode, its value at the first key within a tie of the largest magnitude, over distributed rows."""
     from eigenflux.functions.numeric import TIE
@@ -140,7 +150,7 @@ def pivots(modes: DataFrame, key: str, r: int, column: str = "m", complex_: bool
                     x, keys = np.concatenate((held[0][1], x)), np.concatenate((held[0][0], keys))
                 size = np.abs(x)
                 keep = (size >= size.max(0) * (1 - 2 * TIE)).any(1)
-                held = [(keys[keep], x[keep])]
+                held = [_climbing(keys[keep], x[keep])]
         for keys, x in held:
             y = np.concatenate((x.real, x.imag), 1) if complex_ else x
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists(y)], names=["k", "v"])

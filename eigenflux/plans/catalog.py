@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -13,6 +14,7 @@ from eigenflux.dataset import Dataset, mesh, plain_grid
 from eigenflux.functions import metric
 from eigenflux.operators import lifts, modal, reports, tall
 from eigenflux.plans import sql
+from eigenflux.results import Result, file_name, latest
 from eigenflux.sources import generators, tables
 from eigenflux.sources.files import nearest
 
@@ -139,6 +141,47 @@ def centredness(spark, d):
     return raw.select(F.lit(0).cast("long").alias("centred"), rounded("ratio", "ratio")).union(done.select(F.lit(1).cast("long").alias("centred"), rounded("ratio", "ratio")))
 
 
+def modes_for(spark, d):
+    result = _pod2(spark, d)
+    return spark.createDataFrame([(float(x), reports.modes_for(result, x)) for x in (50.0, 90.0, 99.0)], "threshold double, n long")
+
+
+def energy_ranks(spark, d):
+    data = two(spark, d)
+    return spark.createDataFrame([(x, int(modal.dmd(data, rank="energy", energy_fraction=x).attrs["rank"])) for x in (0.5, 0.9, 0.999)], "share double, r long")
+
+
+def saved(spark, d):
+    """A result written to the shared folder, found as the newest one and read again."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base.rstrip('/')}/results-{uuid.uuid4().hex}"
+    _pod2(spark, d).save(f"{folder}/{file_name('case', 'pod', 720)}")
+    return Result.load(spark, latest(spark, folder, "pod")).eig
+
+
+def user_triads(spark, d):
+    eig = modal.bsmd(two(spark, d), **WELCH, triad_list=[(1, 1, 2), (1, 1, 3), (3, -2, 1)]).eig
+    return eig.select("p1", "p2", "p3", rounded(F.when(F.isnan("modulus"), -1.0).otherwise(F.col("modulus")), "modulus", 4))
+
+
+def _gyre(spark):
+    """The first snapshot of the small double gyre as a mode, and its grid."""
+    data = generators.double_gyre(spark, 20, 10, 30)
+    return data.long.where("t = 0").select(F.lit(0).cast("long").alias("mode"), "s", F.col("q").alias("re"), F.lit(0.0).alias("im")), data.grid
+
+
+def masked(spark, d):
+    return reports.masked(*_gyre(spark), radius=0.8).select("s", F.isnan("re").alias("hidden"), rounded(F.when(F.isnan("re"), 0.0).otherwise(F.col("re")), "re"))
+
+
+def volume_crop(spark, d):
+    return reports.volume(*_gyre(spark), xlim=(0.5, 1.5), ylim=(0.0, 0.5)).select("s", rounded("re", "re"))
+
+
+def trace_of(result_of) -> Callable:
+    return lambda spark, d: result_of(spark, d).eig.agg(rounded(F.sum("lambda_re"), "trace"))
+
+
 def _limits(method: str):
     return lambda s, d: reports.limits(hours(s, d).long, "q", method).select(rounded("low", "low"), rounded("high", "high"))
 
@@ -268,6 +311,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mpod_band_counts_H2": lambda s, d: reports.band_counts(modal.mpod(two(s, d), [0.0, 0.05, 0.2, 0.5])),
     "missing_bins": lambda s, d: reports.missing_bins(modal.triads(), s.range(4).withColumnRenamed("id", "f")),
     "top_triads_H2": lambda s, d: reports.top_triads(_bsmd(two(s, d)), 5).select(*[F.col(p).cast("long").alias(p) for p in ("p1", "p2", "p3")], rounded("modulus", "modulus", 4)),
+    "pod_modes_for_H2": modes_for,
+    "pod_capped_H2": lambda s, d: modal.pod(two(s, d), n_modes=1).eig.select("mode", rounded("lambda_re", "lambda"), rounded("fraction", "fraction")),
+    "pod_svd_H2": lambda s, d: modal.pod(two(s, d), solver="svd").eig.select("mode", rounded("lambda_re", "lambda"), rounded("fraction", "fraction")),
+    "pod_randomized_H2": lambda s, d: modal.pod(two(s, d), solver="randomized").eig.select("mode", rounded("lambda_re", "lambda"), rounded("fraction", "fraction")),
+    "result_saved_H2": lambda s, d: saved(s, d).select("mode", rounded("lambda_re", "lambda"), rounded("fraction", "fraction")),
+    "coefficient_gram_H2": lambda s, d: _ij(reports.coefficient_gram(_pod2(s, d), 720), rounded("inner", "inner_product")),
+    "dmd_energy_rank_H2": energy_ranks,
+    "dmd_recon_error_H2": lambda s, d: reports.evolution_error(two(s, d), modal.dmd(two(s, d), rank=2)).select(rounded("error_pct", "error_pct")),
+    "spod_capped_H2": lambda s, d: modal.spod(two(s, d), **WELCH, n_modes=1).eig.select("f", "mode", rounded("lambda_re", "lambda")),
+    "spod_weights_H": lambda s, d: modal.spod(hours(s, d), **WELCH, weights=np.arange(1, hours(s, d).n_space + 1)).eig.groupBy("f").agg(rounded(F.sum("lambda_re"), "trace")),
+    "bsmd_user_triads_H2": user_triads,
+    "periodogram_peaks_H": lambda s, d: reports.peaks(reports.periodogram(hours(s, d).long, 720, 1.0), 3).select("s", "rank", "f", rounded("power", "power")),
+    "masked_gyre": masked,
+    "volume_gyre": volume_crop,
+    "pod_trace_D": trace_of(lambda s, d: modal.pod(tables.daily_events(s, d), n_modes=200)),
+    "pod_trace_E": trace_of(lambda s, d: modal.pod(tables.vectors(s, d), n_modes=64)),
+    "stpod_trace_H": trace_of(lambda s, d: modal.stpod(hours(s, d), delays=4, n_modes=20)),
     "gen_double_gyre": lambda s, d: _long(generators.double_gyre(s, 20, 10, 30).long),
     "gen_taylor_green": lambda s, d: _long(generators.taylor_green(s, 16, 16, 20).long),
     "gen_double_gyre_full": lambda s, d: _long(generators.double_gyre(s).long),

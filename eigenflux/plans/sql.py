@@ -147,4 +147,23 @@ L AS (SELECT p1, p2, p3, greatest(sqrt((hr + qr) ** 2 + (hi + qi) ** 2), sqrt((h
     q["mpod_band_counts_H2"] = f"SELECT band, count(*) AS n FROM ({q['mpod_eig_H2']}) GROUP BY band"
     q["missing_bins"] = f"SELECT DISTINCT f FROM (SELECT abs(unnest([p1, p2, p3])) AS f FROM {tri}) WHERE f >= 4"
     q["top_triads_H2"] = f"SELECT * FROM ({q['bsmd_eig_H2']}) ORDER BY modulus DESC LIMIT 5"
+    q["pod_modes_for_H2"] = f"SELECT threshold, min(mode) + 1 AS n FROM ({q['pod_cumulative_H2']}), (VALUES (CAST(50 AS DOUBLE)), (90), (99)) v(threshold) WHERE cum_pct > threshold GROUP BY threshold"
+    q["pod_capped_H2"] = f"SELECT * FROM ({q['pod_eig_H2']}) WHERE mode = 0"
+    for same in ("pod_svd_H2", "pod_randomized_H2", "result_saved_H2"):
+        q[same] = q["pod_eig_H2"]
+    q["coefficient_gram_H2"] = f"WITH {EIG2} SELECT p.mode AS i, o.mode AS j, {r('CASE WHEN p.mode = o.mode THEN p.ev ELSE 0.0 END', 'inner_product')} FROM phi p, phi o WHERE p.mode <= o.mode"
+    q["dmd_energy_rank_H2"] = f"WITH {dmd}, sv AS (SELECT (xx + yy) / 2 + sqrt(((xx - yy) / 2) ** 2 + xy * xy) AS top, xx + yy AS whole FROM g) SELECT share, CAST(CASE WHEN top / whole >= share THEN 1 ELSE 2 END AS BIGINT) AS r FROM sv, (VALUES (CAST(0.5 AS DOUBLE)), (0.9), (0.999)) v(share)"
+    # the linear map applied over and over to the first snapshot
+    run = f"{dmd}, walk AS (SELECT CAST(0 AS BIGINT) AS t, x, y FROM raw WHERE t = 0 UNION ALL SELECT t + 1, a * x + b * y, c * x + d * y FROM walk, A WHERE t < 719)"
+    q["dmd_recon_error_H2"] = f"WITH RECURSIVE {run} SELECT {r('100 * sqrt(sum((raw.x - walk.x) ** 2 + (raw.y - walk.y) ** 2) / sum(raw.x ** 2 + raw.y ** 2))', 'error_pct')} FROM raw JOIN walk USING (t)"
+    q["spod_capped_H2"] = f"SELECT * FROM ({q['spod_eig_H2']}) WHERE mode = 0"
+    q["spod_weights_H"] = f"WITH {H}, {blocks('H', 'hamming')} SELECT f, {r(f'sum((s + 1) * (re * re + im * im)) * {N} / {BLOCKS}', 'trace')} FROM Q GROUP BY f"
+    q["bsmd_user_triads_H2"] = f"SELECT p1, p2, p3, modulus FROM ({q['bsmd_eig_H2']}) WHERE (p1 = 1 AND p2 = 1) OR (p1 = 3 AND p2 = -2) UNION ALL SELECT 1, 1, 3, -1.0"
+    q["periodogram_peaks_H"] = f"WITH P AS ({q['periodogram_H']}), n AS (SELECT *, lag(power) OVER o AS l, lead(power) OVER o AS m FROM P WINDOW o AS (PARTITION BY s ORDER BY f)), k AS (SELECT s, f, power, CAST(row_number() OVER (PARTITION BY s ORDER BY power DESC, f) - 1 AS BIGINT) AS rank FROM n WHERE power > l AND power > m) SELECT s, rank, f, power FROM k WHERE rank < 3"
+    gyre = f"g AS (SELECT i.range * 10 + j.range AS s, i.range * 2.0 / 19 AS x, j.range * 1.0 / 9 AS y FROM range(20) i, range(10) j), v AS (SELECT s, x, y, -{math.pi * 0.25!r} * sin({math.pi!r} * x) * cos({math.pi!r} * y) AS q FROM g)"
+    q["masked_gyre"] = f"WITH {gyre} SELECT s, x * x + y * y <= 0.64 AS hidden, {r('CASE WHEN x * x + y * y <= 0.64 THEN 0.0 ELSE q END', 're')} FROM v"
+    q["volume_gyre"] = f"WITH {gyre} SELECT s, {r('q', 're')} FROM v WHERE x BETWEEN 0.5 AND 1.5 AND y BETWEEN 0 AND 0.5"
+    q["pod_trace_D"] = f"WITH {D} SELECT {r('sum(v)', 'trace')} FROM (SELECT var_pop(q) AS v FROM D GROUP BY s)"
+    q["pod_trace_E"] = f"WITH {E} SELECT {r('sum(v)', 'trace')} FROM (SELECT var_pop(q) AS v FROM E GROUP BY s)"
+    q["stpod_trace_H"] = q["stpod_energy_H"].replace("AS energy", "AS trace")
     return q

@@ -32,7 +32,7 @@ METHODS = {
         Method("pod", "Proper orthogonal decomposition", "variance", modal.pod, ("n_modes", "solver")),
         Method("mpod", "Multiscale decomposition", "variance", modal.mpod, ("edges", "scale", "n_modes", "kind")),
         Method("psd_pod", "Pooled Fourier decomposition", "variance", modal.psd_pod, (*_WELCH, "n_modes", "compat")),
-        Method("spod", "Spectral decomposition", "variance", modal.spod, (*_WELCH, "normvar", "length", "speed", "n_modes")),
+        Method("spod", "Spectral decomposition", "variance", modal.spod, (*_WELCH, "normvar", "length", "speed", "n_modes", "weights")),
         Method("stpod", "Space-time decomposition", "variance", modal.stpod, ("delays", "n_modes"), {"delays": 10}),
         Method("dmd", "Dynamic modes", "evolution", modal.dmd, ("rank", "method", "delays", "energy_fraction", "n_modes")),
         Method("hodmd", "Higher-order dynamic modes", "evolution", modal.hodmd, ("rank", "delays", "energy_fraction", "n_modes"), {"method": "ls"}),
@@ -42,6 +42,16 @@ METHODS = {
 }
 
 
+def register(new: Method, *, replace: bool = False) -> Method:
+    """Make a method of one's own known to ``run``, run files and the command line."""
+    if new.id != new.id.lower().replace("-", "_"):
+        raise ValueError(f"id {new.id!r} must be lower case with underscores")
+    if new.id in METHODS and not replace:
+        raise ValueError(f"method {new.id!r} exists")
+    METHODS[new.id] = new
+    return new
+
+
 def method(name: str) -> Method:
     """A method by id; dashes and case do not matter."""
     key = name.lower().replace("-", "_")

@@ -232,3 +232,58 @@ def test_orders():
     v = np.array([1 + 1e-14j, -1, 2, 1j])
     assert v[numeric.spectrum_order(v)].tolist() == [2, -1, 1j, 1 + 1e-14j]
     assert numeric.pooled_order(np.array([1.0, 3.0, 1.0 + 1e-15]), np.array([1, 0, 0])).tolist() == [1, 2, 0]
+
+
+@pytest.mark.parametrize("shape", [(40, 9), (9, 40)])
+def test_randomized_route_agrees(spark, shape):
+    rng = np.random.default_rng(3)
+    q = rng.standard_normal((shape[0], 4)) @ np.diag([9.0, 4.0, 2.0, 1.0]) @ rng.standard_normal((4, shape[1]))
+    data = from_array(spark, q, 0.5)
+    exact, random = modal.pod(data, n_modes=3), modal.pod(data, n_modes=3, solver="randomized")
+    for name in ("eig", "modes", "coef"):
+        a, b = (r.tables[name].toPandas() for r in (exact, random))
+        keys = [c for c in a.columns if c in ("mode", "s", "t")]
+        a, b = (f.sort_values(keys).reset_index(drop=True) for f in (a, b))
+        np.testing.assert_allclose(a.to_numpy(float), b[a.columns].to_numpy(float), atol=1e-8)
+    assert modal.pod(data, solver="auto").attrs["solver"] == "eigh"
+
+
+def test_climbing_rows_keep_the_first_largest():
+    keys = np.array([4, 1, 3, 2])
+    x = np.array([[2.0, 1.0], [2.0, 0.0], [1.0, 5.0], [2.0, 1.0]])
+    kept, rows = tall._climbing(keys, x)
+    assert kept.tolist() == [1, 2, 3] and rows.tolist() == [[2.0, 0.0], [2.0, 1.0], [1.0, 5.0]]
+
+
+def test_dynamic_modes_rebuild_a_linear_system(spark):
+    a = np.array([[0.9, 0.2], [-0.2, 0.9]])
+    q = [np.array([1.0, 0.5])]
+    for _ in range(29):
+        q.append(a @ q[-1])
+    data = from_array(spark, np.array(q), 1.0)
+    assert reports.evolution_error(data, modal.dmd(data, rank=2)).first()[0] < 1e-6
+
+
+def test_windows_of_ones_own_and_kernel_bounds(spark):
+    numeric.add_window("half", lambda n: np.full(n, 0.5))
+    try:
+        assert numeric.window("half", 3).tolist() == [0.5] * 3
+    finally:
+        del numeric.WINDOWS["half"]
+    for bad in ("half", "none"):
+        with pytest.raises(ValueError, match="unknown window"):
+            numeric.window(bad, 8)
+    with pytest.raises(ValueError, match="fixed"):
+        numeric.add_window("hann", np.ones)
+    assert abs(numeric.window("flattop", 16)[8] - 1.0) < 1e-6
+    with pytest.raises(ValueError, match="kernels"):
+        modal._fits(65, 8000)
+
+
+def test_periodogram_of_short_and_odd_series(spark):
+    rng = np.random.default_rng(4)
+    q = rng.standard_normal((7, 2))
+    got = reports.periodogram(from_array(spark, q, 0.5).long, 7, 0.5).toPandas().pivot(index="f", columns="s", values="power").to_numpy()
+    c = q - q.mean(0)
+    want = np.abs(np.fft.rfft(c, axis=0)) ** 2 * 0.5 / 7 * np.array([1, 2, 2, 2])[:, None]
+    np.testing.assert_allclose(got, want, atol=1e-12)
