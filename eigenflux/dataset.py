@@ -16,6 +16,15 @@ from pyspark.sql import functions as F
 GRID = "s long, ix int, iy int, iz int, x double, y double, z double, w double"
 
 
+REDUCTIONS = {"min": F.min, "max": F.max, "mean": F.avg}
+
+
+def reduction(kind: str):
+    if kind not in REDUCTIONS:
+        raise ValueError(f"unknown reduction {kind!r}; one of {sorted(REDUCTIONS)}")
+    return REDUCTIONS[kind]
+
+
 def positive(name: str, value: Any, source: str = "data") -> float:
     """A positive finite scalar, or ``ValueError`` that names its source."""
     try:
@@ -72,10 +81,7 @@ class Dataset:
 
     def reduced(self, kind: str) -> DataFrame:
         """One row ``v``: the least, greatest or mean value of the field (``min``, ``max``, ``mean``)."""
-        made = {"min": F.min, "max": F.max, "mean": F.avg}
-        if kind not in made:
-            raise ValueError(f"unknown reduction {kind!r}; one of {sorted(made)}")
-        return self.long.agg(made[kind]("q").alias("v"))
+        return self.long.agg(reduction(kind)("q").alias("v"))
 
     def centredness(self) -> DataFrame:
         """One row ``ratio``: the largest mean of a place over the field's spread; infinite where the field is constant."""
@@ -143,6 +149,27 @@ class Dataset:
         grid = ranked.select(F.col("new_s").alias("s"), *[F.col(f"new_{a}").cast("int").alias(a) for a in ("ix", "iy", "iz")], "x", "y", "z", "w")
         return replace(self, long=long, grid=grid, n_space=nx * ny * nz, shape=(nx, ny, nz))
 
+    def nearest(self, axis: str, value: float) -> int:
+        """Index along ``x``, ``y`` or ``z`` of the grid coordinate nearest to a value, the first of equals."""
+        at = F.min_by(f"i{axis}", F.struct(F.abs(F.col(axis) - F.lit(float(value))), f"i{axis}"))
+        found = self.grid.agg(at).first()[0]
+        if found is None:
+            raise ValueError("the grid has no place")
+        return int(found)
+
+    def along_track(self, track: DataFrame, kind: str = "min", *, offset: float = 0.0, y_max: float | None = None) -> Dataset:
+        """The field from the x nearest to the ``min``, ``max`` or ``mean`` of ``track(v)`` plus ``offset`` on.
+
+        With ``y_max``, only places before the y nearest to it.
+        """
+        start = track.agg(reduction(kind)("v")).first()[0]
+        if start is None:
+            raise ValueError("the track has no value")
+        keep = F.col("ix") >= self.nearest("x", start + offset)
+        if y_max is not None:
+            keep = keep & (F.col("iy") < self.nearest("y", y_max))
+        return self.crop(keep)
+
     def with_metric(self, kind: str | None = "uniform", values: Any = None) -> Dataset:
         """The field with a ``uniform``, ``polar`` or ``prescribed`` metric."""
         from eigenflux.functions import metric

@@ -160,7 +160,3 @@ def rank_of(singular: np.ndarray, shape: tuple[int, int], rule: int | str, energ
     else:
         raise ValueError(f"rank must be a number above 0, 'svht' or 'energy', got {rule!r}")
     return min(found, floor)
-
-
-def unwrap_steps(angle: np.ndarray) -> np.ndarray:
-    return np.unwrap(angle)

@@ -150,6 +150,23 @@ def peaks(spectrum: DataFrame, k: int, key: str = "s") -> DataFrame:
     return found.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < k)
 
 
+def unwrapped(table: DataFrame, by: list[str], order: str) -> DataFrame:
+    """``by``, ``order``, ``phase`` of ``re`` and ``im``, without jumps of more than half a turn from one row of a group to the next."""
+    rows = Window.partitionBy(*by).orderBy(order)
+    raw = table.select(*by, order, F.atan2("im", "re").alias("raw"))
+    step = F.col("raw") - F.lag("raw").over(rows)
+    turns = F.when(step > F.pi(), -1).when(step < -F.pi(), 1).otherwise(0)
+    raw = raw.withColumn("turns", turns)
+    total = F.sum("turns").over(rows.rowsBetween(Window.unboundedPreceding, 0))
+    return raw.select(*by, order, (F.col("raw") + 2 * F.pi() * total).alias("phase"))
+
+
+def movie(result: Result, mode: int) -> DataFrame:
+    """``d, time, s, re``: the frames of a space-time mode, one a delay."""
+    dt = float(result.attrs.get("dt") or 1.0)
+    return result.modes.where(F.col("mode") == mode).select("d", (F.col("d") * F.lit(dt)).alias("time"), "s", "re")
+
+
 def energy_map(result: Result, limit: int) -> DataFrame:
     """``p1, p2, modulus`` over the full square of bins; NaN where nothing was analysed."""
     span = result.eig.sparkSession.range(-limit, limit + 1)

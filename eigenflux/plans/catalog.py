@@ -178,6 +178,16 @@ def volume_crop(spark, d):
     return reports.volume(*_gyre(spark), xlim=(0.5, 1.5), ylim=(0.0, 0.5)).select("s", rounded("re", "re"))
 
 
+def track_crop(spark, d):
+    track = spark.createDataFrame([(0.4,), (0.9,), (0.6,)], "v double")
+    return _long(generators.double_gyre(spark, 20, 10, 30).along_track(track, "mean", offset=0.1, y_max=0.6).long)
+
+
+def phases(spark, d):
+    q = qhat(hours(spark, d), "hamming").where("f between 1 and 11")
+    return reports.unwrapped(q, ["f", "s"], "b").select("f", "s", "b", rounded("phase", "phase"))
+
+
 def trace_of(result_of) -> Callable:
     return lambda spark, d: result_of(spark, d).eig.agg(rounded(F.sum("lambda_re"), "trace"))
 
@@ -325,6 +335,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "periodogram_peaks_H": lambda s, d: reports.peaks(reports.periodogram(hours(s, d).long, 720, 1.0), 3).select("s", "rank", "f", rounded("power", "power")),
     "masked_gyre": masked,
     "volume_gyre": volume_crop,
+    "track_crop_gyre": track_crop,
+    "phase_unwrap_H": phases,
     "pod_trace_D": trace_of(lambda s, d: modal.pod(tables.daily_events(s, d), n_modes=200)),
     "pod_trace_E": trace_of(lambda s, d: modal.pod(tables.vectors(s, d), n_modes=64)),
     "stpod_trace_H": trace_of(lambda s, d: modal.stpod(hours(s, d), delays=4, n_modes=20)),

@@ -163,6 +163,8 @@ L AS (SELECT p1, p2, p3, greatest(sqrt((hr + qr) ** 2 + (hi + qi) ** 2), sqrt((h
     gyre = f"g AS (SELECT i.range * 10 + j.range AS s, i.range * 2.0 / 19 AS x, j.range * 1.0 / 9 AS y FROM range(20) i, range(10) j), v AS (SELECT s, x, y, -{math.pi * 0.25!r} * sin({math.pi!r} * x) * cos({math.pi!r} * y) AS q FROM g)"
     q["masked_gyre"] = f"WITH {gyre} SELECT s, x * x + y * y <= 0.64 AS hidden, {r('CASE WHEN x * x + y * y <= 0.64 THEN 0.0 ELSE q END', 're')} FROM v"
     q["volume_gyre"] = f"WITH {gyre} SELECT s, {r('q', 're')} FROM v WHERE x BETWEEN 0.5 AND 1.5 AND y BETWEEN 0 AND 0.5"
+    q["track_crop_gyre"] = f"WITH f AS ({q['gen_double_gyre']}), x AS (SELECT arg_min(range, abs(range * 2.0 / 19 - v)) AS i0 FROM range(20), (SELECT (0.4 + 0.9 + 0.6) / 3 + 0.1 AS v)), y AS (SELECT arg_min(range, abs(range / 9.0 - 0.6)) AS j1 FROM range(10)) SELECT t, (s // 10 - i0) * j1 + s % 10 AS s, q FROM f, x, y WHERE s // 10 >= i0 AND s % 10 < j1"
+    q["phase_unwrap_H"] = f"WITH {H}, {blocks('H', 'hamming')}, a AS (SELECT f, s, b, atan2(im, re) AS p FROM Q WHERE f BETWEEN 1 AND 11), d AS (SELECT *, p - lag(p) OVER (PARTITION BY f, s ORDER BY b) AS d FROM a), w AS (SELECT f, s, b, p, sum(CASE WHEN d > pi() THEN -1 WHEN d < -pi() THEN 1 ELSE 0 END) OVER (PARTITION BY f, s ORDER BY b) AS n FROM d) SELECT f, s, b, {r('p + 2 * pi() * n', 'phase')} FROM w"
     q["pod_trace_D"] = f"WITH {D} SELECT {r('sum(v)', 'trace')} FROM (SELECT var_pop(q) AS v FROM D GROUP BY s)"
     q["pod_trace_E"] = f"WITH {E} SELECT {r('sum(v)', 'trace')} FROM (SELECT var_pop(q) AS v FROM E GROUP BY s)"
     q["stpod_trace_H"] = q["stpod_energy_H"].replace("AS energy", "AS trace")
