@@ -143,12 +143,12 @@ def centredness(spark, d):
 
 def modes_for(spark, d):
     result = _pod2(spark, d)
-    return spark.createDataFrame([(float(x), reports.modes_for(result, x)) for x in (50.0, 90.0, 99.0)], "threshold double, n long")
+    return spark.createDataFrame([(x, reports.modes_for(result, x)) for x in (50, 90, 99)], "threshold long, n long")
 
 
 def energy_ranks(spark, d):
     data = two(spark, d)
-    return spark.createDataFrame([(x, int(modal.dmd(data, rank="energy", energy_fraction=x).attrs["rank"])) for x in (0.5, 0.9, 0.999)], "share double, r long")
+    return spark.createDataFrame([(x, int(modal.dmd(data, rank="energy", energy_fraction=x / 1000).attrs["rank"])) for x in (500, 900, 999)], "permille long, r long")
 
 
 def saved(spark, d):

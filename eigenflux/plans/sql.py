@@ -147,12 +147,12 @@ L AS (SELECT p1, p2, p3, greatest(sqrt((hr + qr) ** 2 + (hi + qi) ** 2), sqrt((h
     q["mpod_band_counts_H2"] = f"SELECT band, count(*) AS n FROM ({q['mpod_eig_H2']}) GROUP BY band"
     q["missing_bins"] = f"SELECT DISTINCT f FROM (SELECT abs(unnest([p1, p2, p3])) AS f FROM {tri}) WHERE f >= 4"
     q["top_triads_H2"] = f"SELECT * FROM ({q['bsmd_eig_H2']}) ORDER BY modulus DESC LIMIT 5"
-    q["pod_modes_for_H2"] = f"SELECT threshold, min(mode) + 1 AS n FROM ({q['pod_cumulative_H2']}), (VALUES (CAST(50 AS DOUBLE)), (90), (99)) v(threshold) WHERE cum_pct > threshold GROUP BY threshold"
+    q["pod_modes_for_H2"] = f"SELECT threshold, min(mode) + 1 AS n FROM ({q['pod_cumulative_H2']}), (VALUES (CAST(50 AS BIGINT)), (90), (99)) v(threshold) WHERE cum_pct > threshold GROUP BY threshold"
     q["pod_capped_H2"] = f"SELECT * FROM ({q['pod_eig_H2']}) WHERE mode = 0"
     for same in ("pod_svd_H2", "pod_randomized_H2", "result_saved_H2"):
         q[same] = q["pod_eig_H2"]
     q["coefficient_gram_H2"] = f"WITH {EIG2} SELECT p.mode AS i, o.mode AS j, {r('CASE WHEN p.mode = o.mode THEN p.ev ELSE 0.0 END', 'inner_product')} FROM phi p, phi o WHERE p.mode <= o.mode"
-    q["dmd_energy_rank_H2"] = f"WITH {dmd}, sv AS (SELECT (xx + yy) / 2 + sqrt(((xx - yy) / 2) ** 2 + xy * xy) AS top, xx + yy AS whole FROM g) SELECT share, CAST(CASE WHEN top / whole >= share THEN 1 ELSE 2 END AS BIGINT) AS r FROM sv, (VALUES (CAST(0.5 AS DOUBLE)), (0.9), (0.999)) v(share)"
+    q["dmd_energy_rank_H2"] = f"WITH {dmd}, sv AS (SELECT (xx + yy) / 2 + sqrt(((xx - yy) / 2) ** 2 + xy * xy) AS top, xx + yy AS whole FROM g) SELECT permille, CAST(CASE WHEN top / whole >= permille / 1000 THEN 1 ELSE 2 END AS BIGINT) AS r FROM sv, (VALUES (CAST(500 AS BIGINT)), (900), (999)) v(permille)"
     # the linear map applied over and over to the first snapshot
     run = f"{dmd}, walk AS (SELECT CAST(0 AS BIGINT) AS t, x, y FROM raw WHERE t = 0 UNION ALL SELECT t + 1, a * x + b * y, c * x + d * y FROM walk, A WHERE t < 719)"
     q["dmd_recon_error_H2"] = f"WITH RECURSIVE {run} SELECT {r('100 * sqrt(sum((raw.x - walk.x) ** 2 + (raw.y - walk.y) ** 2) / sum(raw.x ** 2 + raw.y ** 2))', 'error_pct')} FROM raw JOIN walk USING (t)"
