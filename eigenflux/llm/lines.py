@@ -4,16 +4,17 @@ Lines (parts between line feeds) are lower-cased and their white space is folded
 holds its distinct character shingles: the ``width`` characters (code points) from every character on, fewer at the line's
 end. Equal lines are one line from the start (a 128-bit hash of the folded line); lines are numbered and written once.
 
-Signatures are one-permutation MinHash: one hash a shingle names its bin and its value there, each bin keeps its least
-value, an empty bin borrows from the first filled one in an order fixed for that bin. ``rows`` bins make a band; equal bands
-make candidates. In each band bucket the line of least number is compared with the others (a star); exact Jaccard similarity
-on whole sets decides. Lines of a bucket that are then still in different components are paired in the first bucket they
-share, where exact bounds admit it: like set sizes and like distances to the star's centre (Jaccard distance is a metric).
+Signatures are MinHash under permutations of one 64-bit hash a shingle: its exclusive or with a word fixed for each of the
+``bands * rows`` values, of which a line keeps the least. ``rows`` values make a band; equal bands make candidates. Lines
+without a candidate go no further: what follows reads a table of the others only. In each band bucket the line of least number is compared with the others (a star); exact Jaccard similarity
+on whole sets decides. While a bucket's lines are then in many components, a few lines drawn from it are compared with those of
+other components, round by round; what still is apart is paired in the first bucket that two lines share, where exact bounds
+admit it: like set sizes, like distances to the star's centre (Jaccard distance is a metric) and, in a line's bits that its
+shingles' hashes set, no more that differ than the similarity allows.
 Those pairs are verified in the same way, so no link of a bucket is lost. Components come from distributed stars; the
 line of least (id, digest of the text, line number) of each component stays and the others go.
 
-With 10 bands of 3 rows a pair at 0.8 is a candidate with probability 0.999 (sets of a few shingles, which fill few bins,
-somewhat less); nothing behind the bands is left to chance.
+With 10 bands of 3 rows a pair at 0.8 is a candidate with probability 0.999; nothing behind the bands is left to chance.
 
 Null and empty texts have no lines. Rows that share an id (null ids among them) are told apart by a digest of the text; rows
 that share both are one document. Very long lines are dealt with whole. An empty table gives an empty one; other columns are
@@ -32,6 +33,12 @@ from eigenflux.llm import common, graph
 #: White space inside a line, in the order in which it is looked for.
 _BLANKS = ("\t", "\r", "\f", "\x0b", "  ")
 
+#: Words of 64 bits in which a line marks its shingles.
+_WORDS = 16
+
+#: Lines drawn from a bucket in a round of comparisons.
+_PIVOTS = 4
+
 
 def digest_of(text_col: str) -> Column:
     return F.md5(F.col(f"`{text_col}`").cast("binary")).alias("digest")
@@ -84,53 +91,112 @@ def _exploded(df: DataFrame, width: int, *keys: str) -> DataFrame:
 
 
 def _bands(distinct: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """``k1, k2, bands`` of distinct lines; every grouping is on columns that the lines are already dealt by."""
-    bits = (bands * rows - 1).bit_length()
-    bins = 1 << bits
-    h = _exploded(distinct, width, "k1", "k2")
-    h = h.select("k1", "k2", F.col("h").bitwiseAND(bins - 1).cast("int").alias("bin"), F.shiftright("h", bits).alias("v"))
-    least = h.groupBy("k1", "k2", "bin").agg(F.min("v").alias("v"))
-    wide = least.groupBy("k1", "k2").agg(*[F.min(F.when(F.col("bin") == j, F.col("v"))).alias(f"m{j}") for j in range(bins)])
-
-    def value(j: int) -> Column:
-        order = [q for q in range(bins) if q != j]
-        random.Random(j).shuffle(order)
-        return F.coalesce(*[F.col(f"m{q}") for q in (j, *order)])
-
-    keys = [F.xxhash64(F.lit(b), *[value(b * rows + r) for r in range(rows)]) for b in range(bands)]
-    return wide.select("k1", "k2", F.array(*keys).alias("bands"))
-
-
-def _verify(pairs: DataFrame, lines: DataFrame, threshold: float, width: int) -> DataFrame:
-    """``a, b, n`` (set size of ``b``), ``distance``, ``linked`` of distinct pairs, by whole sets."""
-    both = pairs.select("a", "b").join(lines.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a")
+    """``k1, k2, bands`` of distinct lines; the grouping is on columns that the lines are already dealt by."""
+    draw = random.Random(bands * rows)
+    words = [draw.getrandbits(64) - (1 << 63) for _ in range(bands * rows)]
+    least = [F.min(F.col("h").bitwiseXOR(F.lit(w))).alias(f"m{j}") for j, w in enumerate(words)]
+    signed = _exploded(distinct, width, "k1", "k2").groupBy("k1", "k2").agg(*least)
+    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)]
+    return signed.select("k1", "k2", F.array(*keys).alias("bands"))
+
+
+def _marks(lines: DataFrame, width: int) -> DataFrame:
+    """``id, marks``: each shingle's hash sets one of ``64 * _WORDS`` bits, so bits that differ are shingles that differ."""
+    h = _exploded(lines, width, "id").select("id", F.col("h").bitwiseAND(_WORDS - 1).alias("w"), F.expr("shiftleft(1L, cast(shiftright(h, 32) & 63 as int))").alias("bit"))
+    words = [F.bit_or(F.when(F.col("w") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(_WORDS)]
+    return h.groupBy("id").agg(*words).select("id", F.array(*[F.col(f"w{j}") for j in range(_WORDS)]).alias("marks"))
+
+
+def _sets(pairs: DataFrame, lines: DataFrame, width: int) -> DataFrame:
+    """``pairs`` of ids ``a`` and ``b`` with the shingles ``x`` and ``y`` of their whole lines, repeats included."""
+    both = pairs.join(lines.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a")
     both = both.join(lines.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
-    sets = both.select("a", "b", shingles(F.col("x"), width).alias("x"), F.array_distinct(shingles(F.col("y"), width)).alias("y"))
-    sizes = sets.select("a", "b", F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("i"), F.size(F.array_union("x", "y")).alias("u"))
-    return sizes.select("a", "b", "n", (1 - F.col("i") / F.col("u")).alias("distance"), (F.col("i") >= F.lit(threshold) * F.col("u") - 1e-9).alias("linked"))
+    return both.select(*pairs.columns, shingles(F.col("x"), width).alias("x"), shingles(F.col("y"), width).alias("y"))
 
 
-def _rest(star: DataFrame, checked: DataFrame, joined: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a, b`` of one bucket that stars leave in different components and that no exact bound rules out."""
-    at = (
-        star.where("id <> centre")
-        .join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
-        .select("band", "centre", "id", F.coalesce("component", "id").alias("component"))
-    )
+def _verify(sized: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, n`` (set size of ``b``), ``distance``, ``linked`` of pairs whose sets hold ``m`` and ``n`` shingles, ``u`` together."""
+    i = F.col("m") + F.col("n") - F.col("u")
+    return sized.select("a", "b", "n", (1 - i / F.col("u")).alias("distance"), (i >= F.lit(threshold) * F.col("u") - 1e-9).alias("linked"))
+
+
+def _verify_stars(star: DataFrame, lines: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Each bucket's centre ``a`` against its other lines ``b``; a pair of several buckets once."""
+    pairs = star.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    sets = _sets(pairs, lines, width).select("a", "b", F.array_distinct("x").alias("x"), F.array_distinct("y").alias("y"))
+    return _verify(sets.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_union("x", "y")).alias("u")), threshold)
+
+
+def _verify_rest(pairs: DataFrame, lines: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Pairs ``a, b`` whose set sizes ``m, n`` the stars have told."""
+    return _verify(_sets(pairs, lines, width).select("a", "b", "m", "n", F.size(F.array_union("x", "y")).alias("u")), threshold)
+
+
+def _open(entries: DataFrame, joined: DataFrame) -> DataFrame:
+    """``entries`` with their component, of the buckets that hold several components."""
+    at = entries.join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
+    at = at.select(*entries.columns, F.coalesce("component", "id").alias("component"))
     split = at.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    at = at.join(split, "band", "left_semi").join(checked.select(F.col("a").alias("centre"), F.col("b").alias("id"), "n", "distance"), ["centre", "id"])
-    at = common.materialize(at.join(lines.select("id", "bands"), "id").select("band", "id", "n", "component", "distance", "bands"), "lines-open")
-    l, r = at.alias("l"), at.alias("r")
+    return common.materialize(at.join(split, "band", "left_semi"), "lines-open")
+
+
+def _admitted(threshold: float) -> Column:
+    """Whether ``l`` and ``r`` are in different components and may be linked by set sizes, distances to the centre and marks.
+
+    With ``D`` bits that differ the sets differ in ``D`` shingles at least, so their similarity is (m + n - D) / (m + n + D) at most.
+    """
     reach = 1 - threshold + 1e-9
+    sizes = f"l.n >= {threshold}D * r.n and r.n >= {threshold}D * l.n"
+    differ = " + ".join(f"bit_count(l.marks[{j}] ^ r.marks[{j}])" for j in range(_WORDS))
+    marks = f"({differ}) * {1 + threshold}D <= (l.n + r.n) * {1 - threshold}D + 1e-6D"
+    return F.expr(f"l.component <> r.component and {sizes} and abs(l.distance - r.distance) <= {reach}D and {marks}")
+
+
+def _pivot_links(at: DataFrame, lines: DataFrame, pivots: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Links between each bucket's pivots and its lines of other components."""
+    marks = lines.select("id", "marks")
+    pairs = at.join(marks, "id").alias("l").join(pivots.join(marks, "id").alias("r"), "band").where(_admitted(threshold))
+    pairs = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.n").alias("m"), F.col("r.n").alias("n")).distinct()
+    return _verify_rest(common.materialize(pairs, "lines-pairs"), lines, threshold, width).where("linked").select("a", "b")
+
+
+def _all_pairs(at: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a, b`` of one bucket (set sizes ``m, n``) in different components that no exact bound rules out."""
+    at = at.join(lines.select("id", "bands", "marks"), "id")
     bands = F.zip_with("l.bands", "r.bands", lambda x, y: F.when(x == y, x))
     first = F.element_at(F.filter(bands, lambda x: x.isNotNull()), 1)
-    pairs = (
-        l.join(r, F.col("l.band") == F.col("r.band"))
-        .where("l.id < r.id and l.component <> r.component")
-        .where(f"l.n >= {threshold}D * r.n and r.n >= {threshold}D * l.n and abs(l.distance - r.distance) <= {reach}D")
-        .where(first == F.col("l.band"))
-    )
-    return common.materialize(pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")), "lines-pairs")
+    pairs = at.alias("l").join(at.alias("r"), F.col("l.band") == F.col("r.band")).where("l.id < r.id").where(_admitted(threshold)).where(first == F.col("l.band"))
+    pairs = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.n").alias("m"), F.col("r.n").alias("n"))
+    return common.materialize(pairs, "lines-pairs")
+
+
+def _join_rest(star: DataFrame, checked: DataFrame, lines: DataFrame, threshold: float, width: int, *, each: int = 8, most: int = 12) -> DataFrame:
+    """Components when every pair of a bucket has been compared, ruled out or found joined already.
+
+    While more than ``each`` pairs an open line are left, ``_PIVOTS`` lines drawn from each bucket are compared with the others: that is
+    linear, and every link it finds joins whole components, whose pairs then need no comparison. It ends when a round leaves
+    more than nine tenths of the pairs, or after ``most`` rounds; the pairs left are then compared one by one.
+    """
+    joined = graph.components(checked.where("linked"))
+    entries = star.where("id <> centre").join(checked.select(F.col("a").alias("centre"), F.col("b").alias("id"), "n", "distance"), ["centre", "id"])
+    at = _open(entries.select("band", "id", "n", "distance"), joined)
+    before = None
+    for turn in range(most):
+        own = at.groupBy("band", "component").agg(F.count("*").cast("double").alias("c")).groupBy("band")
+        held = own.agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        count, left = held.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("q")) / 2)).first()
+        if not count or left <= each * count or (before is not None and left > 0.9 * before):
+            break
+        before = left
+        drawn = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "id").alias("h"), "id", "n", "distance", "component")) for k in range(_PIVOTS)]
+        pivots = at.groupBy("band").agg(F.array(*drawn).alias("p")).select("band", F.explode(F.array_distinct(F.transform("p", lambda p: p.dropFields("h")))).alias("p"))
+        pivots = common.materialize(pivots.select("band", "p.*"), "lines-pivots")
+        links = _pivot_links(at, lines, pivots, threshold, width)
+        joined = graph.components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+        spent = pivots.select("band", "id")
+        at = _open(at.drop("component").join(spent, ["band", "id"], "left_anti"), joined)
+    more = _verify_rest(_all_pairs(at, lines, threshold), lines, threshold, width).where("linked").select("a", "b")
+    return graph.components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def _kept(docs: DataFrame, text_col: str, threshold: float, width: int, bands: int, rows: int) -> DataFrame:
@@ -149,11 +215,12 @@ def _kept(docs: DataFrame, text_col: str, threshold: float, width: int, bands: i
         shared = entry.groupBy("band").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("band", "centre")
         star = common.materialize(entry.join(shared, "band"), "lines-stars")
         common.release(docs.sparkSession)
-        pairs = star.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-        checked = common.materialize(_verify(pairs, lines, threshold, width), "lines-verified")
-        joined = graph.components(checked.where("linked"))
-        more = _verify(_rest(star, checked, joined, lines, threshold), lines, threshold, width).where("linked").select("a", "b")
-        joined = graph.components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        near = lines.join(star.select("id").distinct(), "id", "left_semi").select("id", "norm", "bands")
+        near = common.materialize(near, "lines-near", compression="zstd")
+        bare, near = near, common.materialize(near.join(_marks(near, width), "id"), "lines-marked", compression="zstd")
+        common.discard(bare)
+        checked = common.materialize(_verify_stars(star, near, threshold, width), "lines-verified")
+        joined = _join_rest(star, checked, near, threshold, width)
 
         firsts = lines.select("id", "at").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
         alone = firsts.where("component is null").select("at")

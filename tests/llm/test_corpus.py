@@ -195,6 +195,16 @@ def test_lines_in_one_bucket_are_all_compared(spark):
     assert got == every_position(list(enumerate(texts)))
 
 
+def test_lines_of_a_crowded_bucket(spark):
+    """Many lines of one bucket in different components: rounds of drawn lines, then pairs, lose no link and make none."""
+    rng = random.Random(22)
+    row = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    base = row(200)
+    texts = [base + row(rng.choice([18, 24, 40, 60])) for _ in range(50)] + [row(rng.choice([22, 45])) + base for _ in range(30)]
+    got = {r["doc_id"]: r["removed"] for r in lines.removed(docs_of(spark, texts), bands=24, rows=1).collect()}
+    assert got == every_position(list(enumerate(texts)))
+
+
 def test_lines_of_rows_that_share_an_id(spark):
     line = "one line that is said more than once"
     rows = [(1, line), (None, line + "\nand one of its own"), (None, "a clean document of one line"), (7, "first of two rows"), (7, line + "\nsecond of two rows"), (7, None)]
