@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Whether Spark deletes an execution's shuffle files when it ends.
+_FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Bytes of one Arrow batch handed to a Python worker.
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2000
@@ -90,7 +93,12 @@ def materialize(df: DataFrame, name: str, *, outer: int = 0, compression: str =
     """Write to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path, compression=compression)
+    kept = spark.conf.get(_FILE_CLEANUP, None)
+    spark.conf.set(_FILE_CLEANUP, "true")  # nothing but this write reads its shuffle files
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.unset(_FILE_CLEANUP) if kept is None else spark.conf.set(_FILE_CLEANUP, kept)
     out = spark.read.schema(df.schema).parquet(path)
     out._eigenflux_path = path  # noqa: SLF001  for discard()
     scopes = _scopes.get()

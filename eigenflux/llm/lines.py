@@ -213,6 +213,7 @@ def _kept(docs: DataFrame, text_col: str, threshold: float, width: int, bands: i
 
         entry = lines.select("id", F.explode("bands").alias("band"))
         shared = entry.groupBy("band").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("band", "centre")
+        shared = common.materialize(shared, "lines-shared")  # its size is known then: few buckets are broadcast, many are not
         star = common.materialize(entry.join(shared, "band"), "lines-stars")
         common.release(docs.sparkSession)
         near = lines.join(star.select("id").distinct(), "id", "left_semi").select("id", "norm", "bands")
