@@ -47,6 +47,8 @@ class Dataset:
     n_space: int
     shape: tuple[int, int, int] = (0, 0, 0)
     meta: dict[str, Any] = field(default_factory=dict)
+    #: A ``long`` and its ``snapshots``, of a source that stores them; they hold while that is the field's ``long``.
+    stored: tuple[DataFrame, DataFrame] | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -110,8 +112,12 @@ class Dataset:
         return _gather(self.weighted(), ["s", "w"], "t")
 
     def snapshots(self) -> DataFrame:
-        """``t, v`` with the values of a time by place."""
-        return _gather(self.long, ["t"], "s")
+        """``t, v`` with the values of a time by place; as they are stored where the source has them so."""
+        return self.stored[1] if self.has_stored else _gather(self.long, ["t"], "s")
+
+    @property
+    def has_stored(self) -> bool:
+        return self.stored is not None and self.stored[0] is self.long
 
     def weights(self) -> np.ndarray:
         """The metric by place; for driver-side factors of at most ``n_space`` numbers."""

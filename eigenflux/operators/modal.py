@@ -7,7 +7,7 @@ of blocks). Each function returns a ``Result`` with ``eig``, ``modes`` and ``coe
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,17 +69,34 @@ def _centred_series(data: Dataset) -> DataFrame:
     return data.series().withColumn("__mean", mean).select("s", "w", F.transform("v", lambda q: q - F.col("__mean")).alias("v"))
 
 
-def energy(data: Dataset) -> float:
-    """Weighted variance ``sum(w q'^2) / n_time``: the sum of all eigenvalues, whatever is kept of them."""
+def _centring(data: Dataset) -> Callable[[np.ndarray], np.ndarray]:
+    """What takes the means of places from a batch of snapshots and weights it; no place's record is gathered."""
+    if data.has_stored:
+        mean = tall.total(data.snapshots(), data.n_space) / data.n_time
+    else:
+        by = data.long.groupBy("s").agg(F.sum("q").alias("q")).orderBy("s").toPandas()
+        mean = by["q"].to_numpy(np.float64) / data.n_time
+    root = np.sqrt(data.weights())
+    return lambda x: (x - mean) * root
+
+
+def energy(data: Dataset, of: tall.Each = None) -> float:
+    """Weighted variance ``sum(w q'^2) / n_time``: the sum of all eigenvalues, whatever is kept of them.
+
+    ``of`` is what ``_centring`` gave, where it is known already.
+    """
+    if data.has_stored:
+        of = of or _centring(data)
+        return float(tall.total(data.snapshots(), data.n_space, lambda x: of(x) ** 2).sum()) / max(data.n_time, 1)
     moments = data.long.groupBy("s").agg(F.var_pop("q").alias("v"))
     return float(moments.join(data.grid.select("s", "w"), "s").agg(F.sum(F.col("w") * F.col("v"))).first()[0] or 0.0)
 
 
-def _leading(rows: DataFrame, k: int, n: int, keep: int, solver: str) -> tuple[np.ndarray, np.ndarray]:
+def _leading(rows: DataFrame, k: int, n: int, keep: int, solver: str, of: tall.Each = None) -> tuple[np.ndarray, np.ndarray]:
     """Eigenpairs of ``V^T V / n``: of the whole kernel, or of a randomized range where ``solver`` says so."""
     if solver != "randomized":
-        return _rayleigh(tall.gram(rows, k) / n)
-    sigma, vectors = tall.randomized(rows, k, keep, power=8)
+        return _rayleigh(tall.gram(rows, k, of) / n)
+    sigma, vectors = tall.randomized(rows, k, keep, power=8, of=of)
     live = numeric.significant(sigma, k)
     return sigma[live] ** 2 / n, vectors[:, : len(live)][:, live]
 
@@ -100,17 +117,21 @@ def _second_order(series: DataFrame, data: Dataset, keep: int, solver: str = "ei
         coef = _small(spark, vectors * np.sqrt(values * n) * turn, "t")
     else:
         long = series.select("s", F.posexplode("v").alias("t", "q")).select(F.col("t").cast("long").alias("t"), "s", "q")
-        rows = _weighted_snapshots(data, long)
-        values, vectors = _leading(rows, m, n, keep, solver)
-        values, vectors = values[:keep], vectors[:, :keep]
-        w = data.weights()
-        modes_ = np.where(w[:, None] > 0, vectors / np.sqrt(np.where(w > 0, w, 1))[:, None], 0.0)
-        turn = numeric.canonical(modes_).real
-        modes = _small(spark, modes_ * turn, "s")
-        coef = tall.exploded(tall.times(rows, vectors * turn, ["t"]), "t", len(values))
+        return _by_snapshots(_weighted_snapshots(data, long), data, keep, solver)
     return values, modes, coef
 
 
+def _by_snapshots(rows: DataFrame, data: Dataset, keep: int, solver: str, of: tall.Each = None) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """The same of snapshots that are centred and weighted, or come so out of ``of``."""
+    values, vectors = _leading(rows, data.n_space, data.n_time, keep, solver, of)
+    values, vectors = values[:keep], vectors[:, :keep]
+    w = data.weights()
+    modes_ = np.where(w[:, None] > 0, vectors / np.sqrt(np.where(w > 0, w, 1))[:, None], 0.0)
+    turn = numeric.canonical(modes_).real
+    modes = _small(data.spark, modes_ * turn, "s")
+    return values, modes, tall.exploded(tall.times(rows, vectors * turn, ["t"], of=of), "t", len(values))
+
+
 def pod(data: Dataset, *, n_modes: int = 10, solver: str = "eigh") -> Result:
     """Proper orthogonal decomposition.
 
@@ -124,13 +145,16 @@ def pod(data: Dataset, *, n_modes: int = 10, solver: str = "eigh") -> Result:
         raise ValueError(f"solver must be 'eigh', 'svd', 'randomized' or 'auto', got {solver!r}")
     if solver == "auto":
         solver = "eigh" if min(data.n_time, data.n_space) <= tall.MOST else "randomized"
-    series, total = _centred_series(data), energy(data)
+    of = _centring(data) if data.n_time >= data.n_space and solver != "svd" else None
+    total = energy(data, of)
     keep = min(n_modes, max(min(data.n_time - 1, data.n_space), 1))
     if solver == "svd":
-        values, modes, coef = _by_svd(data, series, 1, keep)
+        values, modes, coef = _by_svd(data, _centred_series(data), 1, keep)
         modes = modes.select("mode", "s", "re", "im")
-    else:
-        values, modes, coef = _second_order(series, data, keep, solver)
+    elif of is None:
+        values, modes, coef = _second_order(_centred_series(data), data, keep, solver)
+    else:  # a place's record is the long side: only snapshots are gathered
+        values, modes, coef = _by_snapshots(data.snapshots(), data, keep, solver, of)
     captured = float(values.sum() / total) if total else float("nan")
     attrs = {"n_modes_saved": len(values), "total_energy": total, "energy_captured_fraction": captured, "solver": solver, "dt": data.dt, "kernel": "temporal" if data.n_time < data.n_space else "spatial"}
     return Result("pod", {"eig": _eig_table(data.spark, values, total), "modes": modes, "coef": coef}, attrs | _about(data))

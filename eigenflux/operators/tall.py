@@ -64,14 +64,37 @@ def reduce_sum(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], dict[in
     return {r["key"]: np.frombuffer(r["data"], np.complex128 if r["is_complex"] else np.float64).reshape(r["shape"]) for r in sums.toLocalIterator()}
 
 
-def gram(rows: DataFrame, k: int) -> np.ndarray:
+#: What is done to a batch of rows before a product, where something is.
+Each = Callable[[np.ndarray], np.ndarray] | None
+
+
+def _rows(column: pa.Array, each: Each) -> np.ndarray:
+    x = matrix(column)
+    return x if each is None or not len(x) else each(x)
+
+
+def total(rows: DataFrame, k: int, of: Each = None) -> np.ndarray:
+    """Sum of the rows' arrays."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        out = np.zeros(k)
+        for b in batches:
+            x = _rows(b.column(0), of)
+            if len(x):
+                out += x.sum(0)
+        return {0: out}
+
+    return reduce_sum(rows.select("v"), each).get(0, np.zeros(k))
+
+
+def gram(rows: DataFrame, k: int, of: Each = None) -> np.ndarray:
     """``V^T V`` of the rows' arrays."""
     _guard(k)
 
     def each(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         total = np.zeros((k, k))
         for b in batches:
-            x = matrix(b.column(0))
+            x = _rows(b.column(0), of)
             if len(x):
                 total += x.T @ x
         return {0: total}
@@ -103,7 +126,7 @@ def triangle(rows: DataFrame, k: int, column: str = "v") -> np.ndarray:
     return np.linalg.qr(stacked, mode="r") if len(stacked) else np.zeros((0, k))
 
 
-def times(rows: DataFrame, factor: np.ndarray, keep: list[str], *, scale: str | None = None, out: str = "m") -> DataFrame:
+def times(rows: DataFrame, factor: np.ndarray, keep: list[str], *, scale: str | None = None, out: str = "m", of: Each = None) -> DataFrame:
     """Row by row ``v @ factor`` (divided by ``sqrt(scale)``, 0 where that is 0); real parts then imaginary parts if complex."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(np.asarray(factor))
@@ -113,7 +136,7 @@ def times(rows: DataFrame, factor: np.ndarray, keep: list[str], *, scale: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
         for b in batches:
-            x = matrix(b.column(b.num_columns - 1))
+            x = _rows(b.column(b.num_columns - 1), of)
             y = x @ f if len(x) else np.zeros((0, f.shape[1]), f.dtype)
             if scale:
                 w = np.asarray(b.column(len(keep)))
@@ -172,7 +195,7 @@ def exploded(wide: DataFrame, key: str, r: int, column: str = "m", complex_: boo
     return both.select("mode", key, "re", im.alias("im"))
 
 
-def randomized(rows: DataFrame, k: int, rank: int, *, oversample: int = 10, power: int = 2, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def randomized(rows: DataFrame, k: int, rank: int, *, oversample: int = 10, power: int = 2, seed: int = 0, of: Each = None) -> tuple[np.ndarray, np.ndarray]:
     """Singular values and right vectors by a randomized range finder with re-orthonormalised power steps."""
     rng = np.random.default_rng(seed)
     width = min(rank + oversample, k)
@@ -183,12 +206,12 @@ def randomized(rows: DataFrame, k: int, rank: int, *, oversample: int = 10, powe
         def each(batches: Iterator[pa.RecordBatch], shared=shared) -> dict[int, np.ndarray]:
             total = np.zeros((k, width))
             for b in batches:
-                x = matrix(b.column(0))
+                x = _rows(b.column(0), of)
                 if len(x):
                     total += x.T @ (x @ shared.value)
             return {0: total}
 
         basis = np.linalg.qr(reduce_sum(rows.select("v"), each)[0])[0]
-    r = triangle(times(rows, basis, [], out="v"), width)
+    r = triangle(times(rows, basis, [], out="v", of=of), width)
     _, s, vt = np.linalg.svd(r)
     return s[:rank], (basis @ vt.T)[:, :rank]

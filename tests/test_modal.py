@@ -287,3 +287,39 @@ def test_periodogram_of_short_and_odd_series(spark):
     c = q - q.mean(0)
     want = np.abs(np.fft.rfft(c, axis=0)) ** 2 * 0.5 / 7 * np.array([1, 2, 2, 2])[:, None]
     np.testing.assert_allclose(got, want, atol=1e-12)
+
+
+def test_tall_pod_gathers_no_record(spark, tmp_path, monkeypatch):
+    """A place's record is the long side: no row holds it, and stored vectors are read as they are."""
+    from eigenflux.dataset import Dataset
+    from eigenflux.operators import modal
+    from eigenflux.sources import tables
+
+    q = np.random.default_rng(5).standard_normal((90, 64)).astype(np.float32) + 3
+    rows = [(t, row.tolist()) for t, row in enumerate(q)]
+    whole, holed = str(tmp_path / "whole"), str(tmp_path / "holed")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{whole}/embeddings.parquet")
+    spark.createDataFrame([*rows[:-1], (89, [None, *rows[-1][1][1:]])], "vec_id long, embedding array<float>").write.parquet(f"{holed}/embeddings.parquet")
+    assert not tables.vectors(spark, holed).has_stored
+
+    def refuse(*_):
+        raise AssertionError("a whole record was gathered")
+
+    monkeypatch.setattr(Dataset, "series", refuse)
+    data = tables.vectors(spark, whole)
+    centred = q.astype(float) - q.astype(float).mean(0)
+    expected = np.linalg.svd(centred, compute_uv=False) ** 2 / len(q)
+    for solver in ("eigh", "randomized"):
+        for field in (data, tables.vectors(spark, whole).strided(0, None, 1)):  # the second gathers its snapshots
+            out = modal.pod(field, n_modes=64, solver=solver)
+            assert field.has_stored == (field is data)
+            got = np.array([r["lambda_re"] for r in out.eig.orderBy("mode").collect()])
+            np.testing.assert_allclose(got, expected, rtol=1e-9)
+            assert abs(out.attrs["energy_captured_fraction"] - 1) < 1e-12
+    a = np.zeros((90, 64))
+    for r in out.coef.collect():
+        a[r["t"], r["mode"]] = r["re"]
+    phi = np.zeros((64, 64))
+    for r in out.modes.collect():
+        phi[r["s"], r["mode"]] = r["re"]
+    np.testing.assert_allclose(a @ phi.T, centred, atol=1e-9)
