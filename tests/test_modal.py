@@ -323,3 +323,18 @@ def test_tall_pod_gathers_no_record(spark, tmp_path, monkeypatch):
     for r in out.modes.collect():
         phi[r["s"], r["mode"]] = r["re"]
     np.testing.assert_allclose(a @ phi.T, centred, atol=1e-9)
+
+
+def test_trace_of_vectors_is_their_variance(spark, tmp_path, monkeypatch):
+    """The trace query over stored vectors explodes none of them; ids need not come in order and means may be large."""
+    from eigenflux.dataset import Dataset
+    from eigenflux.plans import catalog
+
+    q = np.random.default_rng(6).standard_normal((130, 64)).astype(np.float32) + 1000
+    order = np.random.default_rng(7).permutation(130)
+    rows = [(int(t), q[t].tolist()) for t in order]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for way in ("series", "weighted", "centred"):
+        monkeypatch.setattr(Dataset, way, lambda *_: pytest.fail("the field was exploded"))
+    got = catalog.queries()["pod_trace_E"](spark, str(tmp_path)).first()["trace"]
+    assert got == pytest.approx(round(float(q.astype(float).var(0).sum()), 6), abs=2e-6)
