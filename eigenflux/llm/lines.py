@@ -127,15 +127,22 @@ def _verify_stars(star: DataFrame, lines: DataFrame, threshold: float, width: in
     return _verify(sets.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_union("x", "y")).alias("u")), threshold)
 
 
-def _verify_rest(pairs: DataFrame, lines: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Pairs ``a, b`` whose set sizes ``m, n`` the stars have told."""
-    return _verify(_sets(pairs, lines, width).select("a", "b", "m", "n", F.size(F.array_union("x", "y")).alias("u")), threshold)
+def _links(pairs: DataFrame, lines: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Components ``a, b`` that pairs link, of pairs ``a, b`` of components ``p, q`` whose set sizes ``m, n`` the stars have told."""
+    i = F.col("m") + F.col("n") - F.col("u")
+    sized = _sets(pairs, lines, width).select("p", "q", "m", "n", F.size(F.array_union("x", "y")).alias("u"))
+    return sized.where(i >= F.lit(threshold) * F.col("u") - 1e-9).select(F.col("p").alias("a"), F.col("q").alias("b"))
+
+
+def _moved(table: DataFrame, joined: DataFrame, column: str) -> DataFrame:
+    """``table`` with ``component``: that of ``column`` in ``joined``, which is its own where it is not there."""
+    to = joined.select(F.col("node").alias("__node"), F.col("component").alias("__to"))
+    others = [c for c in table.columns if c != "component"]
+    return table.join(to, F.col(column) == F.col("__node"), "left").select(*others, F.coalesce("__to", column).alias("component"))
 
 
-def _open(entries: DataFrame, joined: DataFrame) -> DataFrame:
-    """``entries`` with their component, of the buckets that hold several components."""
-    at = entries.join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
-    at = at.select(*entries.columns, F.coalesce("component", "id").alias("component"))
+def _open(at: DataFrame) -> DataFrame:
+    """``at`` without the buckets that hold one component only."""
     split = at.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
     return common.materialize(at.join(split, "band", "left_semi"), "lines-open")
 
@@ -152,22 +159,24 @@ def _admitted(threshold: float) -> Column:
     return F.expr(f"l.component <> r.component and {sizes} and abs(l.distance - r.distance) <= {reach}D and {marks}")
 
 
+#: Of a pair ``l`` and ``r``: its lines, their set sizes and components.
+_PAIR = ["l.id as a", "r.id as b", "l.n as m", "r.n as n", "l.component as p", "r.component as q"]
+
+
 def _pivot_links(at: DataFrame, lines: DataFrame, pivots: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Links between each bucket's pivots and its lines of other components."""
+    """Links between the components of each bucket's pivots and those of its other lines."""
     marks = lines.select("id", "marks")
     pairs = at.join(marks, "id").alias("l").join(pivots.join(marks, "id").alias("r"), "band").where(_admitted(threshold))
-    pairs = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.n").alias("m"), F.col("r.n").alias("n")).distinct()
-    return _verify_rest(common.materialize(pairs, "lines-pairs"), lines, threshold, width).where("linked").select("a", "b")
+    return _links(common.materialize(pairs.selectExpr(*_PAIR).distinct(), "lines-pairs"), lines, threshold, width)
 
 
 def _all_pairs(at: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a, b`` of one bucket (set sizes ``m, n``) in different components that no exact bound rules out."""
+    """Pairs of one bucket in different components that no exact bound rules out."""
     at = at.join(lines.select("id", "bands", "marks"), "id")
     bands = F.zip_with("l.bands", "r.bands", lambda x, y: F.when(x == y, x))
     first = F.element_at(F.filter(bands, lambda x: x.isNotNull()), 1)
     pairs = at.alias("l").join(at.alias("r"), F.col("l.band") == F.col("r.band")).where("l.id < r.id").where(_admitted(threshold)).where(first == F.col("l.band"))
-    pairs = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.n").alias("m"), F.col("r.n").alias("n"))
-    return common.materialize(pairs, "lines-pairs")
+    return common.materialize(pairs.selectExpr(*_PAIR), "lines-pairs")
 
 
 def _join_rest(star: DataFrame, checked: DataFrame, lines: DataFrame, threshold: float, width: int, *, each: int = 8, most: int = 12) -> DataFrame:
@@ -176,11 +185,12 @@ def _join_rest(star: DataFrame, checked: DataFrame, lines: DataFrame, threshold:
     While more than ``each`` pairs an open line are left, ``_PIVOTS`` lines drawn from each bucket are compared with the others: that is
     linear, and every link it finds joins whole components, whose pairs then need no comparison. It ends when a round leaves
     more than nine tenths of the pairs, or after ``most`` rounds; the pairs left are then compared one by one.
+    Rounds join components of the stars, not lines, and move open lines only; all lines are moved once, at the end.
     """
     joined = graph.components(checked.where("linked"))
     entries = star.where("id <> centre").join(checked.select(F.col("a").alias("centre"), F.col("b").alias("id"), "n", "distance"), ["centre", "id"])
-    at = _open(entries.select("band", "id", "n", "distance"), joined)
-    before = None
+    at = _open(_moved(entries.select("band", "id", "n", "distance"), joined, "id"))
+    before, moves = None, []
     for turn in range(most):
         own = at.groupBy("band", "component").agg(F.count("*").cast("double").alias("c")).groupBy("band")
         held = own.agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("q"))
@@ -192,11 +202,17 @@ def _join_rest(star: DataFrame, checked: DataFrame, lines: DataFrame, threshold:
         pivots = at.groupBy("band").agg(F.array(*drawn).alias("p")).select("band", F.explode(F.array_distinct(F.transform("p", lambda p: p.dropFields("h")))).alias("p"))
         pivots = common.materialize(pivots.select("band", "p.*"), "lines-pivots")
         links = _pivot_links(at, lines, pivots, threshold, width)
-        joined = graph.components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
-        spent = pivots.select("band", "id")
-        at = _open(at.drop("component").join(spent, ["band", "id"], "left_anti"), joined)
-    more = _verify_rest(_all_pairs(at, lines, threshold), lines, threshold, width).where("linked").select("a", "b")
-    return graph.components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        moves.append(graph.components(links))
+        spent, old = pivots.select("band", "id"), at
+        at = _open(_moved(at.join(spent, ["band", "id"], "left_anti"), moves[-1], "component"))
+        common.discard(old)
+        common.discard(pivots)
+    last = _links(_all_pairs(at, lines, threshold), lines, threshold, width)
+    for move in moves:
+        last = last.union(move.select("node", "component"))
+    last = graph.components(last)
+    single = last.join(joined.select("node"), "node", "left_anti").select("node", "component")
+    return _moved(joined, last, "component").union(single)
 
 
 def _kept(docs: DataFrame, text_col: str, threshold: float, width: int, bands: int, rows: int) -> DataFrame:

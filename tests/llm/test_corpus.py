@@ -67,6 +67,43 @@ def union_find(pairs, nodes):
 # components
 
 
+def test_components_on_the_driver_and_by_stars_agree(spark):
+    rng = random.Random(11)
+    pairs = [(rng.randrange(4000) * 7 - 999, rng.randrange(4000) * 7 - 999) for _ in range(2500)] + [(10**6 + i, 10**6 + i + 1) for i in range(70)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    own, stars = ({(r["node"], r["component"]) for r in graph.components(links, small=n).collect()} for n in (graph.SMALL, 0))
+    assert own == stars and (10**6 + 70, 10**6) in own
+    named = links.selectExpr("concat('n', a) as a", "concat('n', b) as b")  # not whole numbers: stars
+    assert graph.components(named).select("component").distinct().count() == len({c for _, c in own})
+
+
+def test_lines_rounds_keep_every_link(spark, monkeypatch):
+    """Several rounds of drawn lines move components of components; the result is that of every pair compared."""
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdefghijk") for _ in range(90)) for _ in range(6)]
+    texts = []
+    for i in range(160):
+        line = list(base[i % 6])
+        for _ in range(rng.randrange(7)):
+            line[rng.randrange(90)] = rng.choice("xyz")
+        texts.append("".join(line))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = {r["doc_id"]: r["removed"] for r in lines.removed(docs, threshold=0.5, width=5, bands=20, rows=1).collect()}
+    calls, found = [], lines._pivot_links
+    monkeypatch.setattr(lines, "_pivot_links", lambda *a: calls.append(1) or found(*a))
+    monkeypatch.setattr(lines._join_rest, "__kwdefaults__", {"each": 0, "most": 3})
+    rounds = {r["doc_id"]: r["removed"] for r in lines.removed(docs, threshold=0.5, width=5, bands=20, rows=1).collect()}
+    assert calls and rounds == plain
+    sets = [{t[i : i + 5] for i in range(len(t))} for t in texts]  # as shingles at the line's end are shorter
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j]) - 1e-9:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert {i for i, gone in plain.items() if not gone} == set(root)
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)]
