@@ -47,8 +47,9 @@ class Dataset:
     n_space: int
     shape: tuple[int, int, int] = (0, 0, 0)
     meta: dict[str, Any] = field(default_factory=dict)
-    #: A ``long`` and its ``snapshots``, of a source that stores them; they hold while that is the field's ``long``.
-    stored: tuple[DataFrame, DataFrame] | None = None
+    #: A ``long``, its ``snapshots``, their mean and the sums of products about it, of a source that stores snapshots; they
+    #: hold while that is the field's ``long``.
+    stored: tuple[DataFrame, DataFrame, np.ndarray, np.ndarray] | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -111,9 +112,14 @@ class Dataset:
         """``s, w, v`` with the values of a place by time."""
         return _gather(self.weighted(), ["s", "w"], "t")
 
-    def snapshots(self) -> DataFrame:
-        """``t, v`` with the values of a time by place; as they are stored where the source has them so."""
-        return self.stored[1] if self.has_stored else _gather(self.long, ["t"], "s")
+    def snapshots(self, *, narrow: bool = False) -> DataFrame:
+        """``t, v`` with the values of a time by place; as they are stored where the source has them so.
+
+        ``narrow`` leaves stored numbers in their own width, for kernels that widen them.
+        """
+        if not self.has_stored:
+            return _gather(self.long, ["t"], "s")
+        return self.stored[1] if narrow else self.stored[1].select("t", F.col("v").cast("array<double>").alias("v"))
 
     @property
     def has_stored(self) -> bool:

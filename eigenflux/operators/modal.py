@@ -72,7 +72,7 @@ def _centred_series(data: Dataset) -> DataFrame:
 def _centring(data: Dataset) -> Callable[[np.ndarray], np.ndarray]:
     """What takes the means of places from a batch of snapshots and weights it; no place's record is gathered."""
     if data.has_stored:
-        mean = tall.total(data.snapshots(), data.n_space) / data.n_time
+        mean = data.stored[2]
     else:
         by = data.long.groupBy("s").agg(F.sum("q").alias("q")).orderBy("s").toPandas()
         mean = by["q"].to_numpy(np.float64) / data.n_time
@@ -80,14 +80,10 @@ def _centring(data: Dataset) -> Callable[[np.ndarray], np.ndarray]:
     return lambda x: (x - mean) * root
 
 
-def energy(data: Dataset, of: tall.Each = None) -> float:
-    """Weighted variance ``sum(w q'^2) / n_time``: the sum of all eigenvalues, whatever is kept of them.
-
-    ``of`` is what ``_centring`` gave, where it is known already.
-    """
+def energy(data: Dataset) -> float:
+    """Weighted variance ``sum(w q'^2) / n_time``: the sum of all eigenvalues, whatever is kept of them."""
     if data.has_stored:
-        of = of or _centring(data)
-        return float(tall.total(data.snapshots(), data.n_space, lambda x: of(x) ** 2).sum()) / max(data.n_time, 1)
+        return float(data.weights() @ np.diag(data.stored[3])) / max(data.n_time, 1)
     moments = data.long.groupBy("s").agg(F.var_pop("q").alias("v"))
     return float(moments.join(data.grid.select("s", "w"), "s").agg(F.sum(F.col("w") * F.col("v"))).first()[0] or 0.0)
 
@@ -123,9 +119,12 @@ def _second_order(series: DataFrame, data: Dataset, keep: int, solver: str = "ei
 
 def _by_snapshots(rows: DataFrame, data: Dataset, keep: int, solver: str, of: tall.Each = None) -> tuple[np.ndarray, DataFrame, DataFrame]:
     """The same of snapshots that are centred and weighted, or come so out of ``of``."""
-    values, vectors = _leading(rows, data.n_space, data.n_time, keep, solver, of)
-    values, vectors = values[:keep], vectors[:, :keep]
     w = data.weights()
+    if of is not None and data.has_stored and solver == "eigh":  # the source told the kernel
+        values, vectors = _rayleigh(data.stored[3] * np.sqrt(np.outer(w, w)) / data.n_time)
+    else:
+        values, vectors = _leading(rows, data.n_space, data.n_time, keep, solver, of)
+    values, vectors = values[:keep], vectors[:, :keep]
     modes_ = np.where(w[:, None] > 0, vectors / np.sqrt(np.where(w > 0, w, 1))[:, None], 0.0)
     turn = numeric.canonical(modes_).real
     modes = _small(data.spark, modes_ * turn, "s")
@@ -146,7 +145,7 @@ def pod(data: Dataset, *, n_modes: int = 10, solver: str = "eigh") -> Result:
     if solver == "auto":
         solver = "eigh" if min(data.n_time, data.n_space) <= tall.MOST else "randomized"
     of = _centring(data) if data.n_time >= data.n_space and solver != "svd" else None
-    total = energy(data, of)
+    total = energy(data)
     keep = min(n_modes, max(min(data.n_time - 1, data.n_space), 1))
     if solver == "svd":
         values, modes, coef = _by_svd(data, _centred_series(data), 1, keep)
@@ -154,7 +153,7 @@ def pod(data: Dataset, *, n_modes: int = 10, solver: str = "eigh") -> Result:
     elif of is None:
         values, modes, coef = _second_order(_centred_series(data), data, keep, solver)
     else:  # a place's record is the long side: only snapshots are gathered
-        values, modes, coef = _by_snapshots(data.snapshots(), data, keep, solver, of)
+        values, modes, coef = _by_snapshots(data.snapshots(narrow=True), data, keep, solver, of)
     captured = float(values.sum() / total) if total else float("nan")
     attrs = {"n_modes_saved": len(values), "total_energy": total, "energy_captured_fraction": captured, "solver": solver, "dt": data.dt, "kernel": "temporal" if data.n_time < data.n_space else "spatial"}
     return Result("pod", {"eig": _eig_table(data.spark, values, total), "modes": modes, "coef": coef}, attrs | _about(data))

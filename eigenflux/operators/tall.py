@@ -34,8 +34,10 @@ def _guard(k: int) -> None:
         raise ValueError(f"the smaller side has {k} entries, above {MOST}; where the method takes a solver, use 'randomized'")
 
 
-def reduce_sum(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
-    """Sum of the arrays that ``each`` makes of a partition, by key; complex arrays are kept as pairs."""
+def reduce_sum(
+    df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], dict[int, np.ndarray]], join: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add
+) -> dict[int, np.ndarray]:
+    """Sum of the arrays that ``each`` makes of a partition, by key, or what ``join`` makes of two; complex arrays are kept as pairs."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, a in each(batches).items():
@@ -51,8 +53,8 @@ def reduce_sum(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], dict[in
         shape = {}
         for b in batches:
             for key, dims, cplx, data in zip(*(b.column(i).to_pylist() for i in range(4))):
-                a = np.frombuffer(data, np.complex128 if cplx else np.float64)
-                total[key] = total[key] + a if key in total else a.copy()
+                a = np.frombuffer(data, np.complex128 if cplx else np.float64).reshape(dims)
+                total[key] = join(total[key], a) if key in total else a.copy()
                 shape[key] = (dims, cplx)
         for key, a in total.items():
             yield pa.RecordBatch.from_arrays(
@@ -70,23 +72,10 @@ Each = Callable[[np.ndarray], np.ndarray] | None
 
 def _rows(column: pa.Array, each: Each) -> np.ndarray:
     x = matrix(column)
+    x = x.astype(np.float64) if x.dtype == np.float32 else x  # what is stored narrow is widened here, not on its way
     return x if each is None or not len(x) else each(x)
 
 
-def total(rows: DataFrame, k: int, of: Each = None) -> np.ndarray:
-    """Sum of the rows' arrays."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
-        out = np.zeros(k)
-        for b in batches:
-            x = _rows(b.column(0), of)
-            if len(x):
-                out += x.sum(0)
-        return {0: out}
-
-    return reduce_sum(rows.select("v"), each).get(0, np.zeros(k))
-
-
 def gram(rows: DataFrame, k: int, of: Each = None) -> np.ndarray:
     """``V^T V`` of the rows' arrays."""
     _guard(k)
@@ -102,6 +91,48 @@ def gram(rows: DataFrame, k: int, of: Each = None) -> np.ndarray:
     return reduce_sum(rows.select("v"), each).get(0, np.zeros((k, k)))
 
 
+def _pooled(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Moments of both of two sets of rows: a row that begins with their number, their means, the sums of products about these."""
+    n, m = a[0, 0], b[0, 0]
+    if not n or not m:
+        return a if n else b
+    apart = b[1] - a[1]
+    out = a + b
+    out[1] = a[1] + apart * (m / (n + m))
+    out[2:] += np.outer(apart, apart) * (n * m / (n + m))
+    return out
+
+
+def moments(rows: DataFrame, k: int) -> tuple[int, bool, np.ndarray, np.ndarray]:
+    """Of rows ``t, v`` their number, whether all are whole (a key and ``k`` numbers), and if so the mean of their arrays and
+    ``V^T V`` of the arrays less that mean, in one reading of the rows.
+
+    Each batch is centred by its own mean and then pooled with the others, so a large mean costs no digits.
+    """
+    _guard(k)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        total, broken = np.zeros((k + 2, k)), np.zeros((k + 2, k))
+        for b in batches:
+            v = b.column(1)
+            own = np.zeros((k + 2, k))
+            own[0, 0] = len(v)
+            if b.column(0).null_count or v.null_count or (np.diff(np.asarray(v.offsets)) != k).any() or v.flatten().null_count:
+                broken = _pooled(broken, own)
+            elif len(v):
+                x = _rows(v, None)
+                own[1] = x.mean(0)
+                x = x - own[1]
+                own[2:] = x.T @ x
+                total = _pooled(total, own)
+        return {0: total, 1: broken}
+
+    got = reduce_sum(rows.select("t", "v"), each, _pooled)
+    none = np.zeros((k + 2, k))
+    total, broken = got.get(0, none), got.get(1, none)
+    return int(total[0, 0] + broken[0, 0]), not broken[0, 0], total[1], total[2:]
+
+
 def triangle(rows: DataFrame, k: int, column: str = "v") -> np.ndarray:
     """``R`` of a QR factorisation: by partition, then over the stacked factors; the data are never squared."""
     _guard(k)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eigenflux.dataset import Dataset, densify, plain_grid
+from eigenflux.operators import tall
 
 EPOCH = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
 
@@ -49,11 +50,8 @@ def monthly_orders(spark: SparkSession, sf_dir: str) -> Dataset:
 
 def vectors(spark: SparkSession, sf_dir: str) -> Dataset:
     """E: stored vectors as snapshots, ordered by id (ids count from 0); the rows serve as they are where all are whole."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    # looking for a value that is not there gives null where the array holds a null
-    whole = (F.size("embedding") == 64) & F.col("vec_id").isNotNull() & ~F.array_contains("embedding", F.lit(float("-inf")).cast("float"))
-    n, fit = rows.agg(F.count("*"), F.count(F.when(whole, 1))).first()
-    long = rows.select(F.col("vec_id").alias("t"), F.posexplode("embedding").alias("s", "q"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("t"), F.col("embedding").alias("v"))
+    n, whole, mean, products = tall.moments(rows, 64)
+    long = rows.select("t", F.posexplode("v").alias("s", "q"))
     long = long.select("t", F.col("s").cast("long").alias("s"), F.col("q").cast("double").alias("q"))
-    stored = rows.select(F.col("vec_id").alias("t"), F.col("embedding").cast("array<double>").alias("v"))
-    return Dataset(long, plain_grid(spark, 64), 1.0, n, 64, (64, 1, 1), {"name": "vectors"}, (long, stored) if fit == n else None)
+    return Dataset(long, plain_grid(spark, 64), 1.0, n, 64, (64, 1, 1), {"name": "vectors"}, (long, rows, mean, products) if whole else None)

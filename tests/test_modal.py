@@ -338,3 +338,24 @@ def test_trace_of_vectors_is_their_variance(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(Dataset, way, lambda *_: pytest.fail("the field was exploded"))
     got = catalog.queries()["pod_trace_E"](spark, str(tmp_path)).first()["trace"]
     assert got == pytest.approx(round(float(q.astype(float).var(0).sum()), 6), abs=2e-6)
+
+
+def test_vectors_are_read_once(spark, tmp_path, monkeypatch):
+    """Count, wholeness, means, energy and kernel of stored vectors come from one reading; a large mean costs no digits."""
+    from eigenflux.operators import tall
+    from eigenflux.plans import catalog
+
+    q = (np.random.default_rng(8).standard_normal((500, 64)) + 4096).astype(np.float32)
+    q[:, 3] += np.arange(500)  # partitions and batches with means of their own
+    rows = [(t, v.tolist()) for t, v in enumerate(q)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
+    readings = []
+    reduce_sum = tall.reduce_sum
+    monkeypatch.setattr(tall, "reduce_sum", lambda *a: readings.append(1) or reduce_sum(*a))
+    got = catalog.queries()["pod_trace_E"](spark, str(tmp_path)).first()["trace"]
+    assert got == pytest.approx(float(q.astype(float).var(0).sum()), abs=2e-6)
+    eig = catalog.queries()["pod_E"](spark, str(tmp_path))
+    assert len(readings) == 2  # one a query
+    centred = q.astype(float) - q.astype(float).mean(0)
+    expected = np.linalg.svd(centred, compute_uv=False)[:10] ** 2 / 500
+    np.testing.assert_allclose([r["lambda_re"] for r in eig.orderBy("mode").collect()], expected, rtol=1e-10)
