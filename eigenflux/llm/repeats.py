@@ -36,6 +36,8 @@ _TABLE = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint
 _LEAST = -(1 << 63)
 #: Bits of a window minimum that hold its place.
 _PLACE = 26
+#: Bytes that are hashed together, as each takes some dozens more on the way; contexts do not depend on it but at the ends of pieces of a text that is longer.
+_BLOB = 1 << 20
 #: Records of a reading task that are sorted and collapsed together.
 _FLUSH = 600_000
 #: Symbols of contexts that one index holds; an anchor's contexts always stay together.
@@ -85,12 +87,13 @@ def contexts(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ..
     blob = b"".join(texts)
     if len(blob) < length:
         return none
-    if len(blob) >= 1 << _PLACE:
+    most = min(_BLOB, 1 << _PLACE)
+    if len(blob) >= most:
         if len(texts) > 1:
             half = len(texts) // 2
             x, y = contexts(texts[:half], length, gram), contexts(texts[half:], length, gram)
             return tuple(np.concatenate((a, b + half if k == 0 else b)) for k, (a, b) in enumerate(zip(x, y)))
-        step, parts = (1 << _PLACE) - length, []  # one very long text, in pieces that share length - 1 bytes
+        step, parts = most - length, []  # one very long text, in pieces that share length - 1 bytes
         for at in range(0, len(blob) - length + 1, step):
             part = contexts([blob[at : at + step + length - 1]], length, gram)
             parts.append((part[0], part[1] + at, part[2] + at, part[3] + at, part[4], part[5]))

@@ -524,6 +524,23 @@ def test_repeats_of_many_lengths(spark):
         repeats.remove(docs_of(spark, texts), length=1 << 16)
 
 
+def test_contexts_take_little_memory():
+    """A whole batch of texts, or one text of its size, is hashed in pieces: the peak does not follow the batch."""
+    import tracemalloc
+
+    rng = random.Random(12)
+    text = "".join(rng.choices("abcdefgh ", k=4 << 20)).encode()
+    for texts in ([text], [text[i : i + 4096] for i in range(0, len(text), 4096)]):
+        tracemalloc.start()
+        parts = repeats.contexts(texts, 100, 24)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(parts[0]) > 60_000
+        assert peak < 120 << 20
+    small = repeats.contexts(texts[:3], 100, 24)
+    assert all((a[: len(b)] == b).all() for a, b in zip(parts, small))
+
+
 def test_contexts_of_long_texts(monkeypatch):
     rng = random.Random(3)
     texts = [bytes(rng.choice(b"abcd") for _ in range(n)) for n in (3000, 50, 1200)]
