@@ -278,11 +278,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c[keep], pa.int64()) for c in (entry, node, n)], names=["entry", "node", "n"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b, distance, linked`` of each pair, by whole sets."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b"
-    )
+def _among(sets: DataFrame, pairs: DataFrame, side: str, bitmap_bits: int) -> DataFrame:
+    """``side, tokens`` of the sets that pairs may have on that side; the others need not be moved to join."""
+    marks = pairs.sparkSession.sparkContext.broadcast(common.bitmap(pairs, side, bitmap_bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(common.in_bitmap(marks.value, batch.column(0))))
+
+    return sets.select(F.col("node").alias(side), "tokens").mapInArrow(run, f"{side} long, tokens binary")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int, bitmap_bits: int) -> DataFrame:
+    """``a, b, distance, linked`` of each pair, by whole sets; ``pairs`` are read several times."""
+    both = pairs.join(_among(sets, pairs, "a", bitmap_bits).withColumnRenamed("tokens", "x"), "a")
+    both = both.join(_among(sets, pairs, "b", bitmap_bits).withColumnRenamed("tokens", "y"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,17 +341,31 @@ def _nodes(rows: DataFrame) -> DataFrame:
     return common.materialize(least.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
 
 
-def _entries(own: DataFrame, nodes: DataFrame, percent: int, width: int, bitmap_bits: int) -> DataFrame:
-    """``entry, node, n`` of the index entries that several nodes share: one shuffle of entries, lone ones end in its tasks."""
+def _plain_ids(rows: DataFrame) -> bool:
+    """Whether no id has several sets; an id then names its set."""
+    sets = rows.where("doc_id is not null and key is not null").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z"))
+    return sets.where("a < z").isEmpty()
+
+
+def _entries(own: DataFrame, nodes: DataFrame, percent: int, width: int, bitmap_bits: int, plain: bool) -> DataFrame:
+    """``entry, node, n`` of the index entries that several nodes share: one shuffle of entries, lone ones end in its tasks.
+
+    Where ids are ``plain``, entries go by id, and only shared ones look for their node; else all look for it by their set first.
+    """
 
     def make():
         scheme = Scheme(percent)
         return lambda s: (scheme.entries(s),)
 
     marks = own.sparkSession.sparkContext.broadcast(common.bitmap(nodes, "doc_id", bitmap_bits))
-    found = _scan(own, width, marks, make, ", entries array<long>").join(nodes, ["key", "doc_id"])  # texts that only repeat a set end here
+    found = _scan(own, width, marks, make, ", entries array<long>")
+    # texts that only repeat a set end at the join with the nodes
+    found = found.withColumn("node", F.col("doc_id")) if plain else found.join(nodes, ["key", "doc_id"])
     entry = found.select(F.explode("entries").alias("entry"), "node", "n")
     entry = entry.repartition("entry").sortWithinPartitions("entry", "node").mapInArrow(_shared, "entry long, node long, n long")
+    if plain:
+        named = nodes.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"))
+        entry = entry.join(named, F.col("node") == F.col("__id")).select("entry", F.col("__node").alias("node"), "n")
     return common.materialize(entry, "jaccard-entries")
 
 
@@ -350,8 +374,8 @@ def _sets(own: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int, bitma
     nodes = nodes.join(wanted, "node", "left_semi")
     marks = own.sparkSession.sparkContext.broadcast(common.bitmap(nodes, "doc_id", bitmap_bits))
     found = _scan(own, width, marks, lambda: lambda s: (s.tobytes(), profile(s).tobytes()), ", tokens binary, profile binary")
-    found = found.join(nodes, ["key", "doc_id"]).select("node", F.col("n").alias("size"), "tokens", "profile")
-    return common.materialize(found.dropDuplicates(["node"]), "jaccard-sets")
+    found = found.dropDuplicates(["key", "doc_id"]).join(nodes, ["key", "doc_id"])  # dealt once for both
+    return common.materialize(found.select("node", F.col("n").alias("size"), "tokens", "profile"), "jaccard-sets")
 
 
 def join(docs: DataFrame, *, percent: int = 90, width: int = 3, text_col: str = "text", bitmap_bits: int = 1 << 23) -> DataFrame:
@@ -361,11 +385,11 @@ def join(docs: DataFrame, *, percent: int = 90, width: int = 3, text_col: str =
     with common.scratch() as scope:
         rows = common.materialize(_scan(own, width, None, lambda: lambda s: (), ""), "jaccard-rows")
         nodes = _nodes(rows)
-        entry = _entries(own, nodes, percent, width, bitmap_bits)
+        entry = _entries(own, nodes, percent, width, bitmap_bits, _plain_ids(rows))
         common.release(docs.sparkSession)
 
         popular = entry.groupBy("entry").agg(F.count("*").alias("m"))
-        popular = entry.join(popular, "entry").groupBy("node").agg(F.sum("m").alias("pop"))
+        popular = entry.join(popular.where("m > 1"), "entry").groupBy("node").agg(F.sum("m").alias("pop"))
         centre = entry.join(popular, "node").groupBy("entry").agg(F.min(F.struct(-F.col("pop"), F.col("node"))).alias("c"))
         star = common.materialize(entry.join(centre.select("entry", F.col("c.node").alias("centre")), "entry"), "jaccard-stars")
         common.discard(entry)
@@ -374,7 +398,7 @@ def join(docs: DataFrame, *, percent: int = 90, width: int = 3, text_col: str =
         pairs = star.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
         screened = _screen(pairs, sets)
         admitted = (F.col("near") <= (100 - percent) / 100 + 1e-9)
-        verified = _verify(screened.where(admitted).select("a", "b"), sets, percent)
+        verified = _verify(screened.where(admitted).select("a", "b"), sets, percent, bitmap_bits)
         checked = verified.select("a", "b", F.col("distance").alias("near"), F.col("distance").alias("far"), "linked").union(
             screened.where(~admitted).select("a", "b", "near", F.lit(1.0).alias("far"), F.lit(False).alias("linked"))
         )
@@ -398,7 +422,8 @@ def join(docs: DataFrame, *, percent: int = 90, width: int = 3, text_col: str =
         common.discard(star)
         rest = at.join(sets.select("node", "profile"), "node").select("entry", "node", "n", "component", "near", "far", "profile")
         rest = rest.repartition("entry").sortWithinPartitions("entry", "node").mapInArrow(_possible(percent), "a long, b long").distinct()
-        more = _verify(rest, sets, percent).where("linked").select("a", "b")
+        rest = common.materialize(rest, "jaccard-pairs")
+        more = _verify(rest, sets, percent, bitmap_bits).where("linked").select("a", "b")
         final = graph.components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
         # a component's name is its least document

@@ -290,6 +290,25 @@ def test_jaccard_of_rows_that_share_an_id(spark):
     assert collections.Counter(map(tuple, got)) == collections.Counter(want)
 
 
+def test_entries_are_dealt_once(spark, monkeypatch):
+    """Where no id has two sets, entries are not moved to find their node; no verified pair moves sets that are in no pair."""
+    plans, write = {}, common.materialize
+
+    def watch(df, name, **how):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, **how)
+
+    monkeypatch.setattr(common, "materialize", watch)
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(40)] for _ in range(20)]
+    texts = [" ".join(b[: 40 - k]) for b in base for k in range(3)] + [" ".join(base[0])] * 3
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs_of(spark, texts)).collect()}
+    assert got == brute_jaccard(list(enumerate(texts)), 90, 3)
+    assert "hashpartitioning(entry" in plans["jaccard-entries"] and "hashpartitioning(key" not in plans["jaccard-entries"]
+    assert plans["jaccard-sets"].count("hashpartitioning(key") <= 2  # the sets, and the nodes that they are joined with
+    assert plans["jaccard-verified"].count("MapInArrow") >= 3  # both sides thinned, then compared
+
+
 def test_profiles_bound_distances():
     rng = np.random.default_rng(6)
     for _ in range(200):
