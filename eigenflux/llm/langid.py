@@ -17,7 +17,6 @@ code lengths go to the alphabetically first language. Repeated rows give repeate
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +30,8 @@ from eigenflux.llm import common
 ORDER = 4
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-#: Bytes scored at a time.
-PIECE = 1 << 20
+#: Bytes scored at a time, which bounds the arrays that a worker holds while it scores.
+PIECE = 1 << 16
 
 
 def has_letter(text: str) -> bool:
@@ -44,7 +43,7 @@ class ContextTrees:
     """Frozen statistics: strings of up to ``ORDER + 1`` symbols with code and escape lengths for each language."""
 
     def __init__(self, samples: dict[str, list[str]], order: int = ORDER):
-        self.langs, self.order, self.key = sorted(samples), order, uuid.uuid4().hex
+        self.langs, self.order = sorted(samples), order
         raw = {g: [np.frombuffer(t.lower().encode("utf-8", "replace"), np.uint8) for t in samples[g]] for g in self.langs}
         seen = np.unique(np.concatenate([np.unique(a) for arrays in raw.values() for a in arrays] or [np.zeros(0, np.uint8)]))
         self.symbol = np.full(256, len(seen) + 1, np.int32)  # 0: before the text; the last: bytes never seen
@@ -180,9 +179,6 @@ def train(docs: DataFrame, *, where: Column | None = None, docs_per_lang: int =
     return ContextTrees(training_sample(docs, where=where, docs_per_lang=docs_per_lang, chars_per_lang=chars_per_lang))
 
 
-_cache: dict[str, list[np.ndarray]] = {}
-
-
 def predict(docs: DataFrame, model: ContextTrees, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, ``lang_pred string``, ``score double`` and ``bits_per_byte double``, row by row; no shuffle.
 
@@ -201,10 +197,7 @@ def predict(docs: DataFrame, model: ContextTrees, *, text_col: str = "text", kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
-        if trees.key not in _cache:
-            _cache.clear()
-            _cache[trees.key] = trees.tables()
-        tables = _cache[trees.key]
+        tables = trees.tables()  # of this task: workers outlive it, several to a core, and would each hold them
         for batch in batches:
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
             known = [has_letter(t) and bool(trees.langs) for t in texts]
@@ -222,4 +215,4 @@ def predict(docs: DataFrame, model: ContextTrees, *, text_col: str = "text", kee
                 [*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], names=names
             )
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text")).mapInArrow(common.tidy(run), schema)

@@ -13,7 +13,6 @@ is a marker to the model and decodes to a space, as in the library.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -104,18 +103,10 @@ class ChunkTable:
         return np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))], ids
 
 
-#: Tables of this Python worker, kept from task to task: (digest of the model, size) -> table.
-_tables: dict[tuple[bytes, int], ChunkTable] = {}
-
-
 def _table(model: bytes, size: int) -> ChunkTable:
     import sentencepiece
 
-    key = (hashlib.sha256(model).digest(), size)
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = ChunkTable(sentencepiece.SentencePieceProcessor(model_proto=model), size)
-    return _tables[key]
+    return ChunkTable(sentencepiece.SentencePieceProcessor(model_proto=model), size)
 
 
 def _encode_whole(sp, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +141,7 @@ def encode(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(model, table_size)
+        table = _table(model, table_size)  # of this task: workers outlive it, several to a core, and would each hold one
         for batch in batches:
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
             first = 0
@@ -170,7 +161,7 @@ def encode(
                 )
                 first = last
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text")).mapInArrow(common.tidy(run), schema)
 
 
 def decode(encoded: DataFrame, model_path: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

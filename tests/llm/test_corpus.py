@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -716,6 +717,33 @@ def test_columns_named_like_results(spark):
     assert [r["text"] for r in contamination.find(docs, none, keep=("doc_id", "score"), clean=True).collect()] == ["some words of text"]
 
 
+def test_workers_hold_nothing_between_tasks(spark, none):
+    """Python workers outlive tasks and take turns: what one operator keeps in them takes memory from the next."""
+    docs = docs_of(spark, ["a few words of text " * 20, "quelques mots de texte " * 20]).withColumn("lang", F.when(F.col("doc_id") == 0, "en").otherwise("fr"))
+    assert spm.encode(docs, MODEL).count() == 2
+    assert {r["lang_pred"] for r in langid.predict(docs, langid.train(docs)).collect()} == {"en", "fr"}
+
+    def held(batches):
+        import gc
+
+        tables = sum(isinstance(o, spm.ChunkTable) for o in gc.get_objects())
+        caches = sum(len(v) for m in (langid, spm) for v in vars(m).values() if isinstance(v, dict) and v is not m.__builtins__)
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([tables + caches], pa.int64())], names=["n"])
+
+    assert [r["n"] for r in spark.range(4).mapInArrow(held, "n long").collect()] == [0] * 4
+
+
+def test_language_of_a_long_text_takes_bounded_memory():
+    trees = langid.ContextTrees({g: [t * 40] for g, t in (("en", "some plain words "), ("fr", "des mots tout simples "), ("de", "ganz einfache Worte "))})
+    tables, text = trees.tables(), "some plain words " * 120_000
+    tracemalloc.start()
+    found = trees.score([text], tables)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.argmin() == trees.langs.index("en") and peak < 12 * len(text)
+
+
 def test_letters():
     assert not any(map(langid.has_letter, ("", "½ ²", "①② 12 _", "\n")))
     assert all(map(langid.has_letter, ("½ a", "字", "é")))
