@@ -23,6 +23,7 @@ not read, and ``without`` hands them on whatever their names are (but for its ow
 
 from __future__ import annotations
 
+import functools
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,9 @@ _BLANKS = ("\t", "\r", "\f", "\x0b", "  ")
 #: Words of 64 bits in which a line marks its shingles.
 _WORDS = 16
 
+#: Shingles of a line that a MinHash value is expected to look at closely.
+_BELOW = 20
+
 #: Lines drawn from a bucket in a round of comparisons.
 _PIVOTS = 4
 
@@ -90,21 +94,41 @@ def _exploded(df: DataFrame, width: int, *keys: str) -> DataFrame:
     return x.select(*keys, _hash_at(F.col("u"), F.col("w"), F.col("s"), F.col("i"), width).alias("h"))
 
 
-def _bands(distinct: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """``k1, k2, bands`` of distinct lines; the grouping is on columns that the lines are already dealt by."""
-    draw = random.Random(bands * rows)
-    words = [draw.getrandbits(64) - (1 << 63) for _ in range(bands * rows)]
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(w))).alias(f"m{j}") for j, w in enumerate(words)]
-    signed = _exploded(distinct, width, "k1", "k2").groupBy("k1", "k2").agg(*least)
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)]
-    return signed.select("k1", "k2", F.array(*keys).alias("bands"))
+def _words(values: int) -> list[int]:
+    """A word of 64 bits for each MinHash value."""
+    draw = random.Random(values)
+    return [draw.getrandbits(64) - (1 << 63) for _ in range(values)]
+
+
+def _least(distinct: DataFrame, width: int, words: list[int]) -> DataFrame:
+    """``k1, k2`` and the MinHash values ``m0, m1, ...`` of distinct lines; the grouping is on columns that the lines are already dealt by.
+
+    Of a line's n shingles a value only looks at those below a bound that ``_BELOW`` of them are expected to pass, so most shingles cost
+    it one comparison. The least of these is the least of all; where none passes, the value is null.
+    """
+    n = F.char_length("norm")
+    bound = F.when(n <= 2 * _BELOW, F.lit((1 << 63) - 1)).otherwise(((2.0 * _BELOW / n - 1) * 2.0**63).cast("long"))
+    shingled = _exploded(distinct.select("k1", "k2", "norm", bound.alias("bound")), width, "k1", "k2", "bound")
+    return shingled.groupBy("k1", "k2").agg(*[F.expr(f"min(h ^ {w}L) filter (where (h ^ {w}L) <= bound)").alias(f"m{j}") for j, w in enumerate(words)])
+
+
+def _bands(found: list[Column], rows: int) -> Column:
+    """Hash of each ``rows`` MinHash values."""
+    return F.array(*[F.xxhash64(F.lit(b), *found[b * rows : (b + 1) * rows]) for b in range(len(found) // rows)])
+
+
+def _rare_bands(norm: Column, width: int, words: list[int], rows: int) -> Column:
+    """Bands by all shingles of a line, for the few lines that ``_least`` has left a value of null."""
+    whole = F.array_distinct(shingles(norm, width))
+    found = F.transform(F.array(whole), lambda x: F.transform(F.array(*map(F.lit, words)), lambda w: F.array_min(F.transform(x, lambda h: h.bitwiseXOR(w)))))
+    return F.element_at(F.transform(found, lambda m: _bands([m[j] for j in range(len(words))], rows)), 1)  # arrays of one: worked out once
 
 
 def _marks(lines: DataFrame, width: int) -> DataFrame:
     """``id, marks``: each shingle's hash sets one of ``64 * _WORDS`` bits, so bits that differ are shingles that differ."""
     h = _exploded(lines, width, "id").select("id", F.col("h").bitwiseAND(_WORDS - 1).alias("w"), F.expr("shiftleft(1L, cast(shiftright(h, 32) & 63 as int))").alias("bit"))
-    words = [F.bit_or(F.when(F.col("w") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(_WORDS)]
-    return h.groupBy("id").agg(*words).select("id", F.array(*[F.col(f"w{j}") for j in range(_WORDS)]).alias("marks"))
+    words = [F.expr(f"bit_or(bit) filter (where w = {j})").alias(f"w{j}") for j in range(_WORDS)]
+    return h.groupBy("id").agg(*words).select("id", F.array(*[F.coalesce(f"w{j}", F.lit(0).cast("long")) for j in range(_WORDS)]).alias("marks"))
 
 
 def _sets(pairs: DataFrame, lines: DataFrame, width: int) -> DataFrame:
@@ -222,10 +246,15 @@ def _kept(docs: DataFrame, text_col: str, threshold: float, width: int, bands: i
         at = F.struct("doc_id", "digest", "line")
         distinct = parts.groupBy("k1", "k2").agg(F.first("norm").alias("norm"), F.min(at).alias("at"))
         whole = distinct.where("at.line >= 0")  # true of all: with the same columns on both sides Spark reads one exchange twice
-        signed = distinct.join(_bands(whole, width, bands, rows), ["k1", "k2"])  # both sides lie by the keys already
-        lines = signed.select(F.monotonically_increasing_id().alias("id"), "norm", "at", "bands")
+        words = _words(bands * rows)
+        signed = distinct.join(_least(whole, width, words), ["k1", "k2"])  # both sides lie by the keys already
+        values = [F.col(f"m{j}") for j in range(len(words))]
+        full = functools.reduce(Column.__and__, [m.isNotNull() for m in values])
+        lines = signed.select(F.monotonically_increasing_id().alias("id"), "norm", "at", F.when(full, _bands(values, rows)).alias("bands"))
         lines = common.materialize(lines, "lines-distinct", compression="zstd")
         common.release(docs.sparkSession)
+        rare = lines.where("bands is null").withColumn("bands", _rare_bands(F.col("norm"), width, words, rows))
+        lines = lines.where("bands is not null").union(common.materialize(rare, "lines-rare", compression="zstd"))
 
         entry = lines.select("id", F.explode("bands").alias("band"))
         shared = entry.groupBy("band").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("band", "centre")

@@ -214,6 +214,36 @@ def test_lines_recall_on_documents(spark):
     assert len(kept) - len(found) <= 0.01 * len(links)
 
 
+def test_lines_minhash_values_are_the_least_of_all_shingles(spark):
+    """Values of which only shingles below a bound are looked at, and of lines of which none may be below it."""
+    rng = random.Random(31)
+    row = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    texts = [row(n, "abcdefghij") for n in (1, 11, 39, 41, 60, 200, 1500) for _ in range(4)] + ["ab" * 300, "-" * 500, "漢" * 90 + "字", row(80, "漢字😀文")]
+    docs = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "k1 long, k2 long, norm string")
+    words = lines._words(30)
+    own = {r["k1"]: {h for h in r["s"]} for r in docs.select("k1", lines.shingles(F.col("norm"), 12).alias("s")).collect()}
+    least = {i: [min(h ^ w for h in hs) for w in words] for i, hs in own.items()}
+    found = lines._least(docs, 12, words)
+    rare = set()
+    for r in found.collect():
+        got = [r[f"m{j}"] for j in range(30)]
+        assert all(g in (None, m) for g, m in zip(got, least[r["k1"]]))
+        if None in got:
+            rare.add(r["k1"])
+    assert {texts.index("ab" * 300), texts.index("-" * 500)} <= rare and len(rare) < 8
+    values = spark.createDataFrame([(i, m) for i, m in least.items()], "k1 long, m array<long>")
+    true = values.select("k1", lines._bands([F.col("m")[j] for j in range(30)], 3).alias("wanted"))
+    both = docs.select("k1", lines._rare_bands(F.col("norm"), 12, words, 3).alias("bands")).join(true, "k1")
+    assert both.where("bands = wanted").count() == len(texts)
+
+
+def test_lines_of_few_shingles(spark):
+    """Long lines that repeat themselves, which no bound on hashes fits, are compared like others."""
+    texts = ["ab" * 300, "ab" * 299, "-" * 400, "-" * 401, "xyz " * 90 + "end of it", "one of its own"]
+    got = {r["doc_id"]: r["removed"] for r in lines.removed(docs_of(spark, texts)).collect()}
+    assert got == every_position(list(enumerate(texts)))
+
+
 def test_lines_hand_on_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a line of text that is here\na line of text that is here", 7, 8)], "doc_id long, text string, n_lines int, removed int")
     out = lines.without(docs, lines.removed(docs)).collect()
